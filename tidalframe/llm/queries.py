@@ -1,11 +1,16 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
+from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .minhash import op7_near_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op7_near_dedup": op7_near_dedup,
 }
 
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_decontaminate": OP3_SQL,
 }
