@@ -1,13 +1,17 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
+from .bpe import op8_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .minhash import op7_near_dedup
+from .token_store import op2_token_store
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_store": op2_token_store,
     "op3_decontaminate": op3_decontaminate,
     "op7_near_dedup": op7_near_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES = {
