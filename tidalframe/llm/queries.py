@@ -5,11 +5,13 @@ from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .minhash import op7_near_dedup
 from .token_store import op2_token_store
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
     "op3_decontaminate": op3_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe": op8_bpe,
 }
