@@ -4,6 +4,7 @@ from .bpe import op8_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .minhash import op7_near_dedup
+from .pii import op4_pii
 from .secrets import op6_secrets
 from .token_store import op2_token_store
 from .toxicity import op5_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
     "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
