@@ -283,6 +283,6 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its ids and the digests of ids and bytes."""
-    encoded = encode_texts(docs.select("doc_id", "lang", "source", "n_chars", "text"), decoded_col="decoded")
-    return digest_columns(encoded).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    """Pipeline stage: every document with its ids, and the digests of ids and bytes, for its text."""
+    encoded = digest_columns(encode_texts(docs, decoded_col="decoded"))
+    return encoded.drop("text", "decoded")
