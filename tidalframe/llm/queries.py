@@ -6,6 +6,7 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .minhash import op7_near_dedup
 from .pii import op4_pii
 from .secrets import op6_secrets
+from .suffix_dedup import op10_suffix_dedup
 from .token_store import op2_token_store
 from .toxicity import op5_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe": op8_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
