@@ -1,3 +1,443 @@
 """Queries of the engine over the driver's tables, by name."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring as S
+from ..functions import text as X
+from ..functions import timefmt as TF
+from ..operators import captions as C
+from ..operators import energy as E
+from ..operators import intervals as I
+from ..operators import ranking as R
+from ..operators import tracking as K
+from ..operators import windows as W
+from .standins import FPS, NEAR, SILENCE, SPAN, five_faces, frame_grid, numbered, r6, read, sentence_cues, spoken_words, timeline
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _passages(events: DataFrame) -> DataFrame:
+    """Metrics of 30-unit windows every 20 units over one timeline of all users."""
+    first = F.greatest(F.ceil((F.col("t") - 30) / 20), F.lit(0))
+    first = F.when(F.col("t") - first * 20 >= 30, first + 1).otherwise(first)
+    dealt = events.withColumn("passage_idx", F.explode(F.sequence(first, F.floor(F.col("t") / 20))))
+    dealt = dealt.withColumns({"amp": F.col("value"), "start_s": F.col("passage_idx") * 20.0})
+    return E.passage_metrics(dealt, ["passage_idx", "start_s"], 30.0, F.floor(F.col("t") - F.col("start_s")))
+
+
+@query
+def passage_topk(spark, sf):
+    scored = E.normalised_scores(_passages(timeline(spark, sf)).withColumn("source_id", F.lit(0)))
+    scored = scored.select("passage_idx", "start_s", (F.col("start_s") + 30).alias("end_s"), "word_count", r6("rms").alias("rms"), r6("energy_var").alias("energy_var"), r6("rate").alias("rate"), r6("silence_ratio").alias("silence_ratio"), F.round("score", 5).alias("score"))
+    best = R.top(scored, 20, F.desc("score"), F.asc("passage_idx"))
+    return best.withColumns({"rank": F.col("rank").cast("long"), "clock": TF.format_clock(F.col("start_s")), "label": TF.format_label(F.col("start_s"))})
+
+
+@query
+def energy_variance(spark, sf):
+    samples = timeline(spark, sf).withColumn("amp", F.col("value"))
+    return E.tumbling_variance(samples, ["source_id"], ["t", "event_id"], 10).select("source_id", F.round("energy_var", 4).alias("energy_var"))
+
+
+@query
+def audio_metrics(spark, sf):
+    rows = timeline(spark, sf).withColumn("amp", F.col("value"))
+    out = E.passage_metrics(rows, ["source_id"], SPAN, F.floor(F.col("t") / 30))
+    return out.select("source_id", "word_count", *[r6(c).alias(c) for c in ("rms", "peak", "rate", "silence_ratio")], F.round("energy_var", 4).alias("energy_var"))
+
+
+@query
+def metric_defaults(spark, sf):
+    rows = timeline(spark, sf).withColumn("amp", F.col("value"))
+    early = E.passage_metrics(rows.where("t < 20"), ["source_id"], 20.0, F.floor("t"))
+    out = E.with_defaults(rows.select("source_id").distinct(), early, ["source_id"])
+    return out.select("source_id", *[F.round(c, 4).alias(c) for c in ("rms", "peak", "energy_var", "rate", "silence_ratio")])
+
+
+@query
+def minmax_norm(spark, sf):
+    means = timeline(spark, sf).groupBy("event_type", "source_id").agg(F.avg("value").alias("m"))
+    bounds = means.groupBy("event_type").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    return means.join(bounds, "event_type").select("event_type", "source_id", r6(S.min_max(F.col("m"), F.col("lo"), F.col("hi"))).alias("norm"))
+
+
+@query
+def transcript_words(spark, sf):
+    words = spoken_words(spark, sf)
+    order = Window.partitionBy("source_id", "turn").orderBy("word_idx")
+    end = F.coalesce(F.lead("start_s").over(order), F.max("end_s").over(Window.partitionBy("source_id", "turn")))
+    return words.select("source_id", "turn", "word_idx", "word", r6("start_s").alias("start_s"), r6(end).alias("end_s"))
+
+
+@query
+def word_counts(spark, sf):
+    rows = read(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", X.word_count(F.col("text")).cast("long").alias("words"), X.ends_sentence(F.col("text")).alias("final"), X.prefix(F.col("text"), 100, "...").alias("hook"), F.upper(X.prefix(F.col("text"), 20)).alias("shown"))
+
+
+@query
+def sentence_windows(spark, sf):
+    out = W.sentence_windows(sentence_cues(spark, sf))
+    return out.select("source_id", F.col("passage_idx").cast("long").alias("passage_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "text", X.word_count(F.col("text")).cast("long").alias("word_count"))
+
+
+@query
+def karaoke_groups(spark, sf):
+    groups = C.fixed_groups(spoken_words(spark, sf))
+    shown = F.upper(F.array_join(F.transform("words", lambda w: w["word"]), " "))
+    return groups.select("source_id", F.col("seg_idx").cast("long").alias("group_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), F.size("words").cast("long").alias("n_words"), shown.alias("shown"))
+
+
+def _spoken_grid(words: DataFrame, tail: float = 1.0) -> DataFrame:
+    return frame_grid(words.groupBy("source_id").agg((F.max("end_s") + tail).alias("end_s")), FPS)
+
+
+@query
+def active_word(spark, sf):
+    words = spoken_words(spark, sf)
+    out = C.frame_words(_spoken_grid(words), C.fixed_groups(words), FPS)
+    return out.select("source_id", "frame_idx", F.col("seg_idx").cast("long").alias("group_idx"), F.col("word").cast("long").alias("word"))
+
+
+@query
+def render_cache(spark, sf):
+    words = spoken_words(spark, sf)
+    pictures = C.distinct_renders(C.frame_words(_spoken_grid(words), C.fixed_groups(words), FPS))
+    return pictures.groupBy("source_id").agg(F.count(F.lit(1)).alias("pictures"))
+
+
+@query
+def asof_group(spark, sf):
+    words = spoken_words(spark, sf)
+    points = _spoken_grid(words).withColumn("t", F.col("frame_idx") / FPS)
+    out = I.next_ending(points, C.fixed_groups(words))
+    return out.select("source_id", "frame_idx", F.col("seg_idx").cast("long").alias("group_idx"), "active")
+
+
+@query
+def lit_words(spark, sf):
+    words = spoken_words(spark, sf)
+    half = words.select("source_id", "word_idx", "start_s", (F.col("start_s") + 1.0).alias("end_s"))
+    points = _spoken_grid(words).withColumn("t", F.col("frame_idx") / FPS)
+    return I.interval_join(points, half, closed=False, width=8.0).groupBy("source_id", "frame_idx").agg(F.count(F.lit(1)).alias("lit"), F.min("word_idx").alias("first_word"))
+
+
+@query
+def speaker_at(spark, sf):
+    turns = spoken_words(spark, sf).groupBy("source_id", "turn", "role").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).withColumnRenamed("turn", "seg_idx")
+    place = turns.groupBy("role").agg(F.median(F.col("end_s") - F.col("start_s")).alias("middle"))
+    out = I.first_at_frame(_spoken_grid(spoken_words(spark, sf)), turns, "role", FPS)
+    return out.join(place, "role", "left").select("source_id", "frame_idx", F.col("role").alias("speaker"), r6("middle").alias("middle"))
+
+
+@query
+def crop_cover(spark, sf):
+    rows = numbered(timeline(spark, sf))
+    segments = rows.select("source_id", F.col("idx").alias("seg_idx"), F.col("t").alias("start_s"), F.least(F.col("t") + 6, F.lit(SPAN)).alias("end_s"), F.floor("value").alias("crop_x"))
+    grid = frame_grid(rows.select("source_id").distinct().withColumn("end_s", F.lit(SPAN)), 1)
+    return I.last_at_frame(grid, segments, "crop_x", 1)
+
+
+@query
+def hit_text(spark, sf):
+    words = spoken_words(spark, sf)
+    hits = words.where("word_idx % 50 = 0").select("source_id", F.col("word_idx").alias("hit_id"), (F.col("start_s") - 1).alias("start_s"), (F.col("start_s") + 6).alias("end_s"))
+    held = I.interval_join(words.select("source_id", "word_idx", "word", F.col("start_s").alias("t")), hits, width=16.0)
+    return held.groupBy("source_id", "hit_id").agg(W.joined("word_idx", "word").alias("text"))
+
+
+@query
+def speaker_median(spark, sf):
+    rows = timeline(spark, sf).where("event_id % 5 = 0")
+    return rows.groupBy("event_type").agg(r6(F.median(F.col("value") / 500)).alias("cx"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def forward_fill(spark, sf):
+    known = F.when(F.col("event_id") % 3 == 0, F.col("value"))
+    return timeline(spark, sf).select("source_id", "event_id", W.forward_fill(known, ("t", "event_id")).alias("filled"))
+
+
+@query
+def hold(spark, sf):
+    known = F.when(F.col("event_id") % 3 == 0, F.col("value") / 500)
+    return timeline(spark, sf).select("source_id", "event_id", r6(W.forward_fill(known, ("t", "event_id"), 0.5)).alias("held"))
+
+
+@query
+def moving_avg(spark, sf):
+    return timeline(spark, sf).select("source_id", "event_id", r6(W.moving_average("value", ("t", "event_id"))).alias("smooth"))
+
+
+@query
+def interp_linear(spark, sf):
+    rows = numbered(timeline(spark, sf))
+    return rows.select("source_id", "event_id", r6(W.interpolate("idx", "value", F.col("event_id") % 4 == 0)).alias("value"))
+
+
+@query
+def argmax_face(spark, sf):
+    best = K.best_face(F.col("faces"), 1920.0)
+    return five_faces(timeline(spark, sf)).select("source_id", "idx", best["idx"].alias("face_idx"), r6(best["cx"]).alias("cx"))
+
+
+@query
+def target_face(spark, sf):
+    speaker = F.when(F.col("idx") % 2 == 0, F.lit(960.0))
+    target = K.target_face(F.filter("faces", lambda f: f["score"] >= 0.3), speaker)
+    return five_faces(timeline(spark, sf)).select("source_id", "idx", r6(target).alias("cx"))
+
+
+@query
+def start_position(spark, sf):
+    frames = five_faces(timeline(spark, sf)).withColumns({"frame_idx": F.col("idx"), "faces": F.transform(F.filter("faces", lambda f: f["score"] >= 0.5), lambda f: F.struct((f["cx"] / 1920).alias("cx"), f["w"].alias("w")))})
+    return K.start_position(frames, 1.0).select("source_id", r6("start_cx").alias("start_cx"))
+
+
+@query
+def ema_final(spark, sf):
+    rows = numbered(timeline(spark, sf)).groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("v"))
+    return rows.select("source_id", r6(K.ema_final(F.col("v"), 0.92)).alias("ema"))
+
+
+@query
+def ema_series(spark, sf):
+    rows = numbered(timeline(spark, sf)).withColumn("x", F.col("value"))
+    return K.ema_series(rows, 0.92).select("source_id", "idx", r6("ema").alias("ema"))
+
+
+def _hits(events: DataFrame) -> DataFrame:
+    return events.select("source_id", F.col("event_id").alias("hit_id"), F.col("t").alias("start_s"), F.col("value").alias("score"))
+
+
+@query
+def near_dedup(spark, sf):
+    return R.near_dedup(_hits(timeline(spark, sf)), NEAR).select("source_id", "hit_id", r6("start_s").alias("start_s"), "score")
+
+
+@query
+def merge_rank(spark, sf):
+    events = timeline(spark, sf)
+    both = R.union_hits(audio=_hits(events.where("event_type = 'click'")), text=_hits(events.where("event_type = 'purchase'")))
+    kept = R.near_dedup(both, NEAR).join(both.select("hit_id", "source"), "hit_id")
+    best = R.top_by(kept, 5, "source_id", F.desc("score"), F.asc("start_s"), F.asc("hit_id"))
+    return best.select("source_id", "hit_id", "source", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def top_clips(spark, sf):
+    best = R.top(_hits(timeline(spark, sf)), 5, F.desc("score"), F.asc("start_s"), F.asc("hit_id"))
+    return best.select("hit_id", "source_id", "score", F.col("rank").cast("long").alias("rank"), TF.format_label(F.col("start_s")).alias("label"))
+
+
+def _silences(spark, sf) -> DataFrame:
+    return I.gaps(timeline(spark, sf), SILENCE, order=("event_id",))
+
+
+def _totals(spark, sf) -> DataFrame:
+    return timeline(spark, sf).select("source_id").distinct().withColumn("total", F.lit(SPAN))
+
+
+@query
+def silence_gaps(spark, sf):
+    return _silences(spark, sf).select("source_id", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), r6(F.col("end_s") - F.col("start_s")).alias("duration_s"))
+
+
+@query
+def keep_segments(spark, sf):
+    return I.keep_segments(_silences(spark, sf), _totals(spark, sf)).select("source_id", F.col("seg_idx").cast("long").alias("seg_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+
+
+@query
+def cutter_segments(spark, sf):
+    return I.cutter_segments(_silences(spark, sf), _totals(spark, sf)).select("source_id", F.col("seg_idx").cast("long").alias("seg_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+
+
+@query
+def cut_durations(spark, sf):
+    keeps = I.keep_segments(_silences(spark, sf), _totals(spark, sf))
+    kept = keeps.groupBy("source_id").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("kept"))
+    return kept.select("source_id", r6("kept").alias("kept"), r6(SPAN - F.col("kept")).alias("removed"))
+
+
+@query
+def time_remap(spark, sf):
+    keeps = I.keep_segments(_silences(spark, sf), _totals(spark, sf))
+    points = timeline(spark, sf).select("source_id", "event_id", "t")
+    return I.remap_times(points, keeps).select("source_id", "event_id", r6("t_cut").alias("t_cut"))
+
+
+@query
+def interval_merge(spark, sf):
+    spans = timeline(spark, sf).select("source_id", F.col("t").alias("start_s"), (F.col("t") + 6).alias("end_s"))
+    return I.merge_intervals(spans).select("source_id", F.col("seg_idx").cast("long").alias("seg_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+
+
+@query
+def passage_overlap(spark, sf):
+    spans = numbered(timeline(spark, sf)).select("source_id", "idx", F.col("t").alias("start_s"), (F.col("t") + 3).alias("end_s"))
+    windows = spans.where("idx % 10 = 0").select("source_id", F.col("idx").alias("w"), F.col("start_s").alias("l_start"), (F.col("start_s") + 40).alias("l_end"))
+    return I.overlap_join(windows, spans).groupBy("source_id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
+
+
+@query
+def motion_stats(spark, sf):
+    step = F.abs(W.difference("value", ("t", "event_id")))
+    return timeline(spark, sf).withColumn("d", step).groupBy("source_id").agg(r6(F.max("d")).alias("max_step"), r6(F.avg("d")).alias("mean_step"))
+
+
+@query
+def shot_counts(spark, sf):
+    u = F.col("value") / 500
+    return timeline(spark, sf).groupBy("source_id").agg(F.count_if(u >= 0.5).alias("wide"), F.count_if((u < 0.5) & (u >= 0.1)).alias("close"), F.count_if(u < 0.1).alias("none"), r6(F.count_if(u >= 0.1) / F.count(F.lit(1))).alias("coverage"))
+
+
+@query
+def segment_stats(spark, sf):
+    rows = timeline(spark, sf).withColumns({"seg_idx": F.floor(F.col("t") / SILENCE), "face": F.when(F.col("event_id") % 4 != 0, F.col("value"))})
+    out = rows.groupBy("source_id", "seg_idx").agg(F.median("value").alias("crop_x"), F.avg("face").alias("avg_face_cx"), F.avg(F.col("face") / 5).alias("avg_face_w"))
+    qa = K.centring(out, 200.0)
+    return qa.select("source_id", "seg_idx", *[F.round(c, 4).alias(c) for c in ("crop_x", "avg_face_cx", "offset_share", "face_share")], "verdict")
+
+
+@query
+def crop_geometry(spark, sf):
+    cx, w, h = F.col("value") / 500, F.when(F.col("event_id") % 2 == 0, F.lit(1920)).otherwise(F.lit(480)), F.lit(1080)
+    rows = timeline(spark, sf).withColumns({"cx": cx, "w": w, "h": h})
+    size = S.crop_size(F.col("w"), F.col("h"))
+    rows = rows.withColumns({"crop_w": size[0].cast("long"), "crop_h": size[1].cast("long")})
+    rows = rows.withColumn("crop_x", S.crop_left(F.col("cx"), F.col("w"), F.col("crop_w")))
+    safe = S.safe_zone(F.col("crop_x"), F.col("cx") * F.col("w") * 0.9, F.col("crop_w"), F.col("w"))
+    box = S.centre_crop(F.col("w"), F.col("h"), 1080, 1920)
+    return rows.select("event_id", "crop_w", "crop_h", F.col("crop_x").cast("long").alias("crop_x"), safe.cast("long").alias("safe_x"), box["x"].cast("long").alias("box_x"), box["w"].cast("long").alias("box_w"))
+
+
+@query
+def silence_scores(spark, sf):
+    ratio = F.col("value") / 500
+    rows = timeline(spark, sf).withColumn("ratio", ratio)
+    font = S.fitted_font(F.lit(60), F.col("value") * 3, F.lit(1080))
+    return rows.select("event_id", r6(S.silence_score(F.col("ratio"))).alias("silence"), r6(S.speaking_rate(F.col("event_id") % 7, F.col("event_id") % 3)).alias("rate"), font.cast("long").alias("font"))
+
+
+@query
+def clock_texts(spark, sf):
+    rows = timeline(spark, sf).withColumn("s", F.col("t") * 60)
+    rows = rows.withColumn("clock", TF.format_clock(F.col("s")))
+    text = F.concat("clock", F.lit("."), F.format_string("%03d", F.col("event_id") % 1000), F.lit(" align:start"))
+    return rows.select("event_id", "clock", TF.format_label(F.col("s")).alias("label"), TF.clock_seconds(F.col("clock")).alias("back"), r6(TF.lenient_seconds(text)).alias("lenient"), r6(TF.strict_seconds(text)).alias("strict"), r6(TF.colon_seconds(F.substring("clock", 4, 5))).alias("short"), TF.transcript_line(F.col("s"), F.col("event_type")).alias("line"))
+
+
+@query
+def tag_strip(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
+
+
+@query
+def clean_words(spark, sf):
+    word = F.concat(F.lit("&nbsp;<b>"), F.substring("html", 1, 300), F.lit("</b> &amp;"))
+    return read(spark, sf, "pages").select("page_id", X.clean_word(word).alias("word"))
+
+
+@query
+def json_fallback(spark, sf):
+    broken = F.when(F.col("event_id") % 7 == 0, F.lit("oops")).otherwise(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+    value = X.parse_json(broken, "struct<k:bigint>")
+    return timeline(spark, sf).select("event_id", F.coalesce(value["k"], F.lit(-1)).cast("long").alias("k"), X.fenced_part(broken).alias("inner"))
+
+
+@query
+def highlight_norm(spark, sf):
+    clock = F.col("event_id") % 2 == 0
+    hit = F.struct(
+        F.when(clock, TF.format_clock(F.col("t"))).alias("start_time"), F.when(clock, TF.format_clock(F.col("t") + 31)).alias("end_time"),
+        F.when(~clock, F.col("t")).alias("start_s"), F.when(~clock, F.col("t") + 31.9).alias("end_s"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("hook_text"), F.lit(None).cast("string").alias("punchline"),
+        F.lit("w").alias("why_viral"), F.when(F.col("event_id") % 5 != 0, F.floor("value").cast("int")).alias("viral_score"),
+    )
+    rows = timeline(spark, sf).select("event_id", S.normalised_hit(hit, F.lit("text")).alias("n"))
+    return rows.select("event_id", r6("n.start_s").alias("start_s"), r6("n.end_s").alias("end_s"), "n.duration", "n.hook_text", "n.punchline", "n.why_viral", F.col("n.source_score").cast("long").alias("source_score"), "n.source")
+
+
+@query
+def score_lookup(spark, sf):
+    docs, labels = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels").select("doc_id", "quality")
+    score, verdict = R.scored_or_short(F.col("text"), F.col("quality"))
+    return docs.join(labels, "doc_id", "left").select("doc_id", score.cast("long").alias("score"), verdict.alias("verdict"))
+
+
+@query
+def batch_ids(spark, sf):
+    rows = W.global_rank(read(spark, sf, "documents").select("doc_id"), "doc_id")
+    batch, place = W.in_batches(F.col("rn"))
+    return rows.select("doc_id", batch.cast("long").alias("batch"), place.cast("long").alias("id"))
+
+
+@query
+def batch_scores(spark, sf):
+    rows = W.global_rank(read(spark, sf, "documents").select("doc_id"), "doc_id")
+    batch, place = W.in_batches(F.col("rn"))
+    batches = rows.select("doc_id", batch.cast("long").alias("batch"), place.cast("long").alias("id"))
+    answers = batches.select("batch", (F.col("id") - 1).alias("id"), (F.col("doc_id") % 11).alias("score"))
+    passed = R.back_join(batches, answers).withColumn("passed", F.col("score") >= 7)
+    return passed.groupBy("batch").agg(F.count(F.lit(1)).alias("scored"), F.count_if("passed").alias("passed"))
+
+
+@query
+def sampled_cues(spark, sf):
+    return R.every_nth(spoken_words(spark, sf).where("source_id = 0").select("word_idx", "word"), "word_idx")
+
+
+@query
+def line_layout(spark, sf):
+    words = spoken_words(spark, sf).where("word_idx < 200").withColumns({"group_idx": F.floor(F.col("word_idx") / 6), "line_idx": F.floor(F.col("word_idx") % 6 / 3), "w": F.length("word") * 20.0})
+    out = C.line_layout(words, 1080.0, 1920.0, 15.0, 70.0)
+    return out.select("source_id", "word_idx", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query
+def clip_words(spark, sf):
+    moved = spoken_words(spark, sf).select("source_id", "word_idx", (F.col("start_s") - 5).alias("start_s"), (F.col("end_s") - 5).alias("end_s"))
+    return C.shifted(moved, 20.0).select("source_id", "word_idx", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+
+
+@query
+def merge_short(spark, sf):
+    rows = numbered(timeline(spark, sf))
+    order = Window.partitionBy("source_id").orderBy("idx")
+    fresh = F.coalesce(F.floor(F.col("value") / 150) != F.lag(F.floor(F.col("value") / 150)).over(order), F.lit(True))
+    runs = rows.withColumn("seg_idx", F.sum(fresh.cast("int")).over(order) - 1)
+    segments = runs.groupBy("source_id", "seg_idx").agg(F.min("idx").alias("start_idx"), (F.max("idx") + 1).alias("end_idx"), F.min_by(F.floor("value"), "idx").alias("crop_x"))
+    return K.merge_short(segments, 2)
+
+
+@query
+def greedy_groups(spark, sf):
+    return C.packed_groups(spoken_words(spark, sf), {}, 400.0)
+
+
+@query
+def hysteresis(spark, sf):
+    frames = five_faces(timeline(spark, sf)).withColumn("faces", F.transform("faces", lambda f: F.struct((f["cx"] / 1920).alias("cx"), (f["w"] / 1920).alias("w"), f["score"].alias("score"))))
+    return K.hysteresis(frames, needed=3).select("source_id", "idx", r6("target").alias("target"))
+
+
+@query
+def track_recover(spark, sf):
+    return K.track_with_recovery(five_faces(timeline(spark, sf)), 1920.0, 1080.0, 1.0)
+
+
+@query
+def segment_median(spark, sf):
+    rows = numbered(timeline(spark, sf)).withColumn("x", F.col("value"))
+    return K.segment_by_median(rows, 607.0, 2.0)
