@@ -4,6 +4,7 @@ from .bpe import op8_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .minhash import op7_near_dedup
+from .passages import op9_fuzzy_passages
 from .pii import op4_pii
 from .secrets import op6_secrets
 from .suffix_dedup import op10_suffix_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe": op8_bpe,
+    "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
