@@ -58,7 +58,7 @@ def detailed_score(answers: DataFrame, p1: str, p2: str, column: str = "answer")
     """``final_score``: the answer's score, or ``(p1 + p2) * 5`` where it does not parse."""
     from .text import parse_json
 
-    parsed = parse_json(F.col(column), "score int, explanation string")
+    parsed = parse_json(F.col(column), "struct<score:int,explanation:string>")
     return answers.withColumns({
         "final_score": F.coalesce(parsed["score"].cast("double"), (F.col(p1) + F.col(p2)) * 5),
         "explanation": F.coalesce(parsed["explanation"], F.lit("fallback")),

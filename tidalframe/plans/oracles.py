@@ -209,7 +209,7 @@ ORACLES["shot_counts"] = _with(
 )
 ORACLES["segment_stats"] = _with(
     _EV + ", a as (select source_id, floor(t / 24)::bigint as seg_idx, median(value) as crop_x, avg(case when event_id % 4 <> 0 then value end) as cx, avg(case when event_id % 4 <> 0 then value / 5 end) as w from ev group by all), b as (select *, abs(cx - (crop_x + 100)) / 200.0::double as o from a)",
-    "select source_id, seg_idx, round(crop_x, 4) as crop_x, round(cx, 4) as avg_face_cx, round(o, 4) as offset_share, round(w / 200.0::double, 4) as face_share, case when cx is null then 'N/A' when o <= 0.1::double then 'OK' else 'WARN' end as verdict from b",
+    "select source_id, seg_idx, round(crop_x, 9) as crop_x, round(cx, 9) as avg_face_cx, round(o, 9) as offset_share, round(w / 200.0::double, 9) as face_share, case when cx is null then 'N/A' when o <= 0.1::double then 'OK' else 'WARN' end as verdict from b",
 )
 ORACLES["crop_geometry"] = _with(
     _EV + """, g as (select event_id, value / 500 as cx, case when event_id % 2 = 0 then 1920 else 480 end as w from ev),

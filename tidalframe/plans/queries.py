@@ -307,7 +307,7 @@ def segment_stats(spark, sf):
     rows = timeline(spark, sf).withColumns({"seg_idx": F.floor(F.col("t") / SILENCE), "face": F.when(F.col("event_id") % 4 != 0, F.col("value"))})
     out = rows.groupBy("source_id", "seg_idx").agg(F.median("value").alias("crop_x"), F.avg("face").alias("avg_face_cx"), F.avg(F.col("face") / 5).alias("avg_face_w"))
     qa = K.centring(out, 200.0)
-    return qa.select("source_id", "seg_idx", *[F.round(c, 4).alias(c) for c in ("crop_x", "avg_face_cx", "offset_share", "face_share")], "verdict")
+    return qa.select("source_id", "seg_idx", *[F.round(c, 9).alias(c) for c in ("crop_x", "avg_face_cx", "offset_share", "face_share")], "verdict")
 
 
 @query
