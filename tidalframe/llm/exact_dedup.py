@@ -1,8 +1,8 @@
 """Operator 1: exact dedup with a heavy-hitter split, in DataFrame functions only.
 
 1. Each text is normalised and digested (SHA-256); ``(doc_id, digest)`` is staged once.
-2. A Misra-Gries summary (Spark's ``approx_top_k``: mergeable, ``tracked`` counters)
-   names frequent digests. Its error is below 3.5 * rows / tracked, so every digest with
+2. Misra-Gries summaries (Spark's ``approx_top_k``: mergeable, ``tracked`` counters in all)
+   name frequent digests. Their error is below 3.5 * rows / tracked, so every digest with
    more than twice that share is among the at most ``tracked / 7`` named ones.
 3. Their exact winners (smallest id, count) come from a partial aggregation of a few rows
    per task and are broadcast: at most ``tracked / 7`` rows, whatever the corpus holds.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import keep_where, read, stage, text_of
 
 SPACES = r"[\x20\x09-\x0D]+"
+SUMMARIES = 64
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,9 +33,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def frequent_digests(table: DataFrame, tracked: int) -> DataFrame:
-    """Digests named by the Misra-Gries summary; at most ``tracked / 7`` rows."""
-    top = F.expr(f"approx_top_k(text_sha256, {max(1, tracked // 7)}, {tracked})")
-    return table.agg(top.alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256"))
+    """Short hashes of the digests that the Misra-Gries summaries name; at most ``tracked / 7`` rows.
+
+    Digests are dealt to ``SUMMARIES`` summaries by their hash, each with its share of the
+    counters, so the tasks' partial summaries do not all meet in one reducer.
+    """
+    each = max(8, tracked // SUMMARIES)
+    hashed = table.select(F.xxhash64("text_sha256").alias("route"))
+    top = F.expr(f"approx_top_k(route, {max(1, each // 7)}, {each})")
+    named = hashed.groupBy(F.pmod("route", F.lit(SUMMARIES))).agg(top.alias("top"))
+    return named.select(F.explode("top").alias("t")).select(F.col("t.item").alias("route"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 16_384) -> DataFrame:
@@ -42,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = stage(digests(docs, id_col, text_col), "digests")
     named = F.broadcast(frequent_digests(table, tracked))
     winners = (
-        table.join(named, "text_sha256", "left_semi")
+        table.join(named, F.xxhash64(table["text_sha256"]) == named["route"], "left_semi")
         .groupBy("text_sha256")
         .agg(F.min("doc_id").alias("w_id"), F.count(F.lit(1)).alias("w_size"))
         .where("w_size > 1")
