@@ -138,8 +138,9 @@ ORACLES["crop_cover"] = _with(
 )
 ORACLES["hit_text"] = _with(
     _WORDS,
-    """select h.source_id, h.word_idx as hit_id, string_agg(w.word, ' ' order by w.word_idx) as text from words h join words w
-       on w.source_id = h.source_id and w.start_s >= h.start_s - 1 and w.start_s <= h.start_s + 6 where h.word_idx % 50 = 0 group by all""",
+    """select h.source_id, h.turn as hit_id, string_agg(w.word, ' ' order by w.word_idx) as text
+       from (select source_id, turn, min(start_s) as start_s from words group by all) h join words w
+       on w.source_id = h.source_id and w.start_s >= h.start_s - 1 and w.start_s <= h.start_s + 6 group by h.source_id, h.turn""",
 )
 ORACLES["speaker_median"] = _with(_EV, "select event_type, round(median(value / 500), 6) as cx, count(*) as n from ev where event_id % 5 = 0 group by 1")
 _SOFAR = "over (partition by source_id order by t, event_id rows between unbounded preceding and current row)"
@@ -199,7 +200,7 @@ ORACLES["interval_merge"] = _with(
     "select source_id, row_number() over (partition by source_id order by min(s)) - 1 as seg_idx, round(min(s), 6) as start_s, round(max(e), 6) as end_s from i group by source_id, g",
 )
 ORACLES["passage_overlap"] = _with(
-    _NUM, "select a.source_id, a.idx as w, count(*) as n, min(b.idx) as first_idx from num a join num b on a.source_id = b.source_id and b.t < a.t + 40 and b.t + 3 > a.t where a.idx % 10 = 0 group by all",
+    _NUM, "select a.source_id, a.idx as w, count(*) as n, min(b.idx) as first_idx from num a join num b on a.source_id = b.source_id and b.t < a.t + 40 and b.t + 3 > a.t group by all",
 )
 ORACLES["motion_stats"] = _with(
     _EV + ", d as (select source_id, abs(value - lag(value) over (partition by source_id order by t, event_id)) as d from ev)", "select source_id, round(max(d), 6) as max_step, round(avg(d), 6) as mean_step from d group by 1",
@@ -254,9 +255,9 @@ ORACLES["batch_scores"] = _with(
     _BATCH + ", a as (select batch, id - 1 as id, doc_id % 11 as score from b)",
     "select b.batch, count(*) as scored, count(*) filter (score >= 7) as passed from b join a using (batch, id) where a.id >= 1 group by 1",
 )
-ORACLES["sampled_cues"] = _with(_WORDS, "select word_idx, word from words where source_id = 0 and word_idx % 5 = 0 order by word_idx limit 500")
+ORACLES["sampled_cues"] = "select event_id, event_type from events where event_id % 5 = 0 order by event_id limit 500"
 ORACLES["line_layout"] = _with(
-    _WORDS + """, p as (select source_id, word_idx, word_idx // 6 as g, word_idx % 6 // 3 as l, length(word) * 20.0::double as w from words where word_idx < 200),
+    _WORDS + """, p as (select source_id, word_idx, word_idx // 6 as g, word_idx % 6 // 3 as l, length(word) * 20.0::double as w from words),
     q as (select *, sum(w) over k as total, count(*) over k as n, coalesce(sum(w + 15) over (partition by source_id, g, l order by word_idx rows between unbounded preceding and 1 preceding), 0) as before,
           max(l) over (partition by source_id, g) + 1 as lines from p window k as (partition by source_id, g, l))""",
     "select source_id, word_idx, round((1080 - (total + 15 * (n - 1))) / 2 + before, 6) as x, round(0.7::double * 1920 - lines * 70.0::double / 2 + l * 70.0::double, 6) as y from q",

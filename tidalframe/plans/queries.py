@@ -151,7 +151,8 @@ def crop_cover(spark, sf):
 @query
 def hit_text(spark, sf):
     words = spoken_words(spark, sf)
-    hits = words.where("word_idx % 50 = 0").select("source_id", F.col("word_idx").alias("hit_id"), (F.col("start_s") - 1).alias("start_s"), (F.col("start_s") + 6).alias("end_s"))
+    turns = words.groupBy("source_id", F.col("turn").alias("hit_id")).agg(F.min("start_s").alias("s"))
+    hits = turns.select("source_id", "hit_id", (F.col("s") - 1).alias("start_s"), (F.col("s") + 6).alias("end_s"))
     held = I.interval_join(words.select("source_id", "word_idx", "word", F.col("start_s").alias("t")), hits, width=16.0)
     return held.groupBy("source_id", "hit_id").agg(W.joined("word_idx", "word").alias("text"))
 
@@ -286,7 +287,7 @@ def interval_merge(spark, sf):
 @query
 def passage_overlap(spark, sf):
     spans = numbered(timeline(spark, sf)).select("source_id", "idx", F.col("t").alias("start_s"), (F.col("t") + 3).alias("end_s"))
-    windows = spans.where("idx % 10 = 0").select("source_id", F.col("idx").alias("w"), F.col("start_s").alias("l_start"), (F.col("start_s") + 40).alias("l_end"))
+    windows = spans.select("source_id", F.col("idx").alias("w"), F.col("start_s").alias("l_start"), (F.col("start_s") + 40).alias("l_end"))
     return I.overlap_join(windows, spans).groupBy("source_id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
 
 
@@ -395,12 +396,12 @@ def batch_scores(spark, sf):
 
 @query
 def sampled_cues(spark, sf):
-    return R.every_nth(spoken_words(spark, sf).where("source_id = 0").select("word_idx", "word"), "word_idx")
+    return R.every_nth(timeline(spark, sf).select("event_id", "event_type"), "event_id")
 
 
 @query
 def line_layout(spark, sf):
-    words = spoken_words(spark, sf).where("word_idx < 200").withColumns({"group_idx": F.floor(F.col("word_idx") / 6), "line_idx": F.floor(F.col("word_idx") % 6 / 3), "w": F.length("word") * 20.0})
+    words = spoken_words(spark, sf).withColumns({"group_idx": F.floor(F.col("word_idx") / 6), "line_idx": F.floor(F.col("word_idx") % 6 / 3), "w": F.length("word") * 20.0})
     out = C.line_layout(words, 1080.0, 1920.0, 15.0, 70.0)
     return out.select("source_id", "word_idx", r6("x").alias("x"), r6("y").alias("y"))
 
