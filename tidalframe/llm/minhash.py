@@ -10,12 +10,13 @@ coordinates in 32 bands of 4: a pair at similarity 0.75 shares no band with prob
 5e-6, at 0.8 with 5e-8.
 
 *Links without all pairs.* Documents with equal sets are one node. In each band bucket the
-nodes are ranked; round 1 tests every node against rank 0 only, which joins a large group
-at once. Later rounds take the next ranks as hubs (1-3, 4-15, 16-63 ...), and only in
-buckets whose nodes are still in different components, against nodes of other components.
-After the last round any two nodes of a bucket have been tested or are already connected,
-so no cap is needed and components equal those of testing all pairs. Each candidate is
-confirmed on the full sets.
+nodes are ranked; the first round tests every node against rank 0 only, which joins a large
+group at once. Buckets whose nodes are then still in different components go on: shingles
+that no other such node has, and losses against the bucket's most central node, bound the
+similarity of two nodes, which rules out most pairs exactly; nodes are ranked anew, the most shared first, and the ranks
+become hubs in turn (0, 1-15, 16-255 ...), tested against later nodes of other components. After the last round any two nodes of a bucket
+have been tested, ruled out or connected, so no cap is needed and components equal those of
+testing all pairs. Each candidate is confirmed on the full sets.
 
 *Components.* Smallest-label propagation with pointer jumping over the confirmed links,
 each step a staged table; nothing is collected.
@@ -40,6 +41,10 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: Least similarity as a fraction of whole numbers: 75 / 100.
 SIM_NUM, SIM_DEN = 75, 100
+#: Groups of shingles in which a node's losses against its bucket's pivot are counted.
+GROUPS = 64
+#: Bits of the filter for ids whose sets are needed (8 MiB).
+FILTER_BITS = 1 << 26
 _SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
 
 
@@ -150,12 +155,28 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.mapInArrow(run, _SKETCH)
 
 
-def full_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of a one-column table of texts."""
+def id_filter(ids: DataFrame, id_col: str, bits: int = FILTER_BITS) -> list[tuple[int, bytes]]:
+    """A bit for each id's hash, as (bucket, 4 KiB bitmap) rows: ``bits / 8`` bytes at most.
+
+    A false positive only costs work, so the size needs no growth with the ids.
+    """
+    place = F.pmod(F.xxhash64(id_col), F.lit(bits)) + 1  # bitmap functions count from 1
+    maps = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    return [(r.bucket, bytes(r.map)) for r in maps.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()]
+
+
+def full_sets(texts: DataFrame, keep: list[tuple[int, bytes]], bits: int = FILTER_BITS) -> DataFrame:
+    """(node, shingles) of the (doc_id, text) rows that the id filter lets through."""
+    flat = np.zeros(bits // 8, np.uint8)
+    for bucket, bitmap in keep:
+        flat[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bitmap, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches):
         for batch in batches:
-            for block, grams, bounds in shingle_sets(batch.column(0)):
+            place = batch.column(0).to_numpy()
+            held = shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
+            for block, grams, bounds in shingle_sets(batch.column(1).filter(pa.array(held.astype(bool)))):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x.tobytes() for x in node_keys(grams, bounds)], pa.binary()),
@@ -164,7 +185,8 @@ def full_sets(texts: DataFrame) -> DataFrame:
                     names=["node", "shingles"],
                 )
 
-    return texts.mapInArrow(run, "node binary, shingles array<long>")
+    placed = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place"), "text")
+    return placed.mapInArrow(run, "node binary, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -177,6 +199,57 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(SIM_DEN * common >= SIM_NUM * union).select("a", "b")
 
 
+def hub_pairs(hubs: DataFrame, members: DataFrame, where: str = "true") -> DataFrame:
+    """Distinct pairs (a, b) of a hub and a member of its bucket that may be similar enough.
+
+    No pair is built whose sizes, or shared shingles where known, rule it out.
+    """
+    known = "shared" in members.columns
+    cols = {"r": "rank", "a": "node", "na": "n"} | ({"la": "label", "sa": "shared", "ma": "missing"} if known else {})
+    hub = hubs.select("key", *[F.col(v).alias(k) for k, v in cols.items()])
+    both = hub.join(members, "key").where(where).where(f"{SIM_DEN} * least(n, na) >= {SIM_NUM} * greatest(n, na)")
+    if known:
+        both = both.where(f"({SIM_DEN} + {SIM_NUM}) * least(shared, sa) >= {SIM_NUM} * (n + na)")
+        # Of the pivot's shingles both can share only what neither lacks; besides, only what
+        # each shares with others outside the pivot.
+        lacking = F.aggregate(F.zip_with("missing", "ma", lambda x, y: F.greatest(x, y)), F.lit(0), lambda acc, x: acc + x)
+        held = lambda m: F.col("pivot_n") - F.aggregate(m, F.lit(0), lambda acc, x: acc + x)
+        beside = F.least(F.col("shared") - held("missing"), F.col("sa") - held("ma"))
+        most = F.col("pivot_n") - lacking + F.greatest(beside, F.lit(0))  # the pivot itself may go below 0
+        both = both.where((SIM_DEN + SIM_NUM) * most >= SIM_NUM * (F.col("n") + F.col("na")))
+    return both.select("a", F.col("node").alias("b")).distinct()
+
+
+def mixed_buckets(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with labels, of buckets whose nodes lie in different components (staged)."""
+    pool = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    bucket = Window.partitionBy("key")
+    pool = pool.withColumns({"l": F.min("label").over(bucket), "h": F.max("label").over(bucket)})
+    return stage(pool.where("l <> h").drop("l", "h"), "mixed")
+
+
+def against_pivots(pool: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pool`` with, against the rank 0 node of its bucket, pivot_n and ``missing``: how many
+    of the pivot's shingles a node lacks, in each of ``GROUPS`` groups of shingles."""
+    pivots = pool.where("rank = 0").select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    placed = stage(pool.join(pivots, "key"), "placed")
+    pairs = placed.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    lost = pairs.join(left, "a").join(right, "b").select("a", "b", F.array_except("sa", "sb").alias("lost"))
+    groups = F.sequence(F.lit(0), F.lit(GROUPS - 1))
+    missing = F.transform(groups, lambda g: F.size(F.filter("lost", lambda s: F.pmod(s, F.lit(GROUPS)) == g)))
+    lost = lost.select(F.col("a").alias("pivot"), F.col("b").alias("node"), missing.alias("missing"))
+    return placed.join(lost, ["pivot", "node"]).drop("pivot")
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(node, shared): how many of a node's shingles some other node has as well."""
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    each = each.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("s")))
+    return each.groupBy("node").agg(F.count(F.when(F.col("copies") > 1, 1)).alias("shared"))
+
+
 def components(links: DataFrame, nodes: DataFrame | None = None, name: str = "component") -> DataFrame:
     """(node, label) with label the smallest node reachable over the links (a, b).
 
@@ -211,36 +284,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = keyed.withColumns({"size": F.count(F.lit(1)).over(bucket), "rank": F.row_number().over(bucket.orderBy("node")) - 1})
     ranked = stage(ranked.where("size > 1").select("key", "rank", "node", "n", "first_id"), "buckets")
 
-    # A node's text is read from a row of its smallest id; an id that other texts repeat
-    # brings those too, which the node then sorts out.
+    # A node's text is read from a row of its smallest id, found map-side by a filter of fixed
+    # size: texts are not shuffled. What the filter lets through besides, the node sorts out.
     wanted = ranked.select("node", "first_id").distinct()
-    ids = wanted.select("first_id").distinct()
-    texts = source.join(ids, source["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
-    sets = full_sets(texts.select("text")).join(wanted.select("node"), "node", "left_semi")
+    sets = full_sets(source, id_filter(wanted, "first_id")).join(wanted.select("node"), "node", "left_semi")
     sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
+    hubs, others = ranked.where("rank = 0"), ranked.where("rank > 0")
+    links = stage(confirm(hub_pairs(hubs, others), sets), "links")
+    labels = components(links)
+
+    pool, members = mixed_buckets(ranked, labels), sets
+    if pool.limit(1).count():
+        # Shingles that no other node of a mixed bucket has bound every similarity from above.
+        members = stage(sets.join(pool.select("node").distinct(), "node", "left_semi"), "mixed-sets")
+        able = pool.drop("label", "rank").join(shared_shingles(members), "node").where(f"{SIM_DEN} * shared >= {SIM_NUM} * n")
+        # The node that shares most of its shingles is nearest to the middle of its bucket.
+        central = Window.partitionBy("key").orderBy(F.desc("shared"), "node")
+        able = stage(able.withColumn("rank", F.row_number().over(central) - 1), "central")
+        pool = mixed_buckets(against_pivots(able, members), labels)
     lo, hi = 0, 1
-    while True:
-        pool = ranked
-        if labels is not None:
-            pool = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = pool.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("rank").alias("top"))
-            mixed = stage(mixed.where(f"l <> h and top > {lo}").select("key"), "mixed")
-            if not mixed.limit(1).count():
-                break
-            pool = pool.join(mixed, "key")
-        else:
-            pool = pool.withColumn("label", F.col("node"))
-        hubs = pool.where(f"rank >= {lo} and rank < {hi}").select("key", F.col("rank").alias("r"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-        pairs = hubs.join(pool.where(f"rank > {lo}"), "key").where("rank > r and label <> la")
-        # Sizes alone rule out what cannot reach the similarity.
-        pairs = pairs.where(f"{SIM_DEN} * least(n, na) >= {SIM_NUM} * greatest(n, na)")
-        found = stage(confirm(pairs.select("a", F.col("node").alias("b")).distinct(), sets), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, labels)
-        lo, hi = hi, 4 * hi
+    while pool.where(f"rank >= {lo}").limit(1).count():
+        pairs = stage(hub_pairs(pool.where(f"rank >= {lo} and rank < {hi}"), pool, "rank > r and label <> la"), "pairs")
+        ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        found = stage(confirm(pairs, members.join(ends, "node", "left_semi")), "links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links, labels)
+        pool = mixed_buckets(pool.drop("label"), labels)
+        lo, hi = hi, 16 * hi
 
     of_node = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     head = of_node.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -258,3 +330,21 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near duplicates the smallest id stays."""
     return keep_where(docs, near_dedup(docs).where("not kept"))
+
+
+OP7_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[p : p + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as p from w where len(w) > 0)),
+sizes as (select w.doc_id, count(g) as n from w left join shingles using (doc_id) group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b using (g) where a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id, doc_id as r from w union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select doc_id, n as n_shingles, min(r) as component_id, doc_id = min(r) as kept
+from reach join sizes using (doc_id) group by doc_id, n
+"""
