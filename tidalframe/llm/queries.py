@@ -3,10 +3,10 @@
 from .bpe import op8_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
-from .minhash import op7_near_dedup
+from .minhash import OP7_SQL, op7_near_dedup
 from .passages import op9_fuzzy_passages
 from .pii import op4_pii
-from .secrets import op6_secrets
+from .secrets import OP6_SQL, op6_secrets
 from .suffix_dedup import op10_suffix_dedup
 from .token_store import op2_token_store
 from .toxicity import op5_toxicity
@@ -27,4 +27,6 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op6_secrets": OP6_SQL,
+    "op7_near_dedup": OP7_SQL,
 }

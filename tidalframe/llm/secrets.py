@@ -149,3 +149,39 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+def _sql_matches(kind: str, pattern: str, keep: str = "true") -> str:
+    """Matches of a pattern in DuckDB, their bounds from what lies between them."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+    select doc_id, '{kind}' as kind, s, s + length(m) as e, m, v from (
+      select doc_id, ms[i] as m, vs[i] as v,
+             list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as s
+      from (select *, unnest(range(1, len(ms) + 1)) as i from (
+        select doc_id, string_split_regex(text, '{quoted}') as gaps, regexp_extract_all(text, '{quoted}') as ms,
+               regexp_extract_all(text, '{quoted}', {2 if kind == "assign" else 0}) as vs from d)))
+    where {keep}"""
+
+
+OP6_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+base as ({_sql_matches("assign", ASSIGN, f"length(v) >= {LEAST_VALUE}")} union all {_sql_matches("access", ACCESS)} union all {_sql_matches("hex", HEX)}),
+part as (
+  select p.* from ({" union all ".join(_sql_matches(k, p, "regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')" if k == "weak" else "true") for k, p in PART_PATTERNS.items())}) p
+  where not exists (select 1 from base b where b.doc_id = p.doc_id and b.s < p.e and p.s < b.e)),
+br as ({_sql_matches("break", BLANK_LINE)}),
+every_part as (
+  select u.*, (select count(*) from br where br.doc_id = u.doc_id and br.s < u.s) as scope,
+         case when kind in ('assign', 'hex', 'weak', 'short') then 'secret' when kind = 'endpoint' then 'endpoint' else 'identifier' end as role
+  from (select doc_id, kind, s, e, true as is_base from base union all select doc_id, kind, s, e, false from part) u),
+linked as (
+  select a.doc_id, a.kind, a.s, a.e from every_part a where a.is_base or exists (
+    select 1 from every_part b where b.doc_id = a.doc_id and b.scope = a.scope and b.s between a.s - {REACH} and a.s + {REACH}
+    and case when a.role = 'secret' then b.role in ('identifier', 'endpoint') else b.role = 'secret' end)),
+ranked as (select *, list_position([{", ".join(f"'{k}'" for k in (*BASE_KINDS, *PART_PATTERNS))}], kind) as k from linked)
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+       sha256(coalesce(string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, k) filter (k <= 3), '')) as base_sha256,
+       coalesce(string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, k), '') as spans
+from d left join ranked using (doc_id) group by d.doc_id
+"""
