@@ -19,7 +19,7 @@ _JOINED_RUN = re.compile(r"\s (?:\s|$)")
 class ChunkEncoder:
     """Encode texts to ids (bytes of unsigned 32-bit integers) through a chunk memo."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, memo_chars: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, memo_chars: int = 64):
         self._encode, self._limit, self._memo_chars = encode, limit, memo_chars
         self._memo: dict[str, bytes] = {}
 
@@ -40,7 +40,7 @@ class ChunkEncoder:
             rows.append(chunks)
             unknown.update(chunks)
         unknown = {c for c in unknown if c not in memo}
-        fresh = sorted(unknown)
+        fresh = list(unknown)
         known = dict(zip(fresh, self._encode(fresh), strict=True))
         alone = dict(zip(whole, self._encode([texts[k] for k in whole]), strict=True))
         memo.update((c, v) for c, v in known.items() if len(c) <= self._memo_chars)

@@ -26,9 +26,11 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,7 @@ END_ID = 0
 HEADER, HEADER_BYTES = "<8sII", 16
 MAGIC, INDEX_MAGIC = b"TFTOKENS", b"TFTOKIDX"
 _LEVEL = struct.Struct("<Q")
+_PLAIN = re.compile(r" ?\S+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -57,8 +60,29 @@ def _library(name: str):
     tokenizer = Tokenizer.from_file(local_file(name))
     tokenizer.encode_special_tokens = True
 
+    newline = tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def each(texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Chunks without inner white space go as lines of one text: a line break between
+        two of them is a token of its own, at which the ids are cut again."""
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t)] if len(newline) == 1 else []
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
+            ids = np.frombuffer(each(["\n".join(texts[k] for k in part)])[0], np.uint32)
+            cut = np.flatnonzero(ids == newline[0])
+            if len(cut) != len(part) - 1:
+                continue
+            raw, bounds = ids.tobytes(), [-1, *cut.tolist(), len(ids)]
+            for k, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
+                out[k] = raw[4 * a + 4 : 4 * b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, each([texts[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
 
     return ChunkEncoder(encode), tokenizer.get_vocab_size()
 
