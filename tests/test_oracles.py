@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidalframe.plans.oracles import ORACLES
@@ -20,7 +21,7 @@ def db(sf):
 
 def rows_of(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
