@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidalframe.llm.common import read
-from tidalframe.llm.toxicity import LexiconTrie, Model, context_features, drop_toxic, errors_allowed, fit, fit_logistic, held_out, op5_toxicity, quoted, score
+from tidalframe.llm.toxicity import LexiconTrie, Model, choose_terms, context_features, drop_toxic, errors_allowed, fit, fit_logistic, held_out, op5_toxicity, quoted, score
 
 
 def distance(a, b):
@@ -83,3 +83,30 @@ def test_stage_keeps_clean_documents(spark, sf):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     clean = [i for i, t in labels.items() if not t]
     assert sum(i in ids for i in clean) / len(clean) > 0.98
+
+
+def test_long_terms_allow_two_edits():
+    m = Model({"blatherskite": (3.0, False), "numbskull": (2.0, True), "oaf": (1.0, False)}, [0.0] * 7)
+    words = {"blahtersktie", "blahterskite", "blatherskite", "nubmskulls", "nmbskul", "oaf", "oat", "blhtersktie"}
+    assert {w: e for w, (_, e) in m.hits(words).items()} == {"blatherskite": 0, "blahterskite": 2, "oaf": 0}
+
+
+def test_filter_passes_every_match():
+    rng = np.random.default_rng(8)
+    terms = {"".join(rng.choice(list("abcd"), rng.integers(3, 15))): (1.0, bool(rng.integers(2))) for _ in range(40)}
+    trie = LexiconTrie(terms)
+    for term in list(terms) * 40:
+        word = list(term)
+        for _ in range(rng.integers(0, 3)):
+            at = int(rng.integers(len(word)))
+            word[at : at + int(rng.integers(2))] = rng.choice(list("abcd"), rng.integers(2))
+        word = "".join(word)
+        assert trie.match(word) is None or trie.possible(word)
+
+
+def test_bound_of_the_lexicon_is_on_chosen_terms():
+    from types import SimpleNamespace as Row
+
+    nested = [Row(term="insulting"[:n], open_end=True, toxic=50, g2=90.0 + n, weight=3.0) for n in (4, 5, 6, 7, 8)]
+    rows = [*nested, Row(term="dunce", open_end=False, toxic=20, g2=40.0, weight=2.0), Row(term="clod", open_end=False, toxic=9, g2=31.0, weight=1.0)]
+    assert set(choose_terms(rows, 2)) == {"insultin", "dunce"} and len(choose_terms(rows)) == 3

@@ -6,9 +6,11 @@ often than the rest, by a likelihood-ratio test. They form a trie; a stem accept
 ending.
 
 *Automata.* Each distinct document word becomes a Levenshtein automaton (bit-parallel, with
-one edit from five letters on) that is intersected with the trie: the walk follows only trie
+one edit from five letters on, two from nine) that is intersected with the trie: the walk follows only trie
 edges on which the automaton is alive, so misspelled terms are found without comparing the
-word with every term; words that share no half with any term are ruled out before. Results are memoised per word, in a bounded memo.
+word with every term; words that hold no
+part of a term intact (halves for one edit, thirds for two) are ruled out before.
+Results are memoised per word, in a bounded memo.
 
 *Context.* Every hit gets a window score from the words and marks around it: quotation marks
 that enclose it and reporting words make it quotation; address to a reader, exclamation
@@ -36,9 +38,9 @@ from pyspark.sql import types as T
 from .common import read, stage, text_of
 from .textkernel import NON_SPACE, blocks, gram_hashes, words
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 40_000
 #: Stem lengths tried, least documents of a term, least likelihood ratio, largest lexicon.
-STEMS, LEAST_DOCS, LEAST_RATIO, MAX_TERMS = (4, 5, 6, 7, 8), 5, 30.0, 1024
+STEMS, LEAST_DOCS, LEAST_RATIO, MAX_TERMS = (4, 5, 6, 7, 8), 5, 30.0, 4096
 WINDOW = 12
 _WORD = re.compile(r"[^\W\d_]+")
 # Words that report speech, and words that address someone (en, fr, de, es).
@@ -50,7 +52,7 @@ FEATURES = 6
 
 def errors_allowed(n: int) -> int:
     """Edits tolerated in a term of n letters."""
-    return 0 if n < 5 else 1
+    return 0 if n < 5 else 1 if n < 9 else 2
 
 
 class LexiconTrie:
@@ -69,27 +71,29 @@ class LexiconTrie:
                     self.entry.append(None)
                 at = nxt
             self.entry[at] = (weight, open_end, len(term))
-        self._halves(terms)
+        self._parts(terms)
 
-    def _halves(self, terms: dict[str, tuple[float, bool]]) -> None:
-        """Halves of the terms: with one edit at most, one of them is intact in the word."""
-        self.heads: dict[int, set[str]] = {}
+    def _parts(self, terms: dict[str, tuple[float, bool]]) -> None:
+        """Parts of the terms, one more than their edits: one of them is intact in the word.
+
+        A part is moved by the edits before it at most; the last of a closed term is looked
+        for from the word's end.
+        """
+        self.parts: dict[tuple[int, int, int], set[str]] = {}
         self.tails: dict[int, set[str]] = {}
-        self.inner: dict[tuple[int, int], set[str]] = {}
         for term, (_, open_end) in terms.items():
-            h = len(term) // 2
-            self.heads.setdefault(h, set()).add(term[:h])
-            if open_end:
-                self.inner.setdefault((h, len(term) - h), set()).add(term[h:])
-            else:
-                self.tails.setdefault(len(term) - h, set()).add(term[h:])
+            edits = errors_allowed(len(term) - 1 if open_end else len(term))
+            cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
+            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if i == edits and i and not open_end:
+                    self.tails.setdefault(hi - lo, set()).add(term[lo:])
+                else:
+                    self.parts.setdefault((lo, hi - lo, edits if i else 0), set()).add(term[lo:hi])
 
     def possible(self, word: str) -> bool:
         """False only for words that no entry can match."""
-        return (
-            any(word[:h] in found for h, found in self.heads.items())
-            or any(word[-n:] in found for n, found in self.tails.items())
-            or any(word[h + d : h + d + n] in found for (h, n), found in self.inner.items() for d in (-1, 0, 1))
+        return any(word[-n:] in found for n, found in self.tails.items()) or any(
+            word[at : at + n] in found for (lo, n, moved), found in self.parts.items() for at in range(max(0, lo - moved), lo + moved + 1)
         )
 
     def match(self, word: str) -> tuple[float, int] | None:
@@ -270,11 +274,12 @@ def likelihood_ratio(toxic: F.Column, clean: F.Column, n_toxic: int, n_clean: in
     )
 
 
-def choose_terms(rows: list) -> dict[str, tuple[float, bool]]:
+def choose_terms(rows: list, most: int = MAX_TERMS) -> dict[str, tuple[float, bool]]:
     """The longest form that explains a term's documents, and no term twice.
 
     A stem gives way to a longer stem, or to a word, that holds five sixths of its toxic
-    documents; what a remaining shorter stem covers is left out.
+    documents; what a remaining shorter stem covers is left out. Of what remains, the ``most``
+    terms of largest likelihood ratio stay.
     """
     best: dict[str, int] = {}
     for r in rows:
@@ -285,7 +290,8 @@ def choose_terms(rows: list) -> dict[str, tuple[float, bool]]:
         covered = any(terms.get(r.term[:n], (0, False))[1] for n in range(4, len(r.term) + (not r.open_end)))
         if not covered and not (r.open_end and 6 * best.get(r.term, 0) >= 5 * r.toxic):
             terms[r.term] = (r.weight, r.open_end)
-    return terms
+    kept = sorted((r for r in rows if terms.get(r.term) == (r.weight, r.open_end)), key=lambda r: (-r.g2, r.term, r.open_end))
+    return {r.term: (r.weight, r.open_end) for r in kept[:most]}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 60) -> list[float]:
@@ -315,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rated = counts.withColumns({"g2": likelihood_ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean), "weight": odds})
     # A term counts only if most of its documents are toxic, whatever the share of toxic rows.
     rated = rated.where(f"g2 >= {LEAST_RATIO} and weight > 0 and toxic >= 4 * clean")
-    terms = choose_terms(rated.orderBy(F.desc("g2"), "term", "open_end").limit(MAX_TERMS).collect())
+    # LEAST_DOCS and LEAST_RATIO leave few words and stems of at most max_labelled rows; the bound is on what is chosen.
+    terms = choose_terms(rated.collect())
     model = Model(terms, [0.0] * (FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
