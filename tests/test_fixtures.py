@@ -212,3 +212,21 @@ def test_remaining_selectors(spark):
     assert [r.id for r in ranking.every_nth(spark.range(20), "id", 5, 3).collect()] == [0, 5, 10]
     placed = spark.createDataFrame([(1, 0, 0, 0, 100.0), (1, 0, 0, 1, 50.0)], "source_id int, group_idx int, line_idx int, word_idx int, w double")
     assert [r.x for r in captions.line_layout(placed, 1000.0, 1000.0, 10.0, 50.0).orderBy("word_idx").collect()] == [420.0, 530.0]
+
+
+def test_clean_pages_cleans_whole_texts(spark, sf):
+    import re
+
+    from tidalframe.plans.queries import QUERIES
+
+    def clean(html):
+        for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\xa0"), ("copy", "\xa9"), ("amp", "&")):
+            html = html.replace(f"&{name};", value)
+        space = " \t\n\x0b\f\r\xa0"
+        html = re.sub("<[^>]+>", "", html).strip(space)
+        return re.sub(rf"\[?[{space}]*__[{space}]*\]?", "***", html)
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in QUERIES["clean_pages"](spark, sf).collect()}
+    assert max(len(r.html) for r in pages) > 300
+    assert got == {r.page_id: clean(r.html) for r in pages}

@@ -350,6 +350,12 @@ def clean_words(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.clean_word(word).alias("word"))
 
 
+@query
+def clean_pages(spark, sf):
+    """``clean_words`` over the whole text; without SQL, tested against brute force."""
+    return read(spark, sf, "pages").select("page_id", X.clean_word(F.col("html")).alias("text"))
+
+
 @query
 def json_fallback(spark, sf):
     broken = F.when(F.col("event_id") % 7 == 0, F.lit("oops")).otherwise(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
