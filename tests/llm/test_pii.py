@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from tidalframe.llm.common import read
-from tidalframe.llm.pii import TAGS, Field, base_spans, crf_spans, find_pii, op4_pii, token_features, train, training_table
+from tidalframe.llm.pii import TAGS, Field, base_spans, crf_spans, find_pii, op4_pii, outside, token_features, train, training_table
 from tidalframe.llm.textkernel import NON_SPACE, Block, blocks, string_bytes, words
 
 
@@ -30,6 +30,19 @@ def test_base_equals_the_patterns():
     assert base_spans("1" * 200_000) == [] and base_spans("a" * 200_000) == []
 
 
+def test_parts_of_addresses_count_by_value():
+    for x in ("1.2.3." + "0" * 25 + "255", "1.2.3." + "0" * 25 + "256", "0.00.000.0000", "1.2.3.9999", "256.1.1.1", "255.255.255.255", "0" * 4000 + ".1.2.0003"):
+        assert brute(x) == base_spans(x)
+
+
+def test_outside_equals_pairwise_overlap():
+    rng = random.Random(5)
+    span = lambda: (lambda s: ("k", s, s + rng.randrange(1, 9)))(rng.randrange(80))
+    for _ in range(500):
+        spans, taken = [span() for _ in range(rng.randrange(8))], [span() for _ in range(rng.randrange(8))]
+        assert outside(spans, taken) == [m for m in spans if not any(s < m[2] and m[1] < e for _, s, e in taken)]
+
+
 def test_query_on_documents(spark, sf):
     texts = {r.doc_id: r.text or "" for r in read(spark, sf, "documents").select("doc_id", "text").collect()}
     for r in op4_pii(spark, sf).collect():

@@ -1,8 +1,9 @@
 import hashlib
+import random
 import re
 
 from tidalframe.llm.common import read
-from tidalframe.llm.secrets import op6_secrets, scan_secrets
+from tidalframe.llm.secrets import BASE_KINDS, BLANK_LINE, HOST_HEAD, HOST_PORT, PART_PATTERNS, ROLES, op6_secrets, scan_secrets
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -50,5 +51,56 @@ def test_positions_are_code_points_and_failing_matches_go(spark):
         assert [f"{k}:{s}:{e}" for k, s, e in got[i][0]] == base(text or "")
 
 
+def test_long_and_crowded_texts(spark):
+    weak = "Zk3Qp9LmWx8RtYv2BnCs4D"
+    dotted, near = "a." * 100_000, weak + " " + "a." * 100_000 + "b:8080"
+    assigned = "".join(f"token={i:06d}\n" for i in range(20_000))
+    paragraphs = "".join(f"user = u{i:05d} {weak}\n\n" for i in range(5_000))
+    mixed = "".join(f"secret: {'ab' * (3 + i % 3)}, AKIA{'A' * 20} {'c' * 30} " for i in range(700)) + "é" * 300
+    odd = ["..a.b:80 " + weak, "a..b:80 " + weak, "a.b:80-c.d:90 " + weak, "a.b:8 " + weak, "a.b:123456 " + weak, "x:a.b:80. " + weak]
+    got = spans_of(spark, [dotted, near, assigned, paragraphs, mixed, *odd])
+    for i, text in enumerate([dotted, near, assigned, paragraphs, mixed]):
+        assert [f"{k}:{s}:{e}" for k, s, e in got[i][0]] == base(text)
+    assert got[0][1] == [] and [k for k, _, _ in got[1][1]] == ["weak", "host"]
+    assert got[1][1][1] == ("host", len(weak) + 1, len(near))
+    assert len(got[2][1]) == 20_000 and len(got[3][1]) == 10_000
+    assert [[(k, e) for k, _, e in got[i][1] if k == "host"] for i in range(5, 11)] == [[], [], [("host", 6)], [], [], [("host", 8)]]
+
+
+def brute_links(text, reach=400):
+    """Base spans and parts of one text, each part tried against every other."""
+    found = [(k, m.start(), m.end(), m[0]) for k, p in PART_PATTERNS.items() for m in re.finditer(p, text)]
+    own = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base(text))]
+    breaks = [m.start() for m in re.finditer(BLANK_LINE, text)]
+    parts = []
+    for k, s, e, m in found:
+        if k == "weak" and not all(re.search(c, m) for c in ("[A-Z]", "[a-z]", "[0-9]")):
+            continue
+        if k == "host":
+            head = re.match(HOST_HEAD, m)[0]
+            if not re.match(HOST_PORT, m) or ".." in head:
+                continue
+            e = s + len(head)
+        if not any(b < e and s < c for _, b, c in own):
+            parts.append((k, s, e))
+    every = [(k, s, e, ROLES[k], sum(b < s for b in breaks)) for k, s, e in own + parts]
+    out = list(own)
+    for k, s, e, role, scope in every[len(own) :]:
+        want = ("identifier", "endpoint") if role == "secret" else ("secret",)
+        if any(r in want and c == scope and abs(t - s) <= reach for _, t, _, r, c in every):
+            out.append((k, s, e))
+    order = [*BASE_KINDS, *PART_PATTERNS]
+    return sorted(out, key=lambda x: (x[1], order.index(x[0])))
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(9)
+    pieces = ["user=abcd ", "login: joe ", "https://x.example/y ", "db.example:5432 ", "host = a.b.c ", "Zk3Qp9LmWx8RtYv2BnCs4D ", "password=abc ", "secret: abcdefgh ", "f" * 26 + " ", "AKIA" + "B" * 18 + " ", "\n\n", "word " * 30, "password=user=login "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(150)]
+    texts += texts[:20]
+    for i, (_, spans) in spans_of(spark, texts).items():
+        assert spans == brute_links(texts[i])
+
+
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0

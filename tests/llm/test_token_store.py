@@ -14,7 +14,6 @@ from tidalframe.llm.token_store import TOKENIZER_FILE, BucketIndex, MinimalPerfe
 def expected(rows):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(P.path(TOKENIZER_FILE))
-    t.encode_special_tokens = True
     start, out = 0, []
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -52,6 +51,15 @@ def test_keyed_access_and_odd_rows(spark, tmp_path):
             store[foreign]
 
 
+def test_special_strings_are_encoded_as_the_library_does(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "  <|endoftext|>\n<|endoftext|> ", "<|endof text|>", "plain words " * 500 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = write_store(docs)
+    got = sorted(tuple(r) for r in written.read_back(written.locate(docs)).collect())
+    assert got == expected(list(enumerate(texts)))
+    assert TokenStore(written.save_manifest())[0].tolist() == [64, 220, 50256, 275, 0]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     written = write_store(docs)

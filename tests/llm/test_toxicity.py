@@ -91,6 +91,14 @@ def test_long_terms_allow_two_edits():
     assert {w: e for w, (_, e) in m.hits(words).items()} == {"blatherskite": 0, "blahterskite": 2, "oaf": 0}
 
 
+def test_words_of_any_length_match():
+    m = Model({"idiot": (3.0, True), "numbskull": (2.0, False)}, [0.0] * 7)
+    long = {"idiot" + "x" * 36, "idoit" + "x" * 200_000, "numbskull" + "s" * 60, "x" * 100_000}
+    assert {w[:5] for w in m.hits(long)} == {"idiot"}
+    m = Model({"blathers": (3.0, True)}, [0.0] * 7)
+    assert {len(w): e for w, (_, e) in m.hits({"blaters" + "x" * 50, "blathers" * 3000, "blatrs" + "x" * 90}).items()} == {57: 1, 24000: 0}
+
+
 def test_filter_passes_every_match():
     rng = np.random.default_rng(8)
     terms = {"".join(rng.choice(list("abcd"), rng.integers(3, 15))): (1.0, bool(rng.integers(2))) for _ in range(40)}
