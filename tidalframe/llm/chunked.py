@@ -3,7 +3,7 @@
 With the byte-level pattern a text may be cut before a space: what follows is split the
 same way whatever stands before, unless that space has white space on both sides (or on
 its left and the end on its right). Texts without such a space are encoded as the
-concatenation of their chunks, the others as a whole. Each distinct chunk is encoded once
+concatenation of their chunks, the others, and those that ``whole`` names, as a whole. Each distinct chunk is encoded once
 in a worker while the memo holds it; the memo is emptied when it reaches ``limit``
 entries, so its memory is bounded and results do not depend on it.
 """
@@ -19,8 +19,8 @@ _JOINED_RUN = re.compile(r"\s (?:\s|$)")
 class ChunkEncoder:
     """Encode texts to ids (bytes of unsigned 32-bit integers) through a chunk memo."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, memo_chars: int = 64):
-        self._encode, self._limit, self._memo_chars = encode, limit, memo_chars
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, memo_chars: int = 64, whole: Callable[[str], bool] = lambda text: False):
+        self._encode, self._limit, self._memo_chars, self._whole = encode, limit, memo_chars, whole
         self._memo: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -31,7 +31,7 @@ class ChunkEncoder:
         unknown: set[str] = set()
         whole: list[int] = []
         for k, text in enumerate(texts):
-            if _JOINED_RUN.search(text):
+            if _JOINED_RUN.search(text) or self._whole(text):
                 rows.append(None)
                 whole.append(k)
                 continue

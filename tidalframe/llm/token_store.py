@@ -16,7 +16,8 @@ fingerprint (a false match has probability 2^-64).
 Files go through ``pyarrow.fs`` to the shared folder named in spark.checkpoint.dir (or to
 ``path``); tables through Spark.
 
-Defined results: null text is empty (its record is the end id alone). Rows without an id,
+Defined results: ids are the library's own, so a text that holds a special token's string has
+that token's id there. Null text is empty (its record is the end id alone). Rows without an id,
 and rows that repeat an id after the first (in order of id, then text), are stored in order
 but not indexed: sequential reads return them, keyed access returns the first.
 """
@@ -47,6 +48,8 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
 #: A shard's header: magic, bytes of an id, end id.
 HEADER, HEADER_BYTES = "<8sII", 16
+#: Bytes read from a shard at once when records are read in order.
+READ_BYTES = 4 << 20
 MAGIC, INDEX_MAGIC = b"TFTOKENS", b"TFTOKIDX"
 _LEVEL = struct.Struct("<Q")
 _PLAIN = re.compile(r" ?\S+")
@@ -58,8 +61,8 @@ def _library(name: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(local_file(name))
-    tokenizer.encode_special_tokens = True
-
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
     newline = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def each(texts: list[str]) -> list[bytes]:
@@ -69,7 +72,7 @@ def _library(name: str):
         """Chunks without inner white space go as lines of one text: a line break between
         two of them is a token of its own, at which the ids are cut again."""
         out: list[bytes | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t)] if len(newline) == 1 else []
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t) and not special(t)] if len(newline) == 1 else []
         for lo in range(0, len(plain), 4096):
             part = plain[lo : lo + 4096]
             ids = np.frombuffer(each(["\n".join(texts[k] for k in part)])[0], np.uint32)
@@ -84,7 +87,7 @@ def _library(name: str):
             out[k] = x
         return out
 
-    return ChunkEncoder(encode), tokenizer.get_vocab_size()
+    return ChunkEncoder(encode, whole=lambda text: special(text) is not None), tokenizer.get_vocab_size()
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -314,7 +317,7 @@ class Written:
 
         def crc(batches):
             store, folder = _open(path)
-            name, file, kind = None, None, None
+            name, file, kind, held, at = None, None, None, b"", 0
             for batch in batches:
                 sums = []
                 for want, offset, n in zip(batch.column("file").to_pylist(), batch.column("offset").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
@@ -325,9 +328,13 @@ class Written:
                         magic, size, _ = struct.unpack(HEADER, file.read_at(HEADER_BYTES, 0))
                         if magic != MAGIC:
                             raise ValueError(f"{want} is not a shard")
-                        kind = np.dtype(f"<u{size}")
-                    raw = file.read_at(n * kind.itemsize, HEADER_BYTES + offset * kind.itemsize)
-                    ids = np.frombuffer(raw, kind)
+                        kind, held = np.dtype(f"<u{size}"), b""
+                    # Records come in order of place, so a read serves those that follow too.
+                    lo = HEADER_BYTES + offset * kind.itemsize
+                    hi = lo + n * kind.itemsize
+                    if lo < at or hi > at + len(held):
+                        held, at = file.read_at(max(hi - lo, READ_BYTES), lo), lo
+                    ids = np.frombuffer(held[lo - at : hi - at], kind)
                     if len(ids) != n:
                         raise ValueError(f"{want} is shorter than its index says")
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
