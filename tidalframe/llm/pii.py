@@ -59,6 +59,10 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _at_most_255(digits: str) -> bool:
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -74,7 +78,7 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans in order of kind as listed, then start."""
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 20 and int(p) <= 255 or not p.strip("0") for p in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_at_most_255(p.lstrip("0")) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             d = _digits(m.group())
@@ -348,8 +352,32 @@ def crf_spans(field: Field, block: Block) -> list[list[tuple[str, int, int]]]:
     return out
 
 
+def outside(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of ``taken``; both are put in order and met once."""
+    if not taken or not spans:
+        return spans
+    starts, ends = [], []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    # The last taken run that begins before a span's end must end at its start or before.
+    last = np.searchsorted(starts, [e for _, _, e in spans], "left") - 1
+    return [x for x, k in zip(spans, last.tolist(), strict=True) if k < 0 or ends[k] <= x[1]]
+
+
+def span_lists(rows: list[list[tuple[str, int, int]]]) -> pa.Array:
+    """An Arrow list of (kind, start, end) for each row."""
+    flat = [s for row in rows for s in row]
+    bounds = np.zeros(len(rows) + 1, np.int32)
+    bounds[1:] = np.cumsum([len(row) for row in rows])
+    columns = [pa.array([s[k] for s in flat], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(columns, ["kind", "start", "end"]))
+
+
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def find_pii(docs: DataFrame, field: Field | None = None, text_col: str = "text") -> DataFrame:
@@ -358,7 +386,6 @@ def find_pii(docs: DataFrame, field: Field | None = None, text_col: str = "text"
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("base_spans", _SPAN), T.StructField("spans", _SPAN)])
     shared = docs.sparkSession.sparkContext.broadcast(field or train())
-    keys = ("kind", "start", "end")
 
     def run(batches):
         for batch in batches:
@@ -366,10 +393,8 @@ def find_pii(docs: DataFrame, field: Field | None = None, text_col: str = "text"
                 base = [base_spans(block.text(i).decode()) for i in range(block.n_docs)]
                 spans = []
                 for b, more in zip(base, crf_spans(shared.value, block), strict=True):
-                    free = [m for m in more if not any(s < m[2] and m[1] < e for _, s, e in b)]
-                    spans.append(b + sorted(free, key=lambda m: (CRF_KINDS.index(m[0]), m[1])))
-                columns = [pa.array([[dict(zip(keys, s, strict=True)) for s in row] for row in x], _ARROW_SPAN) for x in (base, spans)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(block.first, block.n_docs).columns, *columns], names=schema.names)
+                    spans.append(b + sorted(outside(more, b), key=lambda m: (CRF_KINDS.index(m[0]), m[1])))
+                yield pa.RecordBatch.from_arrays([*batch.slice(block.first, block.n_docs).columns, span_lists(base), span_lists(spans)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
