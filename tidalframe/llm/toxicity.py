@@ -1,9 +1,10 @@
 """Operator 5: toxicity from a learned lexicon, Levenshtein automata and context windows.
 
 *Lexicon.* On the labelled training rows (at most ``max_labelled``, the ones of smallest
-hash; a documented bound) words and word stems are kept whose documents are toxic far more
-often than the rest, by a likelihood-ratio test. They form a trie; a stem accepts any
-ending.
+hash; a documented bound; of rows with one label and the same least 3-gram, the shortest) words and word stems are kept whose documents are toxic far more
+often than the rest, by a likelihood-ratio test. Terms have three letters at least and any length; how
+many there are is bounded by what ``max_labelled`` rows can hold. They form a trie; a stem
+accepts any ending.
 
 *Automata.* Each distinct document word becomes a Levenshtein automaton (bit-parallel, with
 one edit from five letters on, two from nine) that is intersected with the trie: the walk follows only trie
@@ -39,8 +40,8 @@ from .common import read, stage, text_of
 from .textkernel import NON_SPACE, blocks, gram_hashes, words
 
 MAX_LABELLED = 40_000
-#: Stem lengths tried, least documents of a term, least likelihood ratio, largest lexicon.
-STEMS, LEAST_DOCS, LEAST_RATIO, MAX_TERMS = (4, 5, 6, 7, 8), 5, 30.0, 4096
+#: Stem lengths tried, least documents of a term, least likelihood ratio.
+STEMS, LEAST_DOCS, LEAST_RATIO = (4, 5, 6, 7, 8), 5, 30.0
 WINDOW = 12
 _WORD = re.compile(r"[^\W\d_]+")
 # Words that report speech, and words that address someone (en, fr, de, es).
@@ -59,6 +60,8 @@ class LexiconTrie:
     """Terms with weights in a trie; a stem (``open_end``) accepts any ending."""
 
     def __init__(self, terms: dict[str, tuple[float, bool]]):
+        #: With two edits, no term can reach further into a word.
+        self.reach = max(map(len, terms), default=0) + 2
         self.children: list[dict[str, int]] = [{}]
         self.entry: list[tuple[float, bool, int] | None] = [None]
         for term, (weight, open_end) in sorted(terms.items()):
@@ -102,7 +105,9 @@ class LexiconTrie:
         State after a trie path: for each number of errors e the set of word positions
         (as bits) reachable with e edits. Closed terms need the last position; stems any.
         """
-        n, limit = len(word), errors_allowed(len(word))
+        limit = errors_allowed(len(word))
+        word = word[: self.reach + 1]  # only a stem can match a longer word, within its own reach
+        n = len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
@@ -168,7 +173,7 @@ class Model:
         if len(memo) > 300_000:
             memo.clear()
         for word in distinct.difference(memo):
-            memo[word] = self._trie.match(word) if 3 <= len(word) <= 40 and self._trie.possible(word) else None
+            memo[word] = self._trie.match(word) if len(word) >= 3 and self._trie.possible(word) else None
         return {w: m for w in distinct if (m := memo[w]) is not None}
 
     def features(self, text: str) -> list[float]:
@@ -232,10 +237,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
                 least = [grams[a : max(a, b - 2)].min() if b - a > 2 else w.hash[a:b].sum() for a, b in zip(w.doc_first[:-1], w.doc_first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(block.first, block.n_docs).columns, pa.array(np.array(least, np.uint64).astype(np.int64))], names=["text", "toxic", "key"])
 
-    # Copies would pass off the words of one text as frequent; most share their least 3-gram.
+    # Copies would pass off the words of one text as frequent; most share their least 3-gram. Rows
+    # of one label that share it, copies or not, count as one: the shortest.
     marked = rows.mapInArrow(sketch, "text string, toxic int, key long")
     one = F.min_by(F.struct("text", "toxic"), F.struct(F.length("text"), F.xxhash64("text"), "toxic")).alias("t")
-    return marked.groupBy("key").agg(one).select("t.text", "t.toxic")
+    return marked.groupBy("key", "toxic").agg(one).select("t.text", "t.toxic")
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -249,7 +255,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             sums: dict[tuple[str, bool], list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {w for w in _WORD.findall(text.lower()) if 3 <= len(w) <= 40}
+                found = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
                 terms = {(w, False) for w in found} | {(w[:n], True) for w in found for n in STEMS if len(w) >= n}
                 for t in terms:
                     sums.setdefault(t, [0, 0])[0 if toxic else 1] += 1
@@ -274,12 +280,12 @@ def likelihood_ratio(toxic: F.Column, clean: F.Column, n_toxic: int, n_clean: in
     )
 
 
-def choose_terms(rows: list, most: int = MAX_TERMS) -> dict[str, tuple[float, bool]]:
+def choose_terms(rows: list, most: int | None = None) -> dict[str, tuple[float, bool]]:
     """The longest form that explains a term's documents, and no term twice.
 
     A stem gives way to a longer stem, or to a word, that holds five sixths of its toxic
-    documents; what a remaining shorter stem covers is left out. Of what remains, the ``most``
-    terms of largest likelihood ratio stay.
+    documents; what a remaining shorter stem covers is left out. If ``most`` is given, that many
+    of what remains stay, of largest likelihood ratio.
     """
     best: dict[str, int] = {}
     for r in rows:
@@ -321,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rated = counts.withColumns({"g2": likelihood_ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean), "weight": odds})
     # A term counts only if most of its documents are toxic, whatever the share of toxic rows.
     rated = rated.where(f"g2 >= {LEAST_RATIO} and weight > 0 and toxic >= 4 * clean")
-    # LEAST_DOCS and LEAST_RATIO leave few words and stems of at most max_labelled rows; the bound is on what is chosen.
+    # At most max_labelled rows hold these words and stems, each LEAST_DOCS of them.
     terms = choose_terms(rated.collect())
     model = Model(terms, [0.0] * (FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
