@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
 
+import pyarrow as pa
+
 from tidalframe.llm.common import read
-from tidalframe.llm.decontaminate import decontaminate, mark_hits, merge_runs, op3_decontaminate
+from tidalframe.llm.decontaminate import WindowSet, _scan, decontaminate, mark_hits, merge_runs, op3_decontaminate
 
 
 def words(text):
@@ -54,5 +57,22 @@ def test_blocks_short_items_and_odd_rows(spark):
     assert decontaminate(table, bench.limit(0)).count() == len(docs) and decontaminate(table.limit(0), bench).count() == 0
 
 
+def test_a_window_set_is_small_and_quick():
+    import pickle
+    import time
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(120))) for i in range(3000)]
+    items += [(10_000 + i, "the same ten words in very many benchmark items here") for i in range(2000)]
+    began = time.time()
+    held = WindowSet(items, 10)
+    assert time.time() - began < 5
+    n_windows = sum(len(x[0]) for x in held.sizes.values())
+    assert n_windows > 330_000 and len(pickle.dumps(held)) < 64 * n_windows
+    text = items[7][1] + " the same ten words in very many benchmark items here"
+    ((_, _, ids),) = list(_scan(pa.array([text]), held))
+    assert {7, *range(10_000, 12_000)} == set(ids[0])
+
+
 def test_runs_merge():
     assert merge_runs([(5, 8), (0, 3), (3, 4), (7, 9)]) == [0, 4, 5, 9]

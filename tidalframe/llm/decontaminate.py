@@ -1,14 +1,19 @@
 """Operator 3: benchmark decontamination with a broadcast hash set of test n-grams.
 
 Benchmark items are normalised (A-Z lower-cased, words of digits, letters and non-ASCII)
-and cut into windows of ``n`` words; an item of fewer words is one window. Their hashes
-form a sorted array that is broadcast with the windows' texts and item ids. Documents are
+and cut into windows of ``n`` words; an item of fewer words is one window. What is broadcast
+is one sorted array of window hashes for each length, the items' words once, and the place
+of each window in them: about 60 bytes a window, and no object for each. Documents are
 scanned once, whole, in NumPy blocks straight from Arrow buffers: every window of every
 length in the set is hashed, looked up, and each hit is verified on its words.
 
-The benchmark is split into blocks of at most ``block_bytes`` of text by item, so what is
-broadcast is bounded whatever the benchmark's size; blocks are chained over the same scan
-and merge their hit runs, with no join and no shuffle of documents.
+A benchmark of more than ``block_bytes`` of text is dealt into blocks of about that size by
+item. One block is collected, broadcast and scanned for at a time: the hit runs of a block are
+staged before the next is read, so neither driver nor worker ever holds two. The usual
+benchmark is one block, and documents are neither joined nor shuffled.
+
+As a stage (``drop_contaminated``): contaminated documents go, all others stay as they are, rows
+with null or repeated ids and null texts too.
 
 Defined results: null and empty texts have no words and are clean; null items and items
 without words match nothing; repeated items all count; null item ids are left out of
@@ -22,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
-from .textkernel import ALNUM, Block, blocks, gram_hashes, string_bytes, whole_hash, words
+from .common import read, stage
+from .textkernel import ALNUM, Block, blocks, gram_hashes, inside_document, string_bytes, whole_hash, words
 
 ADDED = ("n_words", "hit_runs", "item_ids")
 _SCAN_TYPES = {
@@ -38,52 +44,90 @@ _SCAN_TYPES = {
 
 
 class WindowSet:
-    """Hash set of normalised windows of one benchmark block, by window length."""
+    """Hash set of normalised windows of one benchmark block, by window length.
+
+    A class is a distinct window; ``first`` and ``items`` list the items that hold it.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], n: int):
-        self.texts: dict[bytes, set[int]] = {}
-        hashes: dict[int, set[int]] = {}
-        for item_id, text in items:
-            data, offsets = string_bytes(pa.array([text], pa.string()))
-            w = words(Block(0, 1, data, offsets), ALNUM)
-            total = len(w.start)
-            if not total:
-                continue
-            size = min(n, total)
-            found = gram_hashes(w.hash, size) if total >= n else np.array([whole_hash(w.hash)])
-            for at, h in enumerate(found):
-                self.texts.setdefault(w.joined(at, at + size), set()).update([] if item_id is None else [item_id])
-                hashes.setdefault(size, set()).add(int(h))
-        self.hashes = {size: np.array(sorted(found), np.uint64) for size, found in hashes.items()}
-        self.filters = {size: self._bitmap(found) for size, found in self.hashes.items()}
+        data, offsets = string_bytes(pa.array([t for _, t in items], pa.large_string()))
+        w = words(Block(0, len(items), data, offsets), ALNUM)
+        ids = np.array([-1 if i is None else i for i, _ in items], np.int64)
+        known = np.array([i is not None for i, _ in items], bool)
+        self.text, self.at = joined_words(w)
+        counts = np.diff(w.doc_first)
+        self.sizes: dict[int, tuple] = {}
+        for size in sorted({min(n, int(c)) for c in counts} - {0}):
+            if size == n:
+                place = inside_document(w.doc_first, n)
+                hashed = gram_hashes(w.hash, n)[place]
+            else:
+                place = w.doc_first[:-1][counts == size]
+                hashed = np.array([whole_hash(w.hash[i : i + size]) for i in place], np.uint64)
+            self.sizes[size] = self._classes(size, place, hashed, np.searchsorted(w.doc_first, place, "right") - 1, ids, known)
+
+    def _classes(self, size: int, place: np.ndarray, hashed: np.ndarray, item: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple:
+        order = np.lexsort((item, hashed))
+        place, hashed, item = place[order], hashed[order], item[order]
+        new = np.ones(len(place), bool)
+        new[1:] = hashed[1:] != hashed[:-1]
+        # Equal hashes of unequal words part a class; they are rare, equal windows are not.
+        for k in np.flatnonzero(~new).tolist():
+            new[k] = self.window(place[k], size) != self.window(place[k - 1], size)
+        first = np.flatnonzero(new)
+        kept = np.cumsum(np.append(0, known[item]))
+        hashes = hashed[first]
+        return hashes, place[first], kept[np.append(first, len(place))], ids[item[known[item]]], *self._bitmap(hashes)
 
     @staticmethod
     def _bitmap(found: np.ndarray) -> tuple[np.uint64, np.ndarray]:
-        bits = max(16, int(len(found) * 32).bit_length())
+        bits = max(16, int(len(found) * 8).bit_length())
         shift = np.uint64(64 - bits)
         present = np.zeros(1 << bits, bool)
         present[(found >> shift).astype(np.int64)] = True
         return shift, present
 
-    def hits(self, w) -> Iterator[tuple[int, int, set[int]]]:
-        """(first word, words, item ids) of each verified window occurrence."""
-        for size, known in self.hashes.items():
+    def window(self, word: int, size: int) -> bytes:
+        """The words from one on, joined by a space."""
+        return self.text[self.at[word] : self.at[word + size] - 1].tobytes()
+
+    def hits(self, w) -> Iterator[tuple[int, int, int]]:
+        """(first word, words, class) of each verified window occurrence."""
+        for size, (known, place, _, _, shift, present) in self.sizes.items():
             grams = gram_hashes(w.hash, size)
             if not len(grams):
                 continue
-            shift, present = self.filters[size]
             at = np.flatnonzero(present[(grams >> shift).astype(np.int64)])
             if not len(at):
                 continue
-            at = at[np.isin(grams[at], known)]
-            if not len(at):
-                continue
-            doc = np.searchsorted(w.doc_first, at, "right") - 1
-            at = at[at + size <= w.doc_first[doc + 1]]
-            for i in at.tolist():
-                ids = self.texts.get(w.joined(i, i + size))
-                if ids is not None:
-                    yield i, size, ids
+            near = np.searchsorted(known, grams[at])
+            held = known[np.minimum(near, len(known) - 1)] == grams[at]
+            at, near = at[held], near[held]
+            inside = at + size <= w.doc_first[np.searchsorted(w.doc_first, at, "right")]
+            for i, k in zip(at[inside].tolist(), near[inside].tolist(), strict=True):
+                found, h = w.joined(i, i + size), known[k]
+                while k < len(known) and known[k] == h:
+                    if self.window(place[k], size) == found:
+                        yield i, size, k
+                    k += 1
+
+    def items(self, classes: set[tuple[int, int]]) -> list[int]:
+        """Ids, in order, of the items that hold one of the (size, class) windows."""
+        out: set[int] = set()
+        for size, k in classes:
+            _, _, bound, ids, *_ = self.sizes[size]
+            out.update(ids[bound[k] : bound[k + 1]].tolist())
+        return sorted(out)
+
+
+def joined_words(w) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all words with a space after each, where each word begins, and the end)."""
+    size = w.end - w.start
+    at = np.append(0, np.cumsum(size + 1))
+    text = np.full(at[-1], 32, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[np.repeat(at[:-1], size) + within] = w.folded[np.repeat(w.start, size) + within]
+    return text, at
 
 
 def _scan(column: pa.Array, windows: WindowSet) -> Iterator[tuple[list[int], list[list[int]], list[list[int]]]]:
@@ -92,16 +136,16 @@ def _scan(column: pa.Array, windows: WindowSet) -> Iterator[tuple[list[int], lis
         w = words(block, ALNUM)
         counts = np.diff(w.doc_first).tolist()
         runs: list[list[int]] = [[] for _ in counts]
-        items: list[set[int]] = [set() for _ in counts]
+        classes: list[set[tuple[int, int]]] = [set() for _ in counts]
         marks: dict[int, list[tuple[int, int]]] = {}
-        for i, size, ids in windows.hits(w):
+        for i, size, k in windows.hits(w):
             d = int(np.searchsorted(w.doc_first, i, "right")) - 1
             base = int(w.doc_first[d])
             marks.setdefault(d, []).append((i - base, i - base + size))
-            items[d] |= ids
+            classes[d].add((size, k))
         for d, spans in marks.items():
             runs[d] = merge_runs(spans)
-        yield counts, runs, [sorted(x) for x in items]
+        yield counts, runs, [windows.items(x) for x in classes]
 
 
 def merge_runs(spans: list[tuple[int, int]]) -> list[int]:
@@ -119,14 +163,31 @@ def _pairs(flat: list[int]) -> list[tuple[int, int]]:
     return list(zip(flat[::2], flat[1::2], strict=True))
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's rows in blocks of bounded text, each small enough to broadcast."""
-    items = benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[text_col].cast("string").alias("t"))
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's distinct rows (i, t) in blocks of about ``block_bytes`` of text."""
+    items = benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[text_col].cast("string").alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_blocks = -(-total // block_bytes) if total else 0
-    for k in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+    n_blocks = max(1, -(-total // block_bytes))
+    return [items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
+
+
+def mark_block(out: DataFrame, at: int, windows: Broadcast) -> DataFrame:
+    """One scan of ``out`` (text at column ``at``, last the added columns) for a block's windows."""
+    n = len(out.columns)
+
+    def scan(batches):
+        for batch in batches:
+            done = 0
+            for counts, runs, ids in _scan(batch.column(at), windows.value):
+                part = batch.slice(done, len(counts))
+                done += len(counts)
+                before, ids_before = part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist()
+                runs = [merge_runs(_pairs(x) + _pairs(b or [])) for x, b in zip(runs, before, strict=True)]
+                ids = [sorted({*x, *(b or [])}) for x, b in zip(ids, ids_before, strict=True)]
+                columns = part.columns[:-3] + [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return out.mapInArrow(scan, out.schema)
 
 
 def mark_hits(
@@ -136,31 +197,18 @@ def mark_hits(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``docs`` with n_words, hit_runs (flat word bounds) and item_ids."""
-    spark = docs.sparkSession
     out = docs.drop(*ADDED)
     out = out.withColumns({name: F.lit(None).cast(kind) for name, kind in _SCAN_TYPES.items()})
-    schema, at = out.schema, out.columns.index(text_col)
-    found = list(item_blocks(benchmark, item_col, item_text_col, block_bytes)) or [[]]
-    for items in found:
-        windows = spark.sparkContext.broadcast(WindowSet(items, n))
-
-        def scan(batches, windows=windows):
-            for batch in batches:
-                done = 0
-                for counts, runs, ids in _scan(batch.column(at), windows.value):
-                    part = batch.slice(done, len(counts))
-                    done += len(counts)
-                    before = part.column(len(schema) - 2).to_pylist()
-                    ids_before = part.column(len(schema) - 1).to_pylist()
-                    runs = [merge_runs(_pairs(x) + _pairs(b or [])) for x, b in zip(runs, before, strict=True)]
-                    ids = [sorted({*x, *(b or [])}) for x, b in zip(ids, ids_before, strict=True)]
-                    columns = part.columns[:-3] + [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-
-        out = out.mapInArrow(scan, schema)
+    at, held = out.columns.index(text_col), None
+    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
+        if held is not None:  # what one block finds is written before another is held
+            out = stage(out, "hits")
+            held.destroy()
+        held = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.i, r.t) for r in block.collect()], n))
+        out = mark_block(out, at, held)
     return out
 
 
