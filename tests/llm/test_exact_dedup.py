@@ -42,5 +42,27 @@ def test_summary_names_what_is_frequent(spark):
 
 def test_stage_keeps_one_of_each(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c"), (None, "a b")], "doc_id long, text string")
-    assert {r.doc_id for r in keep_unique(spark, docs, "").collect()} == {1, 3, None}
+    assert {r.doc_id for r in keep_unique(spark, docs, "").collect()} == {1, 3}
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_the_winner(spark):
+    rows = [(7, "hot", i) for i in range(900)] + [(None, "nobody", i) for i in range(900)] + [(8, "hot", 0)] * 40 + [(i, f"own {i}", 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(6)
+    got = exact_dedup(docs, tracked=512).collect()
+    assert len(got) == len(rows)
+    groups = {t: [r for r in got if r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()] for t in ("hot", "nobody")}
+    assert [sum(r.kept for r in g) for g in groups.values()] == [1, 1]
+    assert {(r.keep_id, r.group_size) for r in groups["hot"]} == {(7, 940)} and {(r.keep_id, r.group_size) for r in groups["nobody"]} == {(None, 900)}
+    assert all(r.doc_id == 7 for r in groups["hot"] if r.kept)
+    kept = [(r.doc_id, r.text) for r in keep_unique(spark, docs, "", tracked=512).collect()]
+    assert len(kept) == 502 and (7, "hot") in kept and (None, "nobody") in kept
+
+
+def test_stage_decides_by_row(spark):
+    rows = [(1, "A", "x"), (5, "A", "y"), (5, "unique", "z"), (None, "A", "n"), (6, None, None), (7, "", "e"), (8, " ", "s"), (9, "same", "r"), (9, "same", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __k string")
+    kept = keep_unique(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "A", "x"), (5, "unique", "z"), (6, None, None), (8, " ", "s"), (9, "same", "r")]
+    assert keep_unique(spark, docs.limit(0), "").count() == 0

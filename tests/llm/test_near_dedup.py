@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidalframe.llm.common import read
-from tidalframe.llm.minhash import components, near_dedup, pi, sigma
+from tidalframe.llm.minhash import components, keep_representatives, near_dedup, pi, sigma
 
 
 def brute(rows):
@@ -78,3 +78,34 @@ def test_permutations_are_bijective_on_samples():
 def test_components_of_a_path(spark, n):
     links = spark.createDataFrame([(str(100 + i), str(101 + i)) for i in range(n)], "a string, b string")
     assert {r.label for r in components(links).collect()} == {"100"}
+
+
+def test_stage_decides_by_row(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    a, b, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"o{rng.random()}" for _ in range(20))
+    rows = [(1, a, 1), (2, b, 2), (2, other, 3), (None, a, 4), (None, "lone words without id here", 5), (None, "lone words without id here", 6), (3, None, 7), (3, "", 8), (4, a, 9), (1, a, 10), (1, b, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int").repartition(3)
+    kept = keep_representatives(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    ones = [g for g in got if g[0] == 1]
+    assert len(ones) == 1 and ones[0][1] in (a, b)
+    assert [g for g in got if g[0] != 1] == sorted([(2, other), (None, "lone words without id here"), (3, None), (3, "")], key=repr)
+    assert keep_representatives(spark, docs.limit(0), "").count() == 0
+
+
+def test_one_large_mixed_bucket(spark):
+    """Many near copies of one text and many texts that share half of it, all with one frequent line."""
+    rng = random.Random(8)
+    base, line = [f"b{i}" for i in range(80)], [f"l{i}" for i in range(12)]
+    rows = []
+    for k in range(150):
+        near = list(base)
+        near[rng.randrange(80)] = f"n{k}"
+        rows.append((k, " ".join(line + near)))
+    for k in range(60):
+        rows.append((1000 + k, " ".join(line + base[:45] + [f"h{k}_{j}" for j in range(20)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {tuple(r) for r in near_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    assert got == brute(rows)

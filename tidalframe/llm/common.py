@@ -75,14 +75,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def keep_where(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids in ``rejected`` (one id column).
+def without_rows(docs: DataFrame, lost: DataFrame, same: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text hash are in ``lost``; of those in ``same``
+    (rows that repeat both), one each stays. Both are (doc_id, text_hash) as xxhash64 gives it.
 
-    Null ids are never rejected. Whether the rejected side is broadcast is left to the
-    planner, which checks its measured size against ``autoBroadcastJoinThreshold``.
+    Whether a side is broadcast is left to the planner, which checks its measured size.
     """
-    ids = rejected.select(F.col(id_col).alias("__rejected_id"))
-    return docs.join(ids, docs[id_col] == ids["__rejected_id"], "left_anti")
+    keyed = docs.withColumns({"__id": docs["doc_id"].cast("long"), "__text": F.xxhash64(text_of(docs))})
+
+    def on(keys: DataFrame):
+        return keyed["__id"].eqNullSafe(keys["__k_id"]) & (keyed["__text"] == keys["__k_text"])
+
+    lost, same = (stage(x.select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_text")), "row-keys") for x in (lost, same))
+    if not same.limit(1).count():
+        return keyed.join(lost, on(lost), "left_anti").drop("__id", "__text")
+    keyed = stage(keyed.join(lost, on(lost), "left_anti"), "kept-rows")
+    one = keyed.join(same, on(same), "left_semi")
+    one = one.groupBy("__id", "__text").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return keyed.join(same, on(same), "left_anti").drop("__id", "__text").unionByName(one)
 
 
 def local_file(name: str) -> str:

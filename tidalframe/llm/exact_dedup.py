@@ -6,8 +6,9 @@
    more than twice that share is among the at most ``tracked / 7`` named ones.
 3. Their exact winners (smallest id, count) come from a partial aggregation of a few rows
    per task and are broadcast: at most ``tracked / 7`` rows, whatever the corpus holds.
-4. Copies of a winner are settled map-side. What remains, whose groups are now bounded to
-   a ``7 / tracked`` share of the rows, goes through one ordinary shuffle on the digest.
+4. Copies of a winner are settled map-side. Rows that repeat the winner's own id are counted
+   before the shuffle and dealt out again by part. What remains, whose groups are bounded to a
+   ``7 / tracked`` share of the rows, goes through one ordinary shuffle on the digest.
 
 Defined results: null text counts as empty, so null and blank-free empty texts are copies.
 Null ids sort after every id and are kept only when a group holds nothing else; of rows
@@ -17,19 +18,25 @@ Only the two named columns are read, so clashing or extra columns do no harm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_where, read, stage, text_of
+from .common import read, stage, text_of
 
 SPACES = r"[\x20\x09-\x0D]+"
 SUMMARIES = 64
+#: Parts in which the rows of one winner are counted and dealt out again.
+PARTS = 256
+
+
+def digest(docs: DataFrame, text_col: str = "text") -> Column:
+    """SHA-256 of the space-normalised text."""
+    return F.sha2(F.encode(F.regexp_replace(text_of(docs, text_col), SPACES, " "), "UTF-8"), 256)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256) of the space-normalised texts."""
-    normal = F.regexp_replace(text_of(docs, text_col), SPACES, " ")
-    return docs.select(docs[id_col].alias("doc_id"), F.sha2(F.encode(normal, "UTF-8"), 256).alias("text_sha256"))
+    return docs.select(docs[id_col].alias("doc_id"), digest(docs, text_col).alias("text_sha256"))
 
 
 def frequent_digests(table: DataFrame, tracked: int) -> DataFrame:
@@ -45,9 +52,8 @@ def frequent_digests(table: DataFrame, tracked: int) -> DataFrame:
     return named.select(F.explode("top").alias("t")).select(F.col("t.item").alias("route"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 16_384) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    table = stage(digests(docs, id_col, text_col), "digests")
+def heavy_winners(table: DataFrame, tracked: int) -> DataFrame:
+    """(text_sha256, w_id, w_size) of the named digests that several rows have; staged."""
     named = F.broadcast(frequent_digests(table, tracked))
     winners = (
         table.join(named, F.xxhash64(table["text_sha256"]) == named["route"], "left_semi")
@@ -55,34 +61,56 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("doc_id").alias("w_id"), F.count(F.lit(1)).alias("w_size"))
         .where("w_size > 1")
     )
-    winners = stage(winners, "winners")
-    marked = table.join(F.broadcast(winners), "text_sha256", "left")
-    lost = F.col("w_size").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("w_id"))) & F.col("w_id").isNotNull()
-    settled = marked.where(lost).select(
+    return stage(winners, "winners")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 16_384) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    table = stage(digests(docs, id_col, text_col), "digests")
+    marked = table.join(F.broadcast(heavy_winners(table, tracked)), "text_sha256", "left")
+    heavy, own = F.col("w_size").isNotNull(), F.col("doc_id").eqNullSafe(F.col("w_id"))
+    settled = marked.where(heavy & ~own).select(
         "doc_id", F.col("w_id").alias("keep_id"), F.col("w_size").alias("group_size"), F.lit(False).alias("kept"), "text_sha256"
     )
+    # Rows alike in all that is returned: as many as were counted in each of some parts, one of them kept.
+    parts = marked.where(heavy & own).groupBy("text_sha256", "doc_id", "w_size", F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
+    parts = stage(parts.agg(F.count(F.lit(1)).alias("n")), "winner-rows")
+    first = F.broadcast(parts.groupBy("text_sha256").agg(F.min("part").alias("first")))  # a row a winner
+    dealt = parts.join(first, "text_sha256").repartition("text_sha256", "part").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    dealt = dealt.select("doc_id", F.col("doc_id").alias("keep_id"), F.col("w_size").alias("group_size"), ((F.col("part") == F.col("first")) & (F.col("i") == 1)).alias("kept"), "text_sha256")
     group = Window.partitionBy("text_sha256")
     ranked = group.orderBy(F.col("doc_id").asc_nulls_last())
-    rest = marked.where(~lost).select(
+    rest = marked.where(~heavy).select(
         "doc_id",
         F.min("doc_id").over(group).alias("keep_id"),
-        F.coalesce("w_size", F.count(F.lit(1)).over(group)).alias("group_size"),
+        F.count(F.lit(1)).over(group).alias("group_size"),
         (F.row_number().over(ranked) == 1).alias("kept"),
         "text_sha256",
     )
-    return settled.unionByName(rest)
+    return settled.unionByName(dealt).unionByName(rest)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document id of each group of equal texts stays.
+def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str, tracked: int = 16_384) -> DataFrame:
+    """Pipeline stage: one row of each group of equal texts stays, that of smallest id.
 
-    Decisions go by id: rows without an id, and rows that repeat the winner's id, stay.
+    Rows are told apart by their digest, so rows with other texts stay whatever their ids; of
+    rows that repeat id and text one stays; a row without an id stays only where its group has
+    no other. Null and empty texts are equal; an empty table gives an empty result.
     """
-    return keep_where(docs, exact_dedup(docs).where("doc_id <> keep_id"))
+    table = stage(digests(docs), "digests")
+    winners = F.broadcast(heavy_winners(table, tracked))
+    rows = docs.withColumns({"__id": docs["doc_id"], "__digest": digest(docs)}).withColumn("__row", F.struct(*docs.columns))
+    marked = rows.select("__id", "__digest", "__row").join(winners, F.col("__digest") == winners["text_sha256"], "left")
+    heavy = F.col("w_size").isNotNull()
+    # Copies of a heavy winner end here; its own rows, most often one, are aggregated before the shuffle.
+    own = marked.where(heavy & F.col("__id").eqNullSafe(F.col("w_id"))).groupBy("__digest").agg(F.first("__row").alias("__row"))
+    order = Window.partitionBy("__digest").orderBy(F.col("__id").asc_nulls_last())
+    rest = marked.where(~heavy).withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    return own.select("__row.*").unionByName(rest.select("__row.*"))
 
 
 OP1_SQL = r"""

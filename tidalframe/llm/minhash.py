@@ -9,14 +9,20 @@ breaks the structure of the shingles once, ``pi`` gives every coordinate k as
 coordinates in 32 bands of 4: a pair at similarity 0.75 shares no band with probability
 5e-6, at 0.8 with 5e-8.
 
-*Links without all pairs.* Documents with equal sets are one node. In each band bucket the
-nodes are ranked; the first round tests every node against rank 0 only, which joins a large
-group at once. Buckets whose nodes are then still in different components go on: shingles
-that no other such node has, and losses against the bucket's most central node, bound the
-similarity of two nodes, which rules out most pairs exactly; nodes are ranked anew, the most shared first, and the ranks
-become hubs in turn (0, 1-15, 16-255 ...), tested against later nodes of other components. After the last round any two nodes of a bucket
-have been tested, ruled out or connected, so no cap is needed and components equal those of
-testing all pairs. Each candidate is confirmed on the full sets.
+*Links without all pairs.* Documents with equal sets are one node. The first round tests every
+node of a band bucket against the bucket's least node only, which joins a large group at once.
+Buckets whose nodes are then still in different components go on: shingles that no other such
+node has, and losses against the bucket's most central node, bound the similarity of two nodes,
+which rules out most pairs exactly. Nodes are ordered by what they share, and the first become
+hubs in turn (1, 15, 240 ... of a bucket), tested against later nodes of other components.
+After the last round any two nodes of a bucket have been tested, ruled out or connected, so no
+cap is needed and components equal those of testing all pairs. Each candidate is confirmed on
+the full sets of 64-bit shingle hashes (two unequal shingles pass as equal with probability
+2^-64).
+
+*Hot buckets.* A bucket is never one task's: counts, least nodes and labels of buckets, labels and
+common shingles are aggregated before the shuffle and, staged, joined back, which the adaptive
+planner splits where a key is frequent; hubs are a top-k of each bucket, taken map-side first.
 
 *Components.* Smallest-label propagation with pointer jumping over the confirmed links,
 each step a staged table; nothing is collected.
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_where, read, stage, text_of
+from .common import read, stage, text_of, without_rows
 from .textkernel import NON_SPACE, blocks, gram_hashes, inside_document, mix64, whole_hash, words
 
 SHINGLE = 5
@@ -45,7 +51,7 @@ SIM_NUM, SIM_DEN = 75, 100
 GROUPS = 64
 #: Bits of the filter for ids whose sets are needed (8 MiB).
 FILTER_BITS = 1 << 26
-_SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>"
 
 
 def _mix32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -130,7 +136,7 @@ def node_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit hash of the set), band keys of each document."""
+    """n_shingles, node (128-bit hash of the set) and band keys of each (doc_id, text, text_hash)."""
 
     def run(batches):
         for batch in batches:
@@ -145,11 +151,12 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.first, block.n_docs),
+                        batch.column(2).slice(block.first, block.n_docs),
                         pa.array(sizes, pa.int64()),
                         pa.array([x.tobytes() for x in nodes], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(keys.ravel(), pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "bands"],
                 )
 
     return docs.mapInArrow(run, _SKETCH)
@@ -199,13 +206,17 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(SIM_DEN * common >= SIM_NUM * union).select("a", "b")
 
 
+#: Before: larger share of shingles, then smaller node.
+_LATER = "(shared < sa or shared = sa and node > a) and label <> la"
+
+
 def hub_pairs(hubs: DataFrame, members: DataFrame, where: str = "true") -> DataFrame:
     """Distinct pairs (a, b) of a hub and a member of its bucket that may be similar enough.
 
     No pair is built whose sizes, or shared shingles where known, rule it out.
     """
     known = "shared" in members.columns
-    cols = {"r": "rank", "a": "node", "na": "n"} | ({"la": "label", "sa": "shared", "ma": "missing"} if known else {})
+    cols = {"a": "node", "na": "n"} | ({"la": "label", "sa": "shared", "ma": "missing"} if known else {})
     hub = hubs.select("key", *[F.col(v).alias(k) for k, v in cols.items()])
     both = hub.join(members, "key").where(where).where(f"{SIM_DEN} * least(n, na) >= {SIM_NUM} * greatest(n, na)")
     if known:
@@ -220,18 +231,19 @@ def hub_pairs(hubs: DataFrame, members: DataFrame, where: str = "true") -> DataF
     return both.select("a", F.col("node").alias("b")).distinct()
 
 
-def mixed_buckets(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with labels, of buckets whose nodes lie in different components (staged)."""
-    pool = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    bucket = Window.partitionBy("key")
-    pool = pool.withColumns({"l": F.min("label").over(bucket), "h": F.max("label").over(bucket)})
-    return stage(pool.where("l <> h").drop("l", "h"), "mixed")
+    pool = stage(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = stage(pool.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key"), "mixed-keys")
+    return stage(pool.join(mixed, "key", "left_semi"), "mixed")
 
 
 def against_pivots(pool: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pool`` with, against the rank 0 node of its bucket, pivot_n and ``missing``: how many
-    of the pivot's shingles a node lacks, in each of ``GROUPS`` groups of shingles."""
-    pivots = pool.where("rank = 0").select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    """``pool`` with, against the most central node of its bucket (it shares most shingles),
+    pivot_n and ``missing``: how many of the pivot's shingles a node lacks, in each of
+    ``GROUPS`` groups of shingles."""
+    central = F.min(F.struct((-F.col("shared")).alias("s"), "node", "n")).alias("c")
+    pivots = stage(pool.groupBy("key").agg(central).select("key", F.col("c.node").alias("pivot"), F.col("c.n").alias("pivot_n")), "pivots")
     placed = stage(pool.join(pivots, "key"), "placed")
     pairs = placed.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -246,8 +258,15 @@ def against_pivots(pool: DataFrame, sets: DataFrame) -> DataFrame:
 def shared_shingles(sets: DataFrame) -> DataFrame:
     """(node, shared): how many of a node's shingles some other node has as well."""
     each = sets.select("node", F.explode("shingles").alias("s"))
-    each = each.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("s")))
-    return each.groupBy("node").agg(F.count(F.when(F.col("copies") > 1, 1)).alias("shared"))
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("node")).where("copies = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return sets.join(alone, "node", "left").select("node", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def first_of_buckets(pool: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The nodes of rank ``lo`` to ``hi`` in their bucket; a top-k, limited before the shuffle."""
+    order = Window.partitionBy("key").orderBy(F.desc("shared"), "node")
+    return pool.withColumn("rank", F.row_number().over(order)).where(f"rank <= {hi}").where(f"rank > {lo}").drop("rank")
 
 
 def components(links: DataFrame, nodes: DataFrame | None = None, name: str = "component") -> DataFrame:
@@ -273,39 +292,41 @@ def components(links: DataFrame, nodes: DataFrame | None = None, name: str = "co
         labels = step.select("node", "label")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, node) of every row, and (node, label, first_id) of the
+    nodes: non-empty sets of shingles, with the label of their component."""
+    text = text_of(docs, text_col)
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     sketched = stage(sketch(source, bands, rows), "sketch")
     filled = sketched.where("n_shingles > 0")
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stage(nodes, "nodes")
     keyed = nodes.select("node", "n", "first_id", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    ranked = keyed.withColumns({"size": F.count(F.lit(1)).over(bucket), "rank": F.row_number().over(bucket.orderBy("node")) - 1})
-    ranked = stage(ranked.where("size > 1").select("key", "rank", "node", "n", "first_id"), "buckets")
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1").select("key", "hub")
+    ranked = stage(keyed.join(stage(several, "bucket-keys"), "key").select("key", "hub", "node", "n", "first_id"), "buckets")
 
     # A node's text is read from a row of its smallest id, found map-side by a filter of fixed
     # size: texts are not shuffled. What the filter lets through besides, the node sorts out.
     wanted = ranked.select("node", "first_id").distinct()
-    sets = full_sets(source, id_filter(wanted, "first_id")).join(wanted.select("node"), "node", "left_semi")
+    sets = full_sets(source.select("doc_id", "text"), id_filter(wanted, "first_id")).join(wanted.select("node"), "node", "left_semi")
     sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    hubs, others = ranked.where("rank = 0"), ranked.where("rank > 0")
-    links = stage(confirm(hub_pairs(hubs, others), sets), "links")
+    hubs = stage(ranked.where("node = hub").select("key", "node", "n"), "hubs")
+    links = stage(confirm(hub_pairs(hubs, ranked.where("node <> hub").select("key", "node", "n")), sets), "links")
     labels = components(links)
 
-    pool, members = mixed_buckets(ranked, labels), sets
+    pool, members = mixed_buckets(ranked.select("key", "node", "n"), labels), sets
     if pool.limit(1).count():
         # Shingles that no other node of a mixed bucket has bound every similarity from above.
         members = stage(sets.join(pool.select("node").distinct(), "node", "left_semi"), "mixed-sets")
-        able = pool.drop("label", "rank").join(shared_shingles(members), "node").where(f"{SIM_DEN} * shared >= {SIM_NUM} * n")
-        # The node that shares most of its shingles is nearest to the middle of its bucket.
-        central = Window.partitionBy("key").orderBy(F.desc("shared"), "node")
-        able = stage(able.withColumn("rank", F.row_number().over(central) - 1), "central")
-        pool = mixed_buckets(against_pivots(able, members), labels)
+        able = pool.drop("label").join(shared_shingles(members), "node").where(f"{SIM_DEN} * shared >= {SIM_NUM} * n")
+        pool = mixed_buckets(against_pivots(stage(able, "central"), members), labels)
     lo, hi = 0, 1
-    while pool.where(f"rank >= {lo}").limit(1).count():
-        pairs = stage(hub_pairs(pool.where(f"rank >= {lo} and rank < {hi}"), pool, "rank > r and label <> la"), "pairs")
+    while pool.limit(1).count():
+        hubs = stage(first_of_buckets(pool, lo, hi), "hubs")
+        if not hubs.limit(1).count():
+            break
+        pairs = stage(hub_pairs(hubs, pool, _LATER), "pairs")
         ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
         found = stage(confirm(pairs, members.join(ends, "node", "left_semi")), "links")
         if found.limit(1).count():
@@ -315,9 +336,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lo, hi = hi, 16 * hi
 
     of_node = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    head = of_node.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return sketched.select("doc_id", "text_hash", "n_shingles", "node"), stage(of_node, "node-labels")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    sketched, of_node = near_groups(docs, id_col, text_col, bands, rows)
+    head = stage(of_node.groupBy("label").agg(F.min("first_id").alias("component_id")), "heads")
     assigned = of_node.join(head, "label").select("node", "component_id")
-    full = filled.select("doc_id", "n_shingles", "node").join(assigned, "node").select("doc_id", "n_shingles", "component_id")
+    full = sketched.where("n_shingles > 0").join(assigned, "node").select("doc_id", "n_shingles", "component_id")
     empty = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = full.unionByName(empty)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -328,8 +355,19 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near duplicates the smallest id stays."""
-    return keep_where(docs, near_dedup(docs).where("not kept"))
+    """Pipeline stage: of each component of near duplicates one row stays, that of smallest id.
+
+    Rows are told apart by id and text: of rows of one id the one of least text hash stays, of
+    rows that repeat both, one. Rows without an id stay only where a component has no other,
+    rows without words always. An empty table gives an empty result.
+    """
+    sketched, of_node = near_groups(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    rows = stage(sketched.where("n_shingles > 0").join(of_node.select("node", "label"), "node").select("label", "doc_id", "text_hash", row.alias("row")), "near-rows")
+    best = stage(rows.groupBy("label").agg(F.min("row").alias("best")), "near-best")
+    lost = rows.join(best, "label").where("row <> best").select("doc_id", "text_hash")
+    same = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    return without_rows(docs, lost, same)
 
 
 OP7_SQL = r"""
