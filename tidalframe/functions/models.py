@@ -11,6 +11,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUBRIC = "hook int, arc int, emotion int, punchline int, autonomie int, total int, verdict string"
 HITS = "highlights array<struct<start_time:string,end_time:string,start_s:double,end_s:double,duration_seconds:int,hook_text:string,punchline:string,why_viral:string,viral_score:int>>"
@@ -29,7 +30,7 @@ def heuristic_scorer(texts: pd.Series) -> pd.Series:
 
 def score_texts(rows: DataFrame, scorer: Scorer, text: str = "text", batch: int = 25) -> DataFrame:
     """``rows`` with ``answer``, scored in batches of at most ``batch`` texts."""
-    schema = rows.schema.add("answer", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType())])
 
     def run(parts):
         for pdf in parts:

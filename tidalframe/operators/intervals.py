@@ -65,17 +65,32 @@ def next_ending(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """As-of join: for each (source_id, t) the first interval by time that ends after t.
 
     Adds ``seg_idx``, and ``active`` (whether it has begun). Both sides are merged by time in
-    one pass, without a range join.
+    one pass, without a range join: backwards, so that the next end is the last one seen.
     """
     hit = F.struct(F.col("seg_idx"), F.col("start_s"))
     ends = intervals.select("source_id", F.col("end_s").alias("t"), F.lit(0).alias("kind"), hit.alias("hit"))
     asks = points.select("source_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("struct<seg_idx:int,start_s:double>").alias("hit"), *[c for c in points.columns if c not in ("source_id", "t")])
-    order = Window.partitionBy("source_id").orderBy("t", "kind", F.col("hit.seg_idx").asc_nulls_last())
-    ahead = F.first("hit", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("source_id").orderBy(F.desc("t"), F.desc("kind"), F.col("hit.seg_idx").desc_nulls_first())
+    ahead = F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     merged = asks.unionByName(ends, allowMissingColumns=True).withColumn("ahead", ahead).where("kind = 1")
     return merged.withColumns({"seg_idx": F.col("ahead.seg_idx"), "active": F.coalesce(F.col("ahead.start_s") <= F.col("t"), F.lit(False))}).drop("kind", "hit", "ahead")
 
 
+def segment_at_frame(grid: DataFrame, segments: DataFrame) -> DataFrame:
+    """``grid`` (source_id, frame_idx) with seg_idx and crop_x of the first segment by seg_idx
+    that ends after the frame, and of the last one beyond all ends."""
+    hit = F.struct("seg_idx", "crop_x")
+    ends = segments.select("source_id", (F.col("end_idx") - 1).alias("frame_idx"), F.lit(1).alias("kind"), hit.alias("hit"))
+    none = F.lit(None).cast(ends.schema["hit"].dataType)
+    asks = grid.select("source_id", "frame_idx", F.lit(0).alias("kind"), none.alias("hit"))
+    back = Window.partitionBy("source_id").orderBy(F.desc("frame_idx"), F.desc("kind"), F.col("hit.seg_idx").desc_nulls_last())
+    # Of the segments that end later the first by number: with ends in order, the one last seen.
+    ahead = F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max("hit").over(Window.partitionBy("source_id"))
+    merged = asks.unionByName(ends).withColumn("at", F.coalesce(ahead, last)).where("kind = 0")
+    return merged.select("source_id", "frame_idx", F.col("at.seg_idx").alias("seg_idx"), F.col("at.crop_x").alias("crop_x"))
+
+
 def nearest_face(faces: Column, cx: Column) -> Column:
     """The face whose cx is nearest; the first of equals."""
     best = F.array_min(F.transform(faces, lambda f, i: F.struct(F.abs(f["cx"] - cx).alias("d"), i.alias("i"))))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .streams import NearTime
+
 
 def union_hits(**detectors: DataFrame) -> DataFrame:
     """All hits of the detectors with their name as ``source``, order of detectors in ``det_idx``."""
@@ -19,25 +22,29 @@ def near_dedup(hits: DataFrame, gap: float = 30.0, key: str = "source_id", start
     """Kept hits: in order of start, a hit within ``gap`` of the last kept one replaces it if it
     scores strictly higher, else it goes.
 
-    A fold over the source's hits in order, whose state is the kept list and its last entry;
-    a source's hits must fit a row, which a timeline's detections do.
+    A fold over the source's hits in order, whose state is its last kept entry; it is the state
+    machine of the stream, fed by source and closed at the end.
     """
-    row = F.struct(F.col(start).alias("start"), F.col(ident).alias("ident"), F.col(score).alias("score"))
-    kept_type = hits.select(row.alias("x")).schema["x"].dataType.simpleString()
-    empty = F.struct(F.lit(None).cast(kept_type).alias("last"), F.expr(f"cast(array() as array<{kept_type}>)").alias("kept"))
-
-    def visit(acc: Column, x: Column) -> Column:
-        last = acc["last"]
-        apart = last.isNull() | (x["start"] - last["start"] >= gap)
-        better = x["score"] > last["score"]
-        # Entries before the last one can no longer be replaced and move to ``kept``.
-        return F.when(apart, F.struct(x.alias("last"), F.when(last.isNull(), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(last))).alias("kept"))).otherwise(
-            F.struct(F.when(better, x).otherwise(last).alias("last"), acc["kept"].alias("kept"))
-        )
-
-    kept = F.aggregate(F.array_sort(F.collect_list(row)), empty, visit, lambda acc: F.concat(acc["kept"], F.array(acc["last"])))
-    folded = hits.groupBy(key).agg(kept.alias("kept"))
-    return folded.select(key, F.explode("kept").alias("h")).select(key, F.col("h.start").alias(start), F.col("h.ident").alias(ident), F.col("h.score").alias(score))
+    names = [key, start, ident, score]
+    rows = hits.select(*names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fold, out = NearTime(gap), []
+        pdf = pdf.sort_values([start, ident, score])
+        for x in zip(pdf[start], pdf[ident], pdf[score], strict=True):
+            out.append(fold.step(*x))
+        out.append(fold.last)
+        kept = [x for x in out if x is not None]
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), **{n: [x[i] for x in kept] for i, n in enumerate(names[1:])}})
+
+    return rows.groupBy(key).applyInPandas(run, rows.schema)
+
+
+def long_enough(hits: DataFrame, duration: str = "duration", actual: str | None = None, least: float = 20.0) -> DataFrame:
+    """Clips of at least ``least`` seconds, as asked for and, with ``actual``, as made; a null
+    length counts as 0. Ranks given before keep their gaps."""
+    kept = hits.where(F.col(duration) >= least)
+    return kept if actual is None else kept.where(F.coalesce(F.col(actual), F.lit(0.0)) >= least)
 
 
 def scored_or_short(text: Column, score: Column, least: int = 50) -> tuple[Column, Column]:

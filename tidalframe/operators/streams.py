@@ -22,12 +22,13 @@ class Hysteresis:
     """Target that moves at once for small changes, and for jumps after enough agreeing samples.
 
     ``reset_on_single``: samples with one face, or with several close ones, restart the count
-    of a jump, so only wide shots and samples without faces can complete it.
+    of a jump, so only wide shots and samples without faces can complete it. ``bounds`` clamp a
+    position before it is tested; faces count from left to right, the first of equals wins.
     """
 
-    def __init__(self, start: float = 0.5, jump: float = 0.15, agree: float = 0.1, needed: int = 15, memory: int = 30, wide_gap: float = 0.3, reset_on_single: bool = True):
+    def __init__(self, start: float = 0.5, jump: float = 0.15, agree: float = 0.1, needed: int = 15, memory: int = 30, wide_gap: float = 0.3, reset_on_single: bool = True, bounds: tuple[float, float] | None = None):
         self.target, self.jump, self.agree, self.needed = start, jump, agree, needed
-        self.wide_gap, self.reset = wide_gap, reset_on_single
+        self.wide_gap, self.reset, self.bounds = wide_gap, reset_on_single, bounds
         self.recent: deque[float] = deque(maxlen=memory)
         self.candidate: float | None = None
         self.count = 0
@@ -38,8 +39,8 @@ class Hysteresis:
         if len(faces) == 1:
             chosen, restart = faces[0], True
         else:
-            xs = [f["cx"] for f in faces]
-            wide = max(xs) - min(xs) > self.wide_gap
+            faces = sorted(faces, key=lambda f: f["cx"])
+            wide = faces[-1]["cx"] - faces[0]["cx"] > self.wide_gap
             chosen, restart = max(faces, key=lambda f: f["w"] if wide else f["score"]), not wide
         if restart and self.reset:
             self.candidate, self.count = None, 0
@@ -48,10 +49,12 @@ class Hysteresis:
 
     def step(self, faces) -> float:
         x = self._position(faces)
+        if self.bounds:
+            x = max(self.bounds[0], min(self.bounds[1], x))
         if abs(x - self.target) <= self.jump:
             self.target, self.candidate, self.count = x, None, 0
             return self.target
-        if self.candidate is not None and abs(x - self.candidate) <= self.agree:
+        if self.candidate is not None and abs(x - self.candidate) < self.agree:
             self.count += 1
         else:
             self.candidate, self.count = x, 1
@@ -63,28 +66,29 @@ class Hysteresis:
 class Recovery:
     """Crop that follows the best face near the last one; without faces it holds its place.
 
-    After ``patience`` seconds without a face the search is unbiased and accepts larger faces.
+    Faces wider or taller than ``usual`` of the frame's height do not count, nor do choices that
+    rate below ``least``. After ``patience`` seconds without a face the search is unbiased and
+    the limit is ``relaxed``.
     """
 
-    def __init__(self, width: float, height: float, fps: float, patience: float = 3.0, usual: float = 0.5, relaxed: float = 0.7):
+    def __init__(self, width: float, height: float, fps: float, patience: float = 3.0, usual: float = 0.5, relaxed: float = 0.7, least: float = 0.15):
         self.w, self.h, self.limit = width, height, int(fps * patience)
-        self.usual, self.relaxed = usual, relaxed
+        self.usual, self.relaxed, self.least = usual, relaxed, least
         self.crop_w = min(int(height * 9 / 16), int(width))
         self.crop_x = int((width - self.crop_w) / 2)
-        self.last: tuple[float, float] | None = None
+        self.last: float | None = None
         self.missed = 0
 
     def _choose(self, faces):
         lost = self.missed > self.limit
-        most = self.relaxed if lost else self.usual
-        sized = [f for f in faces if 0.03 * self.w <= f["w"] <= most * self.w]
+        most = self.h * (self.relaxed if lost else self.usual)
+        sized = [f for f in faces if f["w"] <= most and f["h"] <= most]
         sure = [f for f in sized if f["score"] >= 0.5] or sized
-        best, top = None, 0.15
+        best, top = None, self.least
         for f in sure:
             value = f["w"] * f["h"] / (self.w * self.h) * 0.6 + f["score"] * 0.4
             if self.last is not None and not lost:
-                away = ((f["cx"] - self.last[0]) ** 2 + (f["cy"] - self.last[1]) ** 2) ** 0.5
-                value *= 0.5 + 0.5 * max(0.0, 1 - away / 500)
+                value *= 0.5 + 0.5 * max(0.0, 1 - abs(f["cx"] - self.last) / 500)
             if value > top or best is None and value == top:
                 best, top = f, value
         return best
@@ -94,16 +98,19 @@ class Recovery:
         if face is None:
             self.missed += 1
             return self.crop_x
-        self.missed, self.last = 0, (face["cx"], face["cy"])
+        self.missed, self.last = 0, face["cx"]
         self.crop_x = max(0, min(int(face["cx"] - self.crop_w / 2), int(self.w) - self.crop_w))
         return self.crop_x
 
 
 class Segmenter:
-    """Running-median segmentation; the open segment's values are kept sorted."""
+    """Running-median segmentation; the open segment's values are kept sorted.
 
-    def __init__(self, jump: float, least: int):
-        self.jump, self.least, self.start, self.ordered = jump, least, 0, []
+    A segment's value is its median cut to a whole number, clamped to 0 and ``most``.
+    """
+
+    def __init__(self, jump: float, least: int, most: int | None = None):
+        self.jump, self.least, self.most, self.start, self.ordered = jump, least, most, 0, []
 
     @property
     def length(self) -> int:
@@ -123,7 +130,8 @@ class Segmenter:
 
     def close(self) -> tuple[int, int, int]:
         end = self.start + self.length
-        done = (self.start, end, int(self.middle()))
+        x = int(self.middle())
+        done = (self.start, end, x if self.most is None else max(0, min(x, self.most)))
         self.start, self.ordered = end, []
         return done
 

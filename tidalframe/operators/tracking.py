@@ -22,9 +22,31 @@ def best_face(faces: Column, width: float) -> Column:
     return F.element_at(faces, 1 - F.array_max(F.transform(faces, rated))["i"])
 
 
-def plausible(faces: Column, frame_w: float, least: float = 0.03, most: float = 0.5, confidence: float = 0.5) -> Column:
-    """Faces of plausible width; of these the confident ones if there are any."""
-    sized = F.filter(faces, lambda f: (f["w"] >= least * frame_w) & (f["w"] <= most * frame_w))
+def by_x(faces: Column) -> Column:
+    """Faces from left to right; equals stay in order."""
+    keyed = F.array_sort(F.transform(faces, lambda f, i: F.struct(f["cx"].alias("cx"), i.alias("i"), f.alias("f"))))
+    return F.transform(keyed, lambda x: x["f"])
+
+
+def first_position(faces: Column, order: tuple[str, ...], default: float = 0.5) -> Column:
+    """cx of a sample's first (most confident) face; without one the last known, or ``default``."""
+    from .windows import forward_fill
+
+    return forward_fill(F.when(F.size(faces) > 0, faces[0]["cx"]), order, default)
+
+
+def mean_crop(series: DataFrame, value: str, width: int, height: int) -> DataFrame:
+    """(source_id, crop_x): one crop for all frames, centred on the mean of their positions."""
+    from ..functions.scoring import crop_left, crop_size
+
+    crop_w, _ = crop_size(F.lit(width), F.lit(height))
+    return series.groupBy("source_id").agg(F.avg(value).alias("cx")).select("source_id", crop_left(F.col("cx"), F.lit(width), crop_w).cast("long").alias("crop_x"))
+
+
+def plausible(faces: Column, frame_h: float, most: float = 0.5, confidence: float = 0.5) -> Column:
+    """Faces neither wider nor taller than ``most`` of the frame's height; of these the confident
+    ones if there are any."""
+    sized = F.filter(faces, lambda f: (f["w"] <= most * frame_h) & (f["h"] <= most * frame_h))
     sure = F.filter(sized, lambda f: f["score"] >= confidence)
     return F.when(F.size(sure) > 0, sure).otherwise(sized)
 
@@ -69,8 +91,17 @@ def ema_series(rows: DataFrame, alpha: float = 0.92, order: str = "idx", value:
     return _by_source(rows.select("source_id", order, value), run, "source_id long, idx long, ema double")
 
 
+def crop_bounds(width: int, height: int) -> tuple[float, float]:
+    """Least and largest centre (0..1) of an upright 9:16 crop inside the frame."""
+    least = min(int(height * 9 / 16), width) / (2 * width)
+    return least, 1.0 - least
+
+
 def hysteresis(samples: DataFrame, **params) -> DataFrame:
-    """(source_id, idx, target) of samples (source_id, idx, faces of cx, w, score)."""
+    """(source_id, idx, target) of samples (source_id, idx, faces of cx, w, score).
+
+    ``bounds`` are those of ``crop_bounds`` where a crop follows.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, state = pdf.sort_values("idx"), Hysteresis(**params)
@@ -89,12 +120,14 @@ def track_with_recovery(frames: DataFrame, width: float, height: float, fps: flo
     return _by_source(frames.select("source_id", "idx", "faces"), run, "source_id long, idx long, crop_x long")
 
 
-def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15) -> DataFrame:
+def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None) -> DataFrame:
     """(source_id, seg_idx, start_idx, end_idx, crop_x): new segment where a value leaves the
-    running median by more than k crop widths and the segment is long enough."""
+    running median by more than k crop widths and the segment is long enough; with ``src_w``
+    the crop stays inside the frame."""
+    most = None if src_w is None else int(src_w - crop_w)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("idx"), Segmenter(k * crop_w, int(1.5 * fps))
+        pdf, state = pdf.sort_values("idx"), Segmenter(k * crop_w, int(1.5 * fps), most)
         done = [s for x in pdf["x"] if (s := state.step(float(x))) is not None]
         done += [state.close()] if state.length else []
         out = pd.DataFrame(done, columns=["start_idx", "end_idx", "crop_x"])

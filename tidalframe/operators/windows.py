@@ -55,7 +55,9 @@ def interpolate(x: str, y: str, known: Column) -> Column:
     order = Window.partitionBy("source_id").orderBy(x)
     point = F.when(known, F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
     left = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # The next known point is the last one seen on the way back; a frame that grows is never rebuilt.
+    back = Window.partitionBy("source_id").orderBy(F.desc(x))
+    right = F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     slope = (right["y"] - left["y"]) / F.when(right["x"] > left["x"], right["x"] - left["x"])
     return F.coalesce(left["y"] + slope * (F.col(x) - left["x"]), left["y"], right["y"])
 
@@ -67,13 +69,16 @@ def difference(value: str, order: tuple[str, ...]) -> Column:
 def global_rank(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
     """``df`` with rank 1, 2, ... by a whole-number key, without one task for all rows.
 
-    Rows are ranked within ranges of ``width`` keys; only the ranges' counts are summed in
-    order, one row for each.
+    Rows are ranked within ranges of ``width`` keys, the ranges' counts are summed within
+    ``width`` ranges each, and only the sums of these meet in one task: a row for each
+    ``width`` squared keys.
     """
     bucket = F.floor(F.col(key) / width)
-    counts = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__b", before.cast("long").alias("__before"))
+    so_far = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    counts = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__c", F.floor(F.col("__b") / width))
+    wide = counts.groupBy("__c").agg(F.sum("__n").alias("__n")).select("__c", so_far(Window.orderBy("__c")).alias("__wide"))
+    counts = counts.withColumn("__in", so_far(Window.partitionBy("__c").orderBy("__b"))).join(wide, "__c")
+    counts = counts.select("__b", (F.col("__wide") + F.col("__in")).alias("__before"))
     local = df.withColumn("__b", bucket).withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(key)))
     return local.join(counts, "__b").withColumn("rn", F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
 

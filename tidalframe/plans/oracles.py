@@ -77,9 +77,9 @@ ORACLES["audio_metrics"] = _with(
     "select source_id, word_count, round(rms, 6) as rms, round(peak, 6) as peak, round(rate, 6) as rate, round(silence_ratio, 6) as silence_ratio, round(energy_var, 4) as energy_var from m",
 )
 ORACLES["metric_defaults"] = _with(
-    _EV + ", r as (select *, floor(t) as sub from ev where t < 20), m as (" + _METRICS.format(key="source_id", dur=20, rows="r") + ")",
-    """select s.source_id, round(coalesce(rms, 0.1), 4) as rms, round(coalesce(peak, 0.2), 4) as peak, round(coalesce(energy_var, 0.01), 4) as energy_var, round(coalesce(rate, 3.0), 4) as rate,
-       round(coalesce(silence_ratio, 0.2), 4) as silence_ratio from (select distinct source_id from ev) s left join m using (source_id)""",
+    _EV + ", r as (select *, floor(t) as sub, floor(t / 20)::bigint as passage_idx from ev), m as (" + _METRICS.format(key="source_id, passage_idx", dur=20, rows="r") + ")",
+    """select s.source_id, s.passage_idx, round(coalesce(rms, 0.1), 6) as rms, round(coalesce(peak, 0.2), 6) as peak, round(coalesce(energy_var, 0.01), 6) as energy_var, round(coalesce(rate, 3.0), 6) as rate,
+       round(coalesce(silence_ratio, 0.2), 6) as silence_ratio from (select distinct source_id, unnest(range(0, 36)) as passage_idx from ev) s left join m using (source_id, passage_idx)""",
 )
 ORACLES["minmax_norm"] = _with(
     _EV + ", m as (select event_type, source_id, avg(value) as m from ev group by all), b as (select *, min(m) over (partition by event_type) as lo, max(m) over (partition by event_type) as hi from m)",
@@ -234,7 +234,7 @@ ORACLES["clock_texts"] = _with(
 )
 ORACLES["tag_strip"] = r"select page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g') as text from pages"
 ORACLES["clean_words"] = r"""
-with w as (select page_id, '&nbsp;<b>' || left(html, 300) || '</b> &amp;' as x from pages),
+with w as (select page_id, '&nbsp;<b>' || html || '</b> &amp;' as x from pages),
 u as (select page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&amp;', '&') as x from w)
 select page_id, regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'), '\[?[\s\x{A0}]*__[\s\x{A0}]*\]?', '***', 'g') as word from u"""
 ORACLES["json_fallback"] = _with(
@@ -270,3 +270,74 @@ ORACLES["merge_short"] = _with(
     m as (select *, sum(case when run = 1 or b - a >= 2 then 1 else 0 end) over (partition by source_id order by run rows unbounded preceding) as g from s)""",
     "select source_id, (g - 1)::bigint as seg_idx, min(a) as start_idx, max(b) as end_idx, arg_min(x, run) as crop_x from m group by source_id, g",
 )
+
+# --- state machines, as recursions over the samples of a source ---------------------------
+
+_SAMPLES = _FACES + """,
+sample as (select source_id, g, list({'cx': cx, 'w': w, 'h': h, 'score': score} order by cx, idx) filter (score >= 0.6) as faces from face group by all)"""
+
+ORACLES["hysteresis"] = _with(
+    _SAMPLES + """,
+    seen as (select *, coalesce(len(faces), 0) as n, faces[-1].cx / 1920 - faces[1].cx / 1920 > 0.3::double as wide from sample),
+    chosen as (select source_id, g, n, n = 1 or n > 1 and not wide as restart,
+                      case when n = 1 then faces[1].cx / 1920 when n > 1 then list_sort(list_transform(faces, lambda f, i: {'v': case when wide then -f.w else -f.score end, 'i': i, 'cx': f.cx}))[1].cx / 1920 end as x from seen),
+    run as (
+      select source_id, -1::bigint as g, 0.5::double as target, null::double as cand, 0 as cnt, []::double[] as buf from (select distinct source_id from ev)
+      union all
+      select source_id, g, case when not big then d when switch then c1 else target end, case when big and not switch then c1 end, case when big and not switch then n1 else 0 end,
+             case when x is null then buf else list_append(buf, x)[-30:] end
+      from (select *, n1 >= 3 as switch from (
+        select *, case when agrees then c0 else d end as c1, case when agrees then n0 + 1 else 1 end as n1 from (
+          select *, abs(d - target) > 0.15::double as big, c0 is not null and abs(d - c0) < 0.1::double as agrees from (
+            select r.target, r.buf, c.source_id, c.g, c.x, case when c.restart then null else r.cand end as c0, case when c.restart then 0 else r.cnt end as n0,
+                   greatest(607 / 3840::double, least(1 - 607 / 3840::double, coalesce(c.x, list_median(r.buf), r.target))) as d
+            from run r join chosen c on c.source_id = r.source_id and c.g = r.g + 1)))))""",
+    "select source_id, g as idx, round(target, 6) as target from run where g >= 0",
+    recursive=True,
+)
+ORACLES["track_recover"] = _with(
+    _SAMPLES + """,
+    run as (
+      select source_id, -1::bigint as g, ((1920 - 303) // 2)::bigint as crop_x, null::double as last, 0 as missed from (select distinct source_id from ev)
+      union all
+      select source_id, g, case when best.v >= 0.15 then greatest(0, least(trunc(best.cx - 303 / 2.0::double)::bigint, 1920 - 303)) else crop_x end,
+             case when best.v >= 0.15 then best.cx else last end, case when best.v >= 0.15 then 0 else missed + 1 end
+      from (
+        select *, list_sort(list_transform(able, lambda f, i: {'v': (f.w * f.h / (1920 * 540) * 0.6::double + f.score * 0.4::double)
+                 * case when last is null or lost then 1.0::double else 0.5::double + 0.5::double * greatest(0.0::double, 1 - abs(f.cx - last) / 500) end, 'i': -i, 'cx': f.cx}), 'DESC')[1] as best
+        from (select *, case when len(list_filter(sized, lambda f: f.score >= 0.5)) > 0 then list_filter(sized, lambda f: f.score >= 0.5) else sized end as able
+          from (select *, list_filter(faces, lambda f: f.w <= edge and f.h <= edge) as sized
+            from (select r.crop_x, r.last, r.missed, r.missed > 1 as lost, 540 * case when r.missed > 1 then 0.7::double else 0.5::double end as edge, s.source_id, s.g, s.faces
+                  from run r join sample s on s.source_id = r.source_id and s.g = r.g + 1)))))""",
+    "select source_id, g as idx, crop_x from run where g >= 0",
+    recursive=True,
+)
+ORACLES["segment_median"] = _with(
+    _NUM + """,
+    run as (
+      select source_id, -1::bigint as idx, 0::bigint as first, 0::bigint as seg, []::double[] as xs, null::bigint as done_first, null::bigint as done_x from (select distinct source_id from ev)
+      union all
+      select source_id, idx, case when cut then idx else first end, case when cut then seg + 1 else seg end, case when cut then [value] else list_append(xs, value) end,
+             case when cut then first end, case when cut then m end
+      from (select *, len(xs) >= 3 and abs(value - m) > 0.15::double * 607 as cut
+            from (select r.first, r.seg, r.xs, n.source_id, n.idx, n.value, trunc(list_median(r.xs))::bigint as m from run r join num n on n.source_id = r.source_id and n.idx = r.idx + 1))),
+    ends as (select source_id, max(idx) as idx from run group by 1),
+    segs as (select source_id, seg - 1 as seg_idx, done_first as start_idx, idx as end_idx, done_x as x from run where done_first is not null
+             union all select r.source_id, seg, first, idx + 1, trunc(list_median(xs))::bigint from run r join ends using (source_id, idx) where len(xs) > 0)""",
+    "select source_id, seg_idx, start_idx, end_idx, greatest(0, least(x, 393)) as crop_x from segs",
+    recursive=True,
+)
+ORACLES["greedy_groups"] = _with(
+    _WORDS + """,
+    need as (select source_id, word_idx, 20.0::double * length(replace(upper(word), 'ẞ', 'SS')) as w from words),
+    run as (
+      select source_id, -1::bigint as word_idx, 0::bigint as grp, 0::bigint as line, 0 as held, 0.0::double as used from (select distinct source_id from words)
+      union all
+      select source_id, word_idx, case when breaks and line = 1 then grp + 1 else grp end, case when breaks then (line + 1) % 2 else line end,
+             case when breaks then 1 else held + 1 end, case when breaks then w else used + w + space end
+      from (select *, held > 0 and (held = 3 or used + w + space > 400) as breaks from (
+        select r.grp, r.line, r.held, r.used, n.source_id, n.word_idx, n.w, case when r.held > 0 then 10.0::double else 0 end as space
+        from run r join need n on n.source_id = r.source_id and n.word_idx = r.word_idx + 1)))""",
+    "select source_id, word_idx, grp as group_idx, line as line_idx from run where word_idx >= 0",
+    recursive=True,
+)

@@ -58,10 +58,11 @@ def audio_metrics(spark, sf):
 
 @query
 def metric_defaults(spark, sf):
-    rows = timeline(spark, sf).withColumn("amp", F.col("value"))
-    early = E.passage_metrics(rows.where("t < 20"), ["source_id"], 20.0, F.floor("t"))
-    out = E.with_defaults(rows.select("source_id").distinct(), early, ["source_id"])
-    return out.select("source_id", *[F.round(c, 4).alias(c) for c in ("rms", "peak", "energy_var", "rate", "silence_ratio")])
+    rows = timeline(spark, sf).withColumns({"amp": F.col("value"), "passage_idx": F.floor(F.col("t") / 20)})
+    metrics = E.passage_metrics(rows, ["source_id", "passage_idx"], 20.0, F.floor("t"))
+    every = rows.select("source_id").distinct().withColumn("passage_idx", F.explode(F.sequence(F.lit(0), F.lit(int(SPAN) // 20 - 1)).cast("array<bigint>")))
+    out = E.with_defaults(every, metrics, ["source_id", "passage_idx"])
+    return out.select("source_id", "passage_idx", *[F.round(c, 6).alias(c) for c in ("rms", "peak", "energy_var", "rate", "silence_ratio")])
 
 
 @query
@@ -346,13 +347,13 @@ def tag_strip(spark, sf):
 
 @query
 def clean_words(spark, sf):
-    word = F.concat(F.lit("&nbsp;<b>"), F.substring("html", 1, 300), F.lit("</b> &amp;"))
+    word = F.concat(F.lit("&nbsp;<b>"), F.col("html"), F.lit("</b> &amp;"))
     return read(spark, sf, "pages").select("page_id", X.clean_word(word).alias("word"))
 
 
 @query
 def clean_pages(spark, sf):
-    """``clean_words`` over the whole text; without SQL, tested against brute force."""
+    """Pages as they are; without SQL, tested against brute force."""
     return read(spark, sf, "pages").select("page_id", X.clean_word(F.col("html")).alias("text"))
 
 
@@ -435,16 +436,18 @@ def greedy_groups(spark, sf):
 
 @query
 def hysteresis(spark, sf):
-    frames = five_faces(timeline(spark, sf)).withColumn("faces", F.transform("faces", lambda f: F.struct((f["cx"] / 1920).alias("cx"), (f["w"] / 1920).alias("w"), f["score"].alias("score"))))
-    return K.hysteresis(frames, needed=3).select("source_id", "idx", r6("target").alias("target"))
+    sure = F.filter("faces", lambda f: f["score"] >= 0.6)
+    frames = five_faces(timeline(spark, sf)).withColumn("faces", F.transform(sure, lambda f: F.struct((f["cx"] / 1920).alias("cx"), (f["w"] / 1920).alias("w"), f["score"].alias("score"))))
+    return K.hysteresis(frames, needed=3, bounds=K.crop_bounds(1920, 1080)).select("source_id", "idx", r6("target").alias("target"))
 
 
 @query
 def track_recover(spark, sf):
-    return K.track_with_recovery(five_faces(timeline(spark, sf)), 1920.0, 1080.0, 1.0)
+    frames = five_faces(timeline(spark, sf)).withColumn("faces", F.filter("faces", lambda f: f["score"] >= 0.6))
+    return K.track_with_recovery(frames, 1920, 540, 0.4)
 
 
 @query
 def segment_median(spark, sf):
     rows = numbered(timeline(spark, sf)).withColumn("x", F.col("value"))
-    return K.segment_by_median(rows, 607.0, 2.0)
+    return K.segment_by_median(rows, 607.0, 2.0, src_w=1000)

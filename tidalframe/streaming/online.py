@@ -45,14 +45,15 @@ def track_with_recovery(frames: DataFrame, width: float, height: float, fps: flo
     return _machine(frames, lambda: Recovery(width, height, fps), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "idx", "source_id long, idx long, crop_x long")
 
 
-def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15) -> DataFrame:
+def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None) -> DataFrame:
     """Closed segments; the open one stays in the state."""
+    most = None if src_w is None else int(src_w - crop_w)
 
     def step(m: Segmenter, r) -> list[tuple]:
         done = m.step(float(r.x))
         return [] if done is None else [done]
 
-    return _machine(rows, lambda: Segmenter(k * crop_w, int(1.5 * fps)), step, "idx", "source_id long, start_idx long, end_idx long, crop_x long")
+    return _machine(rows, lambda: Segmenter(k * crop_w, int(1.5 * fps), most), step, "idx", "source_id long, start_idx long, end_idx long, crop_x long")
 
 
 def near_dedup(hits: DataFrame, gap: float = 30.0) -> DataFrame:
