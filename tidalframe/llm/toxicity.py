@@ -9,8 +9,8 @@ accepts any ending.
 *Automata.* Each distinct document word becomes a Levenshtein automaton (bit-parallel, with
 one edit from five letters on, two from nine) that is intersected with the trie: the walk follows only trie
 edges on which the automaton is alive, so misspelled terms are found without comparing the
-word with every term; words that hold no
-part of a term intact (halves for one edit, thirds for two) are ruled out before.
+word with every term; of the trie only the terms are walked that have a part intact in the
+word (halves for one edit, thirds for two), most words have none.
 Results are memoised per word, in a bounded memo.
 
 *Context.* Every hit gets a window score from the words and marks around it: quotation marks
@@ -64,7 +64,9 @@ class LexiconTrie:
         self.reach = max(map(len, terms), default=0) + 2
         self.children: list[dict[str, int]] = [{}]
         self.entry: list[tuple[float, bool, int] | None] = [None]
-        for term, (weight, open_end) in sorted(terms.items()):
+        #: The terms below each node, as bits.
+        self.below: list[int] = [0]
+        for bit, (term, (weight, open_end)) in enumerate(sorted(terms.items())):
             at = 0
             for c in term:
                 nxt = self.children[at].get(c)
@@ -72,7 +74,9 @@ class LexiconTrie:
                     nxt = self.children[at][c] = len(self.children)
                     self.children.append({})
                     self.entry.append(None)
+                    self.below.append(0)
                 at = nxt
+                self.below[at] |= 1 << bit
             self.entry[at] = (weight, open_end, len(term))
         self._parts(terms)
 
@@ -82,25 +86,34 @@ class LexiconTrie:
         A part is moved by the edits before it at most; the last of a closed term is looked
         for from the word's end.
         """
-        self.parts: dict[tuple[int, int, int], set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        for term, (_, open_end) in terms.items():
+        parts: dict[tuple[int, int], dict[str, int]] = {}
+        tails: dict[int, dict[str, int]] = {}
+        for bit, (term, (_, open_end)) in enumerate(sorted(terms.items())):
             edits = errors_allowed(len(term) - 1 if open_end else len(term))
             cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
             for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if i == edits and i and not open_end:
-                    self.tails.setdefault(hi - lo, set()).add(term[lo:])
+                    places = [tails.setdefault(hi - lo, {})]
                 else:
-                    self.parts.setdefault((lo, hi - lo, edits if i else 0), set()).add(term[lo:hi])
-
-    def possible(self, word: str) -> bool:
-        """False only for words that no entry can match."""
-        return any(word[-n:] in found for n, found in self.tails.items()) or any(
-            word[at : at + n] in found for (lo, n, moved), found in self.parts.items() for at in range(max(0, lo - moved), lo + moved + 1)
-        )
-
-    def match(self, word: str) -> tuple[float, int] | None:
+                    moved = edits if i else 0
+                    places = [parts.setdefault((at, at + hi - lo), {}) for at in range(max(0, lo - moved), lo + moved + 1)]
+                for found in places:
+                    found[term[lo:hi]] = found.get(term[lo:hi], 0) | 1 << bit
+        self.parts = [(lo, hi, found.get) for (lo, hi), found in parts.items()]
+        self.tails = [(-n, found.get) for n, found in tails.items()]
+
+    def possible(self, word: str) -> int:
+        """The terms, as bits, that have a part intact in the word; no other can match it."""
+        out = 0
+        for lo, hi, get in self.parts:
+            out |= get(word[lo:hi], 0)
+        for lo, get in self.tails:
+            out |= get(word[lo:], 0)
+        return out
+
+    def match(self, word: str, among: int = -1) -> tuple[float, int] | None:
         """(weight, edits) of the best entry the word's automaton accepts; fewest edits win.
+        Only the trie over the terms ``among`` (bits) is walked.
 
         State after a trie path: for each number of errors e the set of word positions
         (as bits) reachable with e edits. Closed terms need the last position; stems any.
@@ -138,6 +151,8 @@ class LexiconTrie:
                         nexts[c] = branches[c]
                 branches = nexts
             for c, child in branches.items():
+                if not self.below[child] & among:
+                    continue
                 mask, after, below = masks.get(c, 0), [], 0
                 for e, s in enumerate(state):
                     t = (s & mask) << 1
@@ -173,7 +188,7 @@ class Model:
         if len(memo) > 300_000:
             memo.clear()
         for word in distinct.difference(memo):
-            memo[word] = self._trie.match(word) if len(word) >= 3 and self._trie.possible(word) else None
+            memo[word] = self._trie.match(word, among) if len(word) >= 3 and (among := self._trie.possible(word)) else None
         return {w: m for w in distinct if (m := memo[w]) is not None}
 
     def features(self, text: str) -> list[float]:
@@ -368,7 +383,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the model rejects go."""
+    """Pipeline stage: documents that the model rejects go.
+
+    The model is learned from the stage's own input. Rows are judged one by one, so null or
+    repeated ids and rows change nothing; null and empty texts get the score of a text without
+    hits; an empty table gives an empty result.
+    """
     name = "__toxicity"
     model = fit(docs, read(spark, sf_dir, "labels"))
     return score(docs, model, out_col=name).where(F.col(name) < 0.5).select(*docs.columns)
