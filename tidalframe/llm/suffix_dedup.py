@@ -6,20 +6,25 @@ still exact:
 1. *Anchors.* Of every 200-byte window, the anchor is the leftmost of the smallest 16-byte
    gram hashes among its first 137 starts. It depends on the window alone, so equal windows
    have equal anchors; neighbouring windows share theirs, about one anchor in 69 bytes. A
-   record holds an anchor with its window starts, the hash of its 64-byte core (inside all
-   its windows) and of its whole context.
-2. *Candidates.* Records are dealt by core hash. A core that occurs once is done. Records
-   whose whole context recurs are settled: all their windows recur. What is left are the
-   edges of repeats: cores that stand in several contexts.
-3. *Suffixes.* Contexts of those (one for each distinct context) are range-partitioned by
-   their leading bytes, the core, with sampled splitters. A bucket sorts the suffixes at its
-   window starts by multikey quicksort over 8-byte characters: each level orders what still
-   ties and drops what stands alone; what ties through all 200 bytes recurs. Equal cores are
-   equal range keys, so no comparison is lost at a boundary between buckets; the last group
-   of a batch is carried over to the next. Cores with more than ``hot`` contexts are dealt
-   by digests of their windows instead, pre-aggregated before the shuffle.
+   record is the suffix at an anchor: its leading 8 bytes, hashes of its 64-byte core (inside
+   all its windows) and, 128 bits, of its whole context.
+2. *Order.* Records are range-partitioned by leading bytes, core and context, equal ones by
+   place, at splitters sampled from them, and sorted in their bucket. Neighbours are compared:
+   a core that stands alone is done; where a whole context recurs all its windows recur; cores
+   in several contexts are the edges of repeats and go on. The first and last core of a bucket
+   may go on in the next: their records are compared across buckets, by groups aggregated
+   before the shuffle and joined back, so no core is ever one task's.
+3. *Suffixes.* Contexts at edges of repeats (one for each distinct context) are range-partitioned
+   by their core. A bucket sorts the suffixes at its window starts by multikey quicksort over
+   8-byte characters: each level orders what still ties and drops what stands alone; what ties
+   through all 200 bytes recurs. Equal cores are equal range keys, so no comparison is lost at
+   a boundary between buckets; the last group of a batch is carried over to the next. The rest,
+   cores with more than ``hot`` contexts, would be one bucket each: their windows are compared
+   by 128-bit digests instead, pre-aggregated before the shuffle.
 4. *Removal.* Covered runs are gathered by document and cut out of the bytes.
 
+Where 128-bit hashes decide, unequal strings pass as equal with probability 2^-128 a pair.
+
 Strings are judged on the input; matches never cross documents; rows that repeat id and text
 are copies like any others. Null and empty texts have 0 bytes; null ids are kept as null.
 Only the two named columns are read.
@@ -27,7 +32,6 @@ Only the two named columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,10 @@ from .textkernel import Block, _power_tables, blocks, mix64
 LENGTH, CORE, GRAM = 200, 64, 16
 SPREAD = LENGTH - CORE + 1
 HOT = 20_000
+#: Records of one core that a task holds before it leaves them to the comparison across buckets.
+HELD = 200_000
+#: A number for each byte value, for the second of two hashes.
+_DIGITS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -55,16 +63,24 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def substring_hashes(digits: np.ndarray):
+    """A function of (starts, ends) that hashes substrings, and its prefix sums."""
+    n = len(digits)
+    up, down = _power_tables(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(digits * up[:n], out=prefix[1:])
+    return lambda s, e: mix64((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64)), prefix
+
+
 def records(block: Block) -> tuple[np.ndarray, ...]:
-    """(document, anchor, first and last window start, core hash, context hash) in block bytes."""
+    """(document, anchor, first and last window start, leading bytes, core hash, two context
+    hashes) in block bytes."""
     n = len(block.data)
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.empty(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 4))
     if n < LENGTH:
         return none
-    up, down = _power_tables(n + 1)
-    prefix = np.empty(n + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum((block.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+    _, down = _power_tables(n + 1)
+    hashed, prefix = substring_hashes(block.data.astype(np.uint64) + np.uint64(1))
     gram = mix64((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
     key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
     least = sliding_least(key, SPREAD)
@@ -83,15 +99,13 @@ def records(block: Block) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(fresh)
     lo, hi = window[at], window[np.append(at[1:], len(window)) - 1]
     a = anchor[at]
+    second, _ = substring_hashes(_DIGITS[block.data])
+    place = (a - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    lead = np.ndarray((n - 7,), ">u8", np.ascontiguousarray(block.data), strides=(1,))[a].astype(np.uint64)
+    return doc[at], a, lo, hi, lead, hashed(a, a + CORE), *(mix64(h(lo, hi + LENGTH) + place) for h in (hashed, second))
 
-    def hashed(s, e):
-        return mix64((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
 
-    context = mix64(hashed(lo, hi + LENGTH) + (a - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return doc[at], a, lo, hi, hashed(a, a + CORE), context
-
-
-_RECORDS = "doc_id long, th int, core long, ctx long, a long, l int, r int"
+_RECORDS = "doc_id long, th int, lead long, core long, ctx long, ctx2 long, a long, l int, r int"
 
 
 def record_table(docs: DataFrame) -> DataFrame:
@@ -100,20 +114,93 @@ def record_table(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column(2)):
-                doc, a, lo, hi, core, ctx = records(block)
+                doc, a, lo, hi, lead, *keys = records(block)
                 rows = pa.array(doc + block.first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(rows), batch.column(1).take(rows),
-                        pa.array(core.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(a - block.offsets[doc]),
+                        # Leading bytes in their own order: the sign bit is turned.
+                        pa.array((lead ^ np.uint64(1 << 63)).view(np.int64)), *[pa.array(k.view(np.int64)) for k in keys], pa.array(a - block.offsets[doc]),
                         pa.array((a - lo).astype(np.int32)), pa.array((a - hi).astype(np.int32)),
                     ],
-                    names=["doc_id", "th", "core", "ctx", "a", "l", "r"],
+                    names=["doc_id", "th", "lead", "core", "ctx", "ctx2", "a", "l", "r"],
                 )
 
     return docs.mapInArrow(run, _RECORDS)
 
 
+_COMPARED = "doc_id long, th int, core long, ctx long, ctx2 long, a long, l int, r int, n_ctx long, kinds long, first boolean, edge boolean"
+
+
+def compare_neighbours(ordered: DataFrame) -> DataFrame:
+    """Of records in order, those whose core recurs, with n_ctx (records of the context), kinds
+    (contexts of the core) and whether a record is its context's first. Records of a bucket's
+    first and last core are marked as edges and left open."""
+
+    def part(table: pa.Table, edge: bool) -> pa.Table:
+        n = table.num_rows
+        if edge:
+            counts, first, keep = [np.zeros(n, np.int64)] * 2, np.zeros(n, bool), np.arange(n)
+        else:
+            core, ctx, ctx2 = (table.column(c).to_numpy() for c in ("core", "ctx", "ctx2"))
+            fresh = np.ones(n, bool)
+            fresh[1:] = core[1:] != core[:-1]
+            first = fresh.copy()
+            first[1:] |= (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1])
+            by_core, by_context = np.cumsum(fresh) - 1, np.cumsum(first) - 1
+            counts = [np.bincount(by_context)[by_context], np.bincount(by_core[first])[by_core]]
+            keep = np.flatnonzero(np.bincount(by_core)[by_core] > 1)
+        found = table.drop_columns("lead").take(pa.array(keep))
+        added = {"n_ctx": counts[0][keep], "kinds": counts[1][keep], "first": first[keep], "edge": np.full(len(keep), edge)}
+        for name, column in added.items():
+            found = found.append_column(name, pa.array(column))
+        return found
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        open_core = None  # the core whose records are left to the comparison across buckets
+        began = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            core = table.column("core").to_numpy()
+            if not began:
+                began, open_core = True, core[0]
+            if open_core is not None:
+                other = core != open_core
+                k = int(other.argmax()) if other.any() else len(core)
+                yield from part(table.slice(0, k), True).to_batches()
+                table, core, held = table.slice(k), core[k:], None
+                if not len(core):
+                    continue
+                open_core = None
+            change = np.flatnonzero(core[1:] != core[:-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut:
+                yield from part(table.slice(0, cut).combine_chunks(), False).to_batches()
+            held = table.slice(cut)
+            if held.num_rows > HELD:
+                yield from part(held, True).to_batches()
+                held, open_core = None, core[-1]
+        if held is not None:
+            yield from part(held, True).to_batches()
+
+    return ordered.mapInArrow(run, _COMPARED)
+
+
+def compare_across(edges: DataFrame) -> DataFrame:
+    """The open records of all buckets, compared: groups are aggregated before the shuffle."""
+    context = ["core", "ctx", "ctx2"]
+    row = F.struct("doc_id", "th", "a")
+    by_context = stage(edges.groupBy(*context).agg(F.count(F.lit(1)).alias("n_ctx"), F.min(row).alias("least")), "edge-contexts")
+    by_core = by_context.groupBy("core").agg(F.sum("n_ctx").alias("n_core"), F.count(F.lit(1)).alias("kinds")).where("n_core > 1").select("core", "kinds")
+    stats = stage(by_context.join(stage(by_core, "edge-cores"), "core"), "edge-counts")
+    found = edges.drop("n_ctx", "kinds", "first").join(stats, context)
+    return found.withColumn("first", row == F.col("least")).drop("least")
+
+
 def contexts(docs: DataFrame) -> DataFrame:
     """Context bytes of the records listed with each document (doc_id, th, text, wanted)."""
 
@@ -235,37 +322,44 @@ def digest_windows(table: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                n = row["l"] - row["r"] + 1
-                digests = [hashlib.blake2b(row["bytes"][k : k + LENGTH], digest_size=16).digest() for k in range(n)]
-                at = row["a"] - row["l"]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array([row["doc_id"]] * n, pa.int64()), "th": pa.array([row["th"]] * n, pa.int32()), "many": [row["many"]] * n, "s": [at + k for k in range(n)], "digest": digests}
-                )
-
-    each = table.mapInArrow(run, "doc_id long, th int, many boolean, s long, digest binary")
-    twice = each.groupBy("digest").count().where("count > 1").select("digest")
-    return each.where("not many").join(twice, "digest", "left_semi").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e"))
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                pieces = part.column("bytes").to_pylist()
+                data = np.frombuffer(b"".join(pieces), np.uint8)
+                size = np.array([len(x) for x in pieces], np.int64)
+                left, right = (part.column(c).to_numpy().astype(np.int64) for c in ("l", "r"))
+                record, start = _window_starts(left, right, size)
+                digests = [substring_hashes(d)[0](start, start + LENGTH) for d in (data.astype(np.uint64) + np.uint64(1), _DIGITS[data])]
+                at = part.column("a").to_numpy()[record] - left[record] + start - (np.cumsum(size) - size)[record]
+                pick = pa.array(record)
+                columns = [part.column(c).take(pick) for c in ("doc_id", "th", "many")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(at), *[pa.array(d.view(np.int64)) for d in digests]], names=["doc_id", "th", "many", "s", "d1", "d2"])
+
+    each = stage(table.mapInArrow(run, "doc_id long, th int, many boolean, s long, d1 long, d2 long"), "suffix-digests")
+    twice = stage(each.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "suffix-twice")
+    return each.where("not many").join(twice, ["d1", "d2"], "left_semi").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e"))
 
 
 def covered_runs(source: DataFrame, hot: int = HOT) -> DataFrame:
     """Runs (doc_id, th, s, e) whose union is what recurs; ``source`` has (doc_id, th, text)."""
-    by_core, by_context = Window.partitionBy("core"), Window.partitionBy("core", "ctx")
-    table = record_table(source)
-    table = table.withColumns({"n_ctx": F.count(F.lit(1)).over(by_context), "rank": F.row_number().over(by_context.orderBy("a"))})
-    table = table.withColumns({"n_core": F.count(F.lit(1)).over(by_core), "kinds": F.count(F.when(F.col("rank") == 1, 1)).over(by_core)})
-    table = stage(table.where("n_core > 1").drop("n_core"), "suffix-candidates")
+    keys = ["lead", "core", "ctx", "ctx2"]
+    table = record_table(source).repartitionByRange(*keys, F.xxhash64("doc_id", "th", "a")).sortWithinPartitions(*keys, "doc_id", "th", "a")
+    compared = stage(compare_neighbours(table), "suffix-candidates")
+    across = stage(compare_across(compared.where("edge")), "suffix-edges")
+    table = compared.where("not edge").unionByName(across)
     settled = table.where("n_ctx > 1").select("doc_id", "th", (F.col("a") - F.col("l")).alias("s"), (F.col("a") - F.col("r") + LENGTH).alias("e"))
 
-    wanted = table.where("kinds > 1 and rank = 1")
+    wanted = table.where("kinds > 1 and first")
     listed = F.struct("core", (F.col("n_ctx") > 1).alias("many"), (F.col("kinds") > hot).alias("hot"), "a", "l", "r")
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(listed).alias("wanted"))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_set(listed).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "wanted")
     # Rows that repeat id and text have equal contexts; one of them stands for all.
     met = source.join(wanted, source["doc_id"].eqNullSafe(wanted["w_id"]) & (source["th"] == wanted["w_th"]))
     found = stage(contexts(met.select("doc_id", "th", "text", "wanted")).dropDuplicates(["doc_id", "th", "a"]), "suffix-contexts")
     ordered = found.where("not hot").repartitionByRange("lead").sortWithinPartitions("lead")
-    return settled.unionByName(sort_buckets(ordered)).unionByName(digest_windows(found.where("hot")))
+    out = settled.unionByName(sort_buckets(ordered))
+    hots = found.where("hot")
+    return out.unionByName(digest_windows(hots)) if hots.limit(1).count() else out
 
 
 def remove_runs(docs: DataFrame) -> DataFrame:
@@ -305,7 +399,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     text = text_of(docs, text_col)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
-    runs = covered_runs(source, hot).groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("runs"))
+    runs = covered_runs(source, hot).groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.array("s", "e"))).alias("runs"))
     runs = stage(runs.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "runs"), "suffix-runs")
     joined = source.join(runs, source["doc_id"].eqNullSafe(runs["r_id"]) & (source["th"] == runs["r_th"]), "left")
     return remove_runs(joined.select("doc_id", "text", "runs"))
