@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entities that are decoded without Python; ``&amp;`` last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&amp;": "&"}
@@ -27,9 +31,20 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def clean_word(word: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def unescape_all(text: pd.Series) -> pd.Series:
+    """Decode every HTML5 entity, named or numeric, as browsers do."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def clean_every_entity(word: Column) -> Column:
+    """``clean_word`` over all entities; only texts with an ampersand leave the JVM."""
+    return clean_word(F.when(word.contains("&"), unescape_all(word)).otherwise(word), decoded=True)
+
+
+def clean_word(word: Column, decoded: bool = False) -> Column:
     """Decode entities, then drop tags, trim (no-break spaces too), and mask ``[ __ ]`` as ``***``."""
-    plain = F.regexp_replace(unescape(word), "<[^>]+>", "")
+    plain = F.regexp_replace(word if decoded else unescape(word), "<[^>]+>", "")
     plain = F.regexp_replace(plain, r"^[\s ]+|[\s ]+$", "")
     return F.regexp_replace(plain, r"\[?[\s ]*__[\s ]*\]?", "***")
 

@@ -45,6 +45,27 @@ def packed_groups(words: DataFrame, widths: dict[str, float], room: float, per_l
     return words.select("source_id", "word_idx", "word").groupBy("source_id").applyInPandas(run, "source_id long, word_idx long, group_idx long, line_idx long")
 
 
+def wrapped_lines(words: DataFrame, widths: dict[str, float], room: float, per_line: int = 3, space: float = 10.0, default: float = 20.0) -> DataFrame:
+    """Lines of each display group at render: (source_id, group_idx, word_idx, line_idx). A line
+    breaks before a word that makes it wider than the room or longer than ``per_line``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, last, line, held, used = [], None, 0, 0, 0.0
+        for source, group, idx, word in pdf.sort_values(["group_idx", "word_idx"]).itertuples(index=False):
+            if group != last:
+                last, line, held, used = group, 0, 0, 0.0
+            own = sum(widths.get(c, default) for c in word.upper())
+            if held and (held == per_line or used + space + own > room):
+                line, held, used = line + 1, 0, 0.0
+            used += own + (space if held else 0.0)
+            held += 1
+            out.append((source, group, idx, line))
+        return pd.DataFrame(out, columns=["source_id", "group_idx", "word_idx", "line_idx"])
+
+    rows = words.select("source_id", "group_idx", "word_idx", "word")
+    return rows.groupBy("source_id").applyInPandas(run, "source_id long, group_idx long, word_idx long, line_idx long")
+
+
 def active_word(words: Column, t: Column, linger: float = 0.15) -> Column:
     """Index of the first word with start <= t <= end + linger; else the last begun; else -1."""
     place = F.transform(words, lambda w, i: F.struct(i.alias("i"), w["start_s"].alias("s"), w["end_s"].alias("e")))

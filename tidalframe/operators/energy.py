@@ -26,6 +26,12 @@ def tumbling_variance(samples: DataFrame, keys: list[str], order: list[str], rat
     return runs.groupBy(*keys).agg(F.when(F.count(full) > 1, F.var_pop(full)).otherwise(F.lit(0.0)).alias("energy_var"))
 
 
+def time_slice(samples: DataFrame, start_s: float, end_s: float, rate: int, index: str = "sample_idx") -> DataFrame:
+    """Samples from ``start_s`` to before ``end_s``, both cut to whole milliseconds."""
+    lo, hi = (int(int(t * 1000) * rate / 1000) for t in (start_s, end_s))
+    return samples.where((F.col(index) >= lo) & (F.col(index) < hi))
+
+
 def passage_metrics(samples: DataFrame, keys: list[str], duration: float, sub: Column) -> DataFrame:
     """One row a passage: word_count, rms, peak, energy_var (over ``sub`` windows), rate, silence_ratio.
 

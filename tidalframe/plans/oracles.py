@@ -341,3 +341,90 @@ ORACLES["greedy_groups"] = _with(
     "select source_id, word_idx, grp as group_idx, line as line_idx from run where word_idx >= 0",
     recursive=True,
 )
+
+# --- readers, sinks, answers --------------------------------------------------------------
+
+_TURNS = r"""
+said as (select conv_id as source_id, row_number() over (partition by conv_id order by turn) - 1 as n, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.,!?]+', ' ', 'g')) as text from conversations),
+cue as (select *, n * 100.0::double + 0.25 as s, n * 100.0::double + 0.25 + case when n % 2 = 1 then 0.01 else 90.0::double end as e from said)"""
+
+ORACLES["vtt_all_cues"] = _with(_TURNS, "select source_id, n as cue_idx, round(s, 6) as start_s, round(e, 6) as end_s, text from cue where text <> ''")
+ORACLES["vtt_separator_cues"] = _with(_TURNS, "select source_id, n as cue_idx, round(s, 6) as start_s, text from cue where n % 2 = 1 and text <> ''")
+ORACLES["vtt_text_between"] = _with(_TURNS, "select source_id, string_agg(text, ' ' order by n) as text from cue where n % 2 = 1 and text <> '' and s between 100 and 351 group by 1")
+ORACLES["vtt_word_cues"] = _with(
+    _TURNS + """,
+    w as (select source_id, n, s, e, string_split(text, ' ') as ws from cue where contains(text, ' ')),
+    each as (select *, unnest(range(0, len(ws))) as k from w)""",
+    """select source_id, n + 1 as cue_idx, k as word_idx, ws[k + 1] as word, round(s + k * 0.1::double, 6) as start_s,
+       round(case when k + 1 < len(ws) then s + (k + 1) * 0.1::double else e end, 6) as end_s from each""",
+)
+ORACLES["words_json"] = _with(_WORDS, "select source_id, word_idx, word, round(start_s + 1.5, 6) as start_s, round(end_s + 1.5, 6) as end_s from words")
+ORACLES["speakers_json"] = _with(
+    _WORDS + ", t as (select source_id, turn, role, min(start_s) as s, max(end_s) as e from words group by all)",
+    "select source_id, row_number() over (partition by source_id order by turn) - 1 as seg_idx, round(s, 6) as start_s, round(e, 6) as end_s, role as speaker from t",
+)
+ORACLES["crops_json"] = _with(_NUM, "select source_id, idx as seg_idx, round(t, 6) as start_s, round(t + 6, 6) as end_s, floor(value)::bigint as crop_x from num")
+ORACLES["media_facts"] = _with(_EV + ", m as (select source_id, count(*) as n from ev group by 1)", "select source_id, 1920::bigint as width, n as total_frames, round(case when source_id % 3 = 0 then n * 2.5::double else n / 25.0::double end, 6) as duration_s from m")
+ORACLES["silence_log"] = _with(_GAPS, "select source_id, row_number() over (partition by source_id order by s) - 1 as seg_idx, round(s, 6) as start_s, round(e, 6) as end_s, round(e - s, 6) as duration_s from gaps")
+ORACLES["trim_graph"] = _with(
+    _KEEPS,
+    """select source_id, string_agg(printf('[0:v]trim=%.3f:%.3f,setpts=PTS-STARTPTS[v%d];[0:a]atrim=%.3f:%.3f,asetpts=PTS-STARTPTS[a%d]', start_s, end_s, seg_idx::bigint, start_s, end_s, seg_idx::bigint), ';' order by seg_idx)
+       || ';' || string_agg(printf('[v%d][a%d]', seg_idx::bigint, seg_idx::bigint), '' order by seg_idx) || printf('concat=n=%d:v=1:a=1[v][a]', count(*)) as graph from keeps group by 1""",
+)
+ORACLES["clip_lengths"] = _with(_EV, "select event_id, floor(value / 10)::bigint as duration from ev where floor(value / 10) >= 20 and value / 10 - event_id % 4 >= 20")
+ORACLES["result_arrays"] = _with(
+    _EV + ", r as (select *, row_number() over (partition by source_id order by value desc, event_id) as rank from ev)",
+    "select source_id, to_json(list({'rank': rank, 'hit_id': event_id, 'detector': event_type} order by rank))::varchar as value from r where rank <= 3 group by 1",
+)
+ORACLES["report"] = _with(
+    _EV + """, r as (select *, row_number() over (order by value desc, event_id) as rank from ev),
+    best as (select rank, value / 5 as final_score, t, t + 30 as e, event_type, floor(value / 50) as p1, (event_id % 10)::double as p2 from r where rank <= 5)""",
+    """select rank, unnest([0, 1, 2, 3]) as line_no, unnest([
+         printf('#%d - SCORE: %d/100', rank, round_even(final_score, 0)::bigint),
+         printf('Time: %02d:%02d:%02d - %02d:%02d:%02d', floor(t / 3600)::bigint, (floor(t / 60) % 60)::bigint, (floor(t) % 60)::bigint, floor(e / 3600)::bigint, (floor(e / 60) % 60)::bigint, (floor(e) % 60)::bigint),
+         'Hook: ' || event_type, printf('Phase scores: text=%.1f, audio=%.1f', p1, p2)]) as line from best""",
+)
+ORACLES["records"] = _with(_EV, "select event_id, to_json({'event_id': event_id, 'event_type': event_type, 'props': props})::varchar as record from ev")
+ORACLES["faces_by_x"] = _with(_FACES, "select source_id, g as idx, row_number() over (partition by source_id, g order by cx, idx) - 1 as place, idx as face_idx, round(cx, 6) as cx from face")
+ORACLES["first_face"] = _with(
+    _FACES + ", one as (select source_id, g, arg_min(cx / 1920, idx) filter (score >= 0.6) as cx from face group by all)",
+    "select source_id, g as idx, round(coalesce(last_value(cx ignore nulls) over (partition by source_id order by g rows unbounded preceding), 0.5), 6) as cx from one",
+)
+ORACLES["mean_crop"] = (
+    "select source_id, greatest(0, least(trunc(avg(value) / 500 * 1920 - 607 / 2.0::double)::bigint, 1920 - 607)) as crop_x from ("
+    + ORACLES["interp_linear"].replace("round(case", "(case").replace("end, 6) as value", "end) as value")
+    + ") group by 1"
+)
+ORACLES["segment_at_frame"] = _with(
+    _NUM + ", seg as (select source_id, idx // 7 as seg_idx, floor(min(value))::bigint as crop_x from num where idx < 56 group by all), last as (select source_id, max(seg_idx) as top from seg group by 1)",
+    "select num.source_id, num.idx as frame_idx, seg.seg_idx, seg.crop_x from num join last using (source_id) join seg on seg.source_id = num.source_id and seg.seg_idx = least(num.idx // 7, top)",
+)
+ORACLES["sample_slice"] = _with(_NUM, "select source_id, idx, event_id from num where idx >= 12 and idx < 39")
+ORACLES["rubric_scores"] = _with(_EV, "select event_id, case when event_id % 7 = 0 then 0 else event_id % 90 end as total, case when event_id % 7 = 0 then 'parse_error' else event_type end as verdict from ev")
+ORACLES["detailed_scores"] = _with(_EV, "select event_id, case when event_id % 5 <> 0 then (event_id % 100)::double else (event_id % 11 + event_id % 7) * 5.0::double end as final_score, case when event_id % 5 <> 0 then event_type else 'fallback' end as explanation from ev")
+ORACLES["wrapped_lines"] = _with(
+    _WORDS + """,
+    need as (select source_id, word_idx, 20.0::double * length(replace(upper(word), 'ẞ', 'SS')) as w from words),
+    run as (
+      select source_id, -1::bigint as word_idx, 0::bigint as line, 0 as held, 0.0::double as used from (select distinct source_id from words)
+      union all
+      select source_id, word_idx, case when fresh then 0 when breaks then line + 1 else line end, case when fresh or breaks then 1 else held + 1 end, case when fresh or breaks then w else used + w + 10 end
+      from (select r.line, r.held, r.used, n.source_id, n.word_idx, n.w, n.word_idx % 8 = 0 as fresh, r.held = 3 or r.used + 10 + n.w > 300 as breaks
+            from run r join need n on n.source_id = r.source_id and n.word_idx = r.word_idx + 1))""",
+    "select source_id, word_idx // 8 as group_idx, word_idx, line as line_idx from run where word_idx >= 0",
+    recursive=True,
+)
+
+# --- streams: what their batch forms give, less what is still open ------------------------
+
+ORACLES["stream_ema"] = ORACLES["ema_series"]
+ORACLES["stream_recover"] = ORACLES["track_recover"]
+ORACLES["stream_hysteresis"] = ORACLES["hysteresis"]
+ORACLES["stream_segments"] = f"select source_id, start_idx, end_idx, crop_x from (select *, max(seg_idx) over (partition by source_id) as open from ({ORACLES['segment_median']})) where seg_idx < open"
+ORACLES["stream_dedup"] = f"select source_id, hit_id, start_s, score from (select *, row_number() over (partition by source_id order by start_s desc, hit_id desc) as back from ({ORACLES['near_dedup']})) where back > 1"
+_INSTANT = "inst as (select user_id as source_id, epoch_us(ts) / 1000000 as s, value from events)"
+ORACLES["stream_energy"] = _with(_INSTANT.replace("events)", "events)"), "select source_id, (floor(s / 43200) * 43200)::bigint as start, round(sqrt(avg(value * value)), 6) as rms, count(*) as n from inst group by 1, 2")
+ORACLES["stream_passages"] = _with(
+    _INSTANT + ", placed as (select source_id, value, unnest([floor(s / 72000) * 72000, floor(s / 72000) * 72000 - 72000]) as start, s from inst)",
+    "select source_id, start::bigint as start, round(sqrt(avg(value * value)), 6) as rms, count(*) as n from placed where s < start + 108000 group by 1, 2",
+)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import models as M
 from ..functions import scoring as S
 from ..functions import text as X
 from ..functions import timefmt as TF
@@ -16,6 +17,9 @@ from ..operators import intervals as I
 from ..operators import ranking as R
 from ..operators import tracking as K
 from ..operators import windows as W
+from ..sources import tables as T
+from ..sources import vtt as V
+from ..streaming import online as O
 from .standins import FPS, NEAR, SILENCE, SPAN, five_faces, frame_grid, numbered, r6, read, sentence_cues, spoken_words, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +455,238 @@ def track_recover(spark, sf):
 def segment_median(spark, sf):
     rows = numbered(timeline(spark, sf)).withColumn("x", F.col("value"))
     return K.segment_by_median(rows, 607.0, 2.0, src_w=1000)
+
+
+# --- readers, sinks and model answers, over texts made from the tables --------------------
+
+
+def _stamp(ms: F.Column) -> F.Column:
+    part = lambda unit, of: (F.floor(ms / unit) % of).cast("long")
+    return F.format_string("%02d:%02d:%02d.%03d", part(3_600_000, 100), part(60_000, 60), part(1000, 60), (ms % 1000).cast("long"))
+
+
+def _spoken_turns(spark, sf) -> DataFrame:
+    """(source_id, n, text, start_ms, end_ms): turns by number, in ASCII; every second one is a flash."""
+    plain = F.trim(F.regexp_replace("text", "[^A-Za-z0-9.,!?]+", " "))
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = read(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), n.cast("long").alias("n"), F.coalesce(plain, F.lit("")).alias("text"))
+    start = F.col("n") * 100_000 + 250
+    return rows.withColumns({"start_ms": start, "end_ms": start + F.when(F.col("n") % 2 == 1, 10).otherwise(90_000)})
+
+
+def _caption_files(turns: DataFrame, body: F.Column) -> DataFrame:
+    cue = F.concat(_stamp(F.col("start_ms")), F.lit(" --> "), _stamp(F.col("end_ms")), F.lit(" align:start\n"), body)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", cue.alias("cue")))), lambda x: x["cue"])
+    return turns.groupBy("source_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(listed, "\n\n"), F.lit("\n")).alias("value"))
+
+
+@query
+def vtt_all_cues(spark, sf):
+    files = _caption_files(_spoken_turns(spark, sf), F.col("text"))
+    return V.all_cues(files).select("source_id", F.col("cue_idx").cast("long").alias("cue_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "text")
+
+
+@query
+def vtt_separator_cues(spark, sf):
+    files = _caption_files(_spoken_turns(spark, sf), F.col("text"))
+    return V.separator_cues(files).select("source_id", F.col("cue_idx").cast("long").alias("cue_idx"), r6("start_s").alias("start_s"), "text")
+
+
+@query
+def vtt_text_between(spark, sf):
+    files = _caption_files(_spoken_turns(spark, sf), F.col("text"))
+    return V.text_between(V.separator_cues(files), F.lit(101.0), F.lit(350.0))
+
+
+@query
+def vtt_word_cues(spark, sf):
+    words = F.split("text", " ")
+    tagged = F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit("<"), _stamp(F.col("start_ms") + 100 * i), F.lit("><c> "), w, F.lit("</c>"))))
+    files = _caption_files(_spoken_turns(spark, sf), F.array_join(tagged, ""))
+    out = V.word_cues(files)
+    return out.select("source_id", F.col("cue_idx").cast("long").alias("cue_idx"), F.col("word_idx").cast("long").alias("word_idx"), "word", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+
+
+@query
+def words_json(spark, sf):
+    word = F.struct("word_idx", F.struct(F.concat(F.lit(" "), "word").alias("word"), F.col("start_s").alias("start"), F.col("end_s").alias("end")).alias("w"))
+    turns = spoken_words(spark, sf).groupBy("source_id", "turn").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]).alias("words"))
+    segments = F.transform(F.array_sort(F.collect_list(F.struct("turn", "words"))), lambda x: F.struct(x["words"].alias("words")))
+    files = turns.groupBy("source_id").agg(F.to_json(F.struct(segments.alias("segments"))).alias("value"))
+    out = T.words_of(files, offset=1.5)
+    return out.select("source_id", F.col("word_idx").cast("long").alias("word_idx"), "word", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+
+
+@query
+def speakers_json(spark, sf):
+    turns = spoken_words(spark, sf).groupBy("source_id", "turn", "role").agg(F.min("start_s").alias("start"), F.max("end_s").alias("end"))
+    row = F.struct("turn", F.struct("start", "end", F.col("role").alias("speaker")).alias("s"))
+    files = turns.groupBy("source_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"])).alias("value"))
+    out = T.segments_of(files, T.SPEAKERS)
+    return out.select("source_id", F.col("seg_idx").cast("long").alias("seg_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "speaker")
+
+
+@query
+def crops_json(spark, sf):
+    row = F.struct("idx", F.struct(F.col("t").alias("start"), (F.col("t") + 6).alias("end"), F.floor("value").alias("crop_x")).alias("s"))
+    files = numbered(timeline(spark, sf)).groupBy("source_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"])).alias("value"))
+    out = T.segments_of(files, T.CROPS)
+    return out.select("source_id", F.col("seg_idx").cast("long").alias("seg_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), F.col("crop_x").cast("long").alias("crop_x"))
+
+
+@query
+def media_facts(spark, sf):
+    facts = timeline(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("source_id") % 3 == 0, F.col("n") * 2.5)
+    files = facts.select("source_id", F.to_json(F.struct(F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(25.0).alias("fps"), F.col("n").alias("total_frames"), known.alias("duration_s"))).alias("value"))
+    return T.media_of(files).select("source_id", F.col("width").cast("long").alias("width"), "total_frames", r6("duration_s").alias("duration_s"))
+
+
+@query
+def silence_log(spark, sf):
+    cast = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("[silencedetect @ 0x1] silence_start: "), cast("start_s"), F.lit("\n[silencedetect @ 0x1] silence_end: "), cast("end_s"), F.lit(" | silence_duration: "), (F.col("end_s") - F.col("start_s")).cast("string"))
+    logs = _silences(spark, sf).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", line.alias("l")))), lambda x: x["l"]), "\n").alias("value"))
+    return T.silence_log(logs).select("source_id", F.col("seg_idx").cast("long").alias("seg_idx"), r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), r6("duration_s").alias("duration_s"))
+
+
+@query
+def trim_graph(spark, sf):
+    return T.trim_filter(I.keep_segments(_silences(spark, sf), _totals(spark, sf)))
+
+
+@query
+def clip_lengths(spark, sf):
+    clips = timeline(spark, sf).select("event_id", F.floor(F.col("value") / 10).alias("duration"), (F.col("value") / 10 - F.col("event_id") % 4).alias("actual"))
+    return R.long_enough(clips, "duration", "actual").select("event_id", "duration")
+
+
+@query
+def result_arrays(spark, sf):
+    best = R.top_by(timeline(spark, sf), 3, "source_id", F.desc("value"), F.asc("event_id"))
+    rows = best.select("source_id", F.col("rank").cast("long").alias("rank"), F.col("event_id").alias("hit_id"), F.col("event_type").alias("detector"))
+    return T.json_array(rows, "source_id", "rank")
+
+
+@query
+def report(spark, sf):
+    best = R.top(timeline(spark, sf), 5, F.desc("value"), F.asc("event_id"))
+    rows = best.select("rank", (F.col("value") / 5).alias("final_score"), F.col("t").alias("start_s"), (F.col("t") + 30).alias("end_s"), F.col("event_type").alias("hook"), F.floor(F.col("value") / 50).cast("double").alias("p1"), (F.col("event_id") % 10).cast("double").alias("p2"))
+    return T.report_lines(rows).select(F.col("rank").cast("long").alias("rank"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query
+def records(spark, sf):
+    return T.record_json(timeline(spark, sf).select("event_id", "event_type", "props")).select("event_id", "record")
+
+
+@query
+def faces_by_x(spark, sf):
+    rows = five_faces(timeline(spark, sf)).select("source_id", "idx", F.posexplode(K.by_x(F.col("faces"))).alias("place", "f"))
+    return rows.select("source_id", "idx", F.col("place").cast("long").alias("place"), F.col("f.idx").alias("face_idx"), r6("f.cx").alias("cx"))
+
+
+@query
+def first_face(spark, sf):
+    faces = F.transform(F.filter("faces", lambda f: f["score"] >= 0.6), lambda f: F.struct((f["cx"] / 1920).alias("cx")))
+    rows = five_faces(timeline(spark, sf)).withColumn("faces", faces)
+    return rows.select("source_id", "idx", r6(K.first_position(F.col("faces"), ("idx",))).alias("cx"))
+
+
+@query
+def mean_crop(spark, sf):
+    rows = numbered(timeline(spark, sf)).withColumn("cx", F.col("value") / 500)
+    return K.mean_crop(rows.select("source_id", W.interpolate("idx", "cx", F.col("event_id") % 4 == 0).alias("cx")), "cx", 1920, 1080)
+
+
+@query
+def segment_at_frame(spark, sf):
+    rows = numbered(timeline(spark, sf))
+    cut = rows.where("idx < 56").withColumn("seg_idx", F.floor(F.col("idx") / 7))
+    segments = cut.groupBy("source_id", "seg_idx").agg(F.floor(F.min("value")).alias("crop_x")).withColumn("end_idx", (F.col("seg_idx") + 1) * 7)
+    return I.segment_at_frame(rows.select("source_id", F.col("idx").alias("frame_idx")), segments)
+
+
+@query
+def sample_slice(spark, sf):
+    return E.time_slice(numbered(timeline(spark, sf)), 1.2345, 3.9996, 10, "idx").select("source_id", "idx", "event_id")
+
+
+@query
+def rubric_scores(spark, sf):
+    k = F.col("event_id")
+    whole = F.to_json(F.struct((k % 31).cast("int").alias("hook"), (k % 26).cast("int").alias("arc"), (k % 90).cast("int").alias("total"), F.col("event_type").alias("verdict")))
+    answers = timeline(spark, sf).select("event_id", F.when(k % 7 == 0, "no answer").when(k % 2 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole).alias("answer"))
+    return M.rubric(answers).select("event_id", F.col("rubric.total").cast("long").alias("total"), F.col("rubric.verdict").alias("verdict"))
+
+
+@query
+def detailed_scores(spark, sf):
+    k = F.col("event_id")
+    whole = F.to_json(F.struct((k % 100).cast("int").alias("score"), F.col("event_type").alias("explanation")))
+    answers = timeline(spark, sf).select("event_id", F.when(k % 5 != 0, whole).otherwise("{broken").alias("answer"), (k % 11).cast("double").alias("p1"), (k % 7).cast("double").alias("p2"))
+    return M.detailed_score(answers, "p1", "p2").select("event_id", "final_score", "explanation")
+
+
+@query
+def wrapped_lines(spark, sf):
+    words = spoken_words(spark, sf).withColumn("group_idx", F.floor(F.col("word_idx") / 8))
+    return C.wrapped_lines(words, {}, 300.0).select("source_id", "group_idx", "word_idx", "line_idx")
+
+
+@query
+def clean_entities(spark, sf):
+    """Every HTML5 entity; without SQL, tested against brute force."""
+    return read(spark, sf, "pages").select("page_id", X.clean_every_entity(F.concat(F.lit("&eacute;&#233;&#xE9;&notin; "), "html")).alias("text"))
+
+
+# --- streams, replayed from the tables ----------------------------------------------------
+
+
+@query
+def stream_ema(spark, sf):
+    rows = numbered(timeline(spark, sf)).select("source_id", "idx", F.col("value").alias("x"))
+    return O.drained(O.ema(O.replay(rows), 0.92)).select("source_id", "idx", r6("ema").alias("ema"))
+
+
+@query
+def stream_recover(spark, sf):
+    frames = five_faces(timeline(spark, sf)).withColumn("faces", F.filter("faces", lambda f: f["score"] >= 0.6))
+    return O.drained(O.track_with_recovery(O.replay(frames), 1920, 540, 0.4))
+
+
+@query
+def stream_hysteresis(spark, sf):
+    sure = F.filter("faces", lambda f: f["score"] >= 0.6)
+    frames = five_faces(timeline(spark, sf)).withColumn("faces", F.transform(sure, lambda f: F.struct((f["cx"] / 1920).alias("cx"), (f["w"] / 1920).alias("w"), f["score"].alias("score"))))
+    return O.drained(O.hysteresis(O.replay(frames), needed=3, bounds=K.crop_bounds(1920, 1080))).select("source_id", "idx", r6("target").alias("target"))
+
+
+@query
+def stream_segments(spark, sf):
+    rows = numbered(timeline(spark, sf)).select("source_id", "idx", F.col("value").alias("x"))
+    return O.drained(O.segment_by_median(O.replay(rows), 607.0, 2.0, src_w=1000))
+
+
+@query
+def stream_dedup(spark, sf):
+    out = O.drained(O.near_dedup(O.replay(_hits(timeline(spark, sf))), NEAR))
+    return out.select("source_id", "hit_id", r6("start_s").alias("start_s"), "score")
+
+
+def _instants(spark, sf) -> DataFrame:
+    """Events with ``ts`` as an instant, whatever the session's time zone."""
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return read(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.timestamp_micros(micros).alias("ts"), F.col("value").alias("amp"))
+
+
+@query
+def stream_energy(spark, sf):
+    out = O.drained(O.tumbling_energy(O.replay(_instants(spark, sf)), "10 days", "12 hours"), "complete")
+    return out.select("source_id", F.unix_seconds("window.start").alias("start"), r6("rms").alias("rms"), "n")
+
+
+@query
+def stream_passages(spark, sf):
+    out = O.drained(O.sliding_passages(O.replay(_instants(spark, sf)), "10 days", "30 hours", "20 hours"), "complete")
+    return out.select("source_id", F.unix_seconds("window.start").alias("start"), r6("rms").alias("rms"), "n")

@@ -5,35 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.timefmt import format_clock
+from .vtt import read_whole
+
 WORDS = "segments array<struct<words:array<struct<word:string,start:double,end:double>>>>"
 SPEAKERS = "start double, end double, speaker string"
 CROPS = "start double, end double, crop_x int"
-MEDIA = "source_id string, width int, height int, fps double, total_frames bigint, duration_s double"
+MEDIA = "width int, height int, fps double, total_frames bigint, duration_s double"
 
 
-def words_json(spark: SparkSession, path: str, offset: float = 0.0) -> DataFrame:
-    """Transcriber words: (source_id, word_idx, word, start_s, end_s), trimmed and shifted."""
-    files = spark.read.schema(WORDS).json(path, multiLine=True).withColumn("source_id", F.col("_metadata.file_path"))
-    segments = files.select("source_id", F.posexplode("segments").alias("seg", "s"))
+def words_of(files: DataFrame, offset: float = 0.0) -> DataFrame:
+    """Transcriber words of (source_id, value): (source_id, word_idx, word, start_s, end_s), trimmed and shifted."""
+    segments = files.select("source_id", F.posexplode(F.from_json("value", WORDS)["segments"]).alias("seg", "s"))
     words = segments.select("source_id", "seg", F.posexplode("s.words").alias("k", "w"))
     shifted = lambda c: F.col(f"w.{c}") + offset
     numbered = F.row_number().over(Window.partitionBy("source_id").orderBy("seg", "k")) - 1
     return words.select("source_id", numbered.alias("word_idx"), F.trim("w.word").alias("word"), shifted("start").alias("start_s"), shifted("end").alias("end_s"))
 
 
-def _segments(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of segments in one file, with its order as ``seg_idx``."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_id"), F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>").alias("s"))
+def words_json(spark: SparkSession, path: str, offset: float = 0.0) -> DataFrame:
+    return words_of(read_whole(spark, path), offset)
+
+
+def segments_of(files: DataFrame, schema: str) -> DataFrame:
+    """JSON arrays of segments, one a (source_id, value), with their order as ``seg_idx``."""
+    text = files.select("source_id", F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>").alias("s"))
     rows = text.select("source_id", F.posexplode("s").alias("seg_idx", "s")).select("source_id", "seg_idx", "s.*")
     return rows.withColumnsRenamed({"start": "start_s", "end": "end_s"})
 
 
 def speakers_json(spark: SparkSession, path: str) -> DataFrame:
-    return _segments(spark, path, SPEAKERS)
+    return segments_of(read_whole(spark, path), SPEAKERS)
 
 
 def crops_json(spark: SparkSession, path: str) -> DataFrame:
-    return _segments(spark, path, CROPS)
+    return segments_of(read_whole(spark, path), CROPS)
+
+
+def media_of(files: DataFrame) -> DataFrame:
+    """Media facts of (source_id, value) JSON objects; a missing duration is frames / fps."""
+    facts = files.select("source_id", F.from_json("value", MEDIA).alias("m")).select("source_id", "m.*")
+    return facts.withColumn("duration_s", F.coalesce("duration_s", F.col("total_frames") / F.col("fps")))
+
+
+def media_json(spark: SparkSession, path: str) -> DataFrame:
+    return media_of(read_whole(spark, path))
 
 
 def silence_log(logs: DataFrame, duration: str | None = None) -> DataFrame:
@@ -56,6 +72,36 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def json_array(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, value): the rows of each key as one JSON array, in order. For results cut to a few rows."""
+    record = F.struct(*[c for c in rows.columns if c != key])
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), record.alias("record"))))
+    return rows.groupBy(key).agg(F.to_json(F.transform(listed, lambda x: x["record"])).alias("value"))
+
+
+def write_results(ranked: DataFrame, path: str, best: int = 5) -> None:
+    """The first ``best`` rows by rank, and all, as one JSON array each under ``path``; the input
+    is a top-k already, so an array is small."""
+    for name, rows in (("final", ranked.where(F.col("rank") <= best)), ("all", ranked)):
+        json_array(rows.withColumn("__key", F.lit(0)), "__key", "rank").select("value").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{name}")
+
+
+def record_json(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``record``: all their columns as one JSON object."""
+    return rows.withColumn("record", F.to_json(F.struct(*rows.columns)))
+
+
+def report_lines(ranked: DataFrame) -> DataFrame:
+    """(rank, line_no, line): the console report of ranked passages (rank, final_score, start_s, end_s, hook, p1, p2)."""
+    lines = F.array(
+        F.format_string("#%d - SCORE: %d/100", "rank", F.bround("final_score", 0).cast("long")),
+        F.concat(F.lit("Time: "), format_clock(F.col("start_s")), F.lit(" - "), format_clock(F.col("end_s"))),
+        F.concat(F.lit("Hook: "), F.coalesce("hook", F.lit(""))),
+        F.format_string("Phase scores: text=%.1f, audio=%.1f", "p1", "p2"),
+    )
+    return ranked.select("rank", F.posexplode(lines).alias("line_no", "line"))
+
+
 def trim_filter(keeps: DataFrame) -> DataFrame:
     """(source_id, graph): the trim and concat filter text of the keep segments in order."""
     piece = F.format_string("[0:v]trim=%.3f:%.3f,setpts=PTS-STARTPTS[v%d];[0:a]atrim=%.3f:%.3f,asetpts=PTS-STARTPTS[a%d]", "start_s", "end_s", "seg_idx", "start_s", "end_s", "seg_idx")

@@ -9,16 +9,49 @@ windowed aggregates, which take a watermark.
 from __future__ import annotations
 
 import pickle
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.streams import Ema, Hysteresis, NearTime, Recovery, Segmenter
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a
+    temporary one where that is unset on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tidalframe-stream-")
+    return f"{root.rstrip('/')}/tidalframe-{name}-{uuid.uuid4().hex}"
+
+
+def replay(rows: DataFrame, files_each: int = 4) -> DataFrame:
+    """A bounded table as a stream, ``files_each`` files a micro-batch; a source_id is in one file."""
+    path = scratch(rows.sparkSession, "replay")
+    rows.repartition("source_id").write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_each).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once all its input has come, as a table (the last state for ``complete``)."""
+    spark = stream.sparkSession
+    path = scratch(spark, "drained")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True)
+    if mode == "complete":
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    else:
+        query = writer.format("parquet").option("path", path).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def _machine(rows: DataFrame, make: Callable, step: Callable, order: str, schema: str) -> DataFrame:
     """Run a state machine for each source_id; ``step(machine, row)`` gives output tuples."""
     names = [c.strip().split()[0] for c in schema.split(",")]
@@ -41,8 +74,8 @@ def hysteresis(samples: DataFrame, **params) -> DataFrame:
     return _machine(samples, lambda: Hysteresis(**params), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "idx", "source_id long, idx long, target double")
 
 
-def track_with_recovery(frames: DataFrame, width: float, height: float, fps: float) -> DataFrame:
-    return _machine(frames, lambda: Recovery(width, height, fps), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "idx", "source_id long, idx long, crop_x long")
+def track_with_recovery(frames: DataFrame, width: float, height: float, fps: float, **params) -> DataFrame:
+    return _machine(frames, lambda: Recovery(width, height, fps, **params), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "idx", "source_id long, idx long, crop_x long")
 
 
 def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None) -> DataFrame:
