@@ -283,6 +283,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its ids, and the digests of ids and bytes, for its text."""
+    """Pipeline stage: every document with its ids, and the digests of ids and bytes, for its text.
+
+    Row by row: null or repeated ids change nothing, null and empty texts have no ids; an empty
+    table gives an empty result.
+    """
     encoded = digest_columns(encode_texts(docs, decoded_col="decoded"))
     return encoded.drop("text", "decoded")

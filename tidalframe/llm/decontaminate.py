@@ -273,7 +273,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark window go."""
+    """Pipeline stage: documents that hold a benchmark window go.
+
+    Rows are judged one by one: null or repeated ids change nothing, null and empty texts stay;
+    an empty table, or benchmark, rejects nothing.
+    """
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
