@@ -53,3 +53,25 @@ def test_query_on_documents(spark, sf):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("held", [200_000, 3])
+def test_hot_cores_over_many_buckets(spark, held):
+    """A passage and a line that most documents hold, over more buckets than there are cores."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, line = make(700), make(150)
+    texts = [make(rng.randrange(40)) + (passage if i % 3 else line) + make(rng.randrange(90)) for i in range(120)]
+    texts += [texts[1]] * 30 + ["z" * 300, "z" * 900]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted(brute([t.encode() for _, t in rows]))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for hot in (20_000, 4):
+            got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs, hot=hot, most_held=held).collect())
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

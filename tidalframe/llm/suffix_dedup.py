@@ -11,9 +11,10 @@ still exact:
 2. *Order.* Records are range-partitioned by leading bytes, core and context, equal ones by
    place, at splitters sampled from them, and sorted in their bucket. Neighbours are compared:
    a core that stands alone is done; where a whole context recurs all its windows recur; cores
-   in several contexts are the edges of repeats and go on. The first and last core of a bucket
-   may go on in the next: their records are compared across buckets, by groups aggregated
-   before the shuffle and joined back, so no core is ever one task's.
+   in several contexts are the edges of repeats and go on, one record for each context. The
+   first and last core of a bucket may go on in the next: their contexts are counted across
+   buckets (two cores a bucket at most), and where there is more than one record of them the
+   core goes on too. No core is ever one task's.
 3. *Suffixes.* Contexts at edges of repeats (one for each distinct context) are range-partitioned
    by their core. A bucket sorts the suffixes at its window starts by multikey quicksort over
    8-byte characters: each level orders what still ties and drops what stands alone; what ties
@@ -45,7 +46,7 @@ from .textkernel import Block, _power_tables, blocks, mix64
 LENGTH, CORE, GRAM = 200, 64, 16
 SPREAD = LENGTH - CORE + 1
 HOT = 20_000
-#: Records of one core that a task holds before it leaves them to the comparison across buckets.
+#: Records of one core that a task holds before it passes them on as it does at a bucket's edge.
 HELD = 200_000
 #: A number for each byte value, for the second of two hashes.
 _DIGITS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -129,76 +130,93 @@ def record_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _RECORDS)
 
 
-_COMPARED = "doc_id long, th int, core long, ctx long, ctx2 long, a long, l int, r int, n_ctx long, kinds long, first boolean, edge boolean"
-
-
-def compare_neighbours(ordered: DataFrame) -> DataFrame:
-    """Of records in order, those whose core recurs, with n_ctx (records of the context), kinds
-    (contexts of the core) and whether a record is its context's first. Records of a bucket's
-    first and last core are marked as edges and left open."""
-
-    def part(table: pa.Table, edge: bool) -> pa.Table:
-        n = table.num_rows
-        if edge:
-            counts, first, keep = [np.zeros(n, np.int64)] * 2, np.zeros(n, bool), np.arange(n)
-        else:
-            core, ctx, ctx2 = (table.column(c).to_numpy() for c in ("core", "ctx", "ctx2"))
-            fresh = np.ones(n, bool)
-            fresh[1:] = core[1:] != core[:-1]
-            first = fresh.copy()
-            first[1:] |= (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1])
-            by_core, by_context = np.cumsum(fresh) - 1, np.cumsum(first) - 1
-            counts = [np.bincount(by_context)[by_context], np.bincount(by_core[first])[by_core]]
-            keep = np.flatnonzero(np.bincount(by_core)[by_core] > 1)
-        found = table.drop_columns("lead").take(pa.array(keep))
-        added = {"n_ctx": counts[0][keep], "kinds": counts[1][keep], "first": first[keep], "edge": np.full(len(keep), edge)}
-        for name, column in added.items():
+_COMPARED = "doc_id long, th int, core long, a long, l int, r int, kinds long, many boolean, first boolean, edge boolean"
+
+
+def _fresh(table: pa.Table, *names: str) -> np.ndarray:
+    """Where a row differs from the one before in one of the columns."""
+    out = np.ones(table.num_rows, bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in (table.column(n).to_numpy() for n in names)], axis=0)
+    return out
+
+
+def compare_neighbours(ordered: DataFrame, most_held: int = HELD) -> DataFrame:
+    """Of records in order, those whose core recurs: whether there are ``many`` of the context,
+    whether a record is its ``first``, and ``kinds``, the contexts of the core.
+
+    The first and last core of a bucket are its ``edge``: all their records are passed on, without
+    kinds, and compared only within the bucket. A context that goes on in the next bucket has a
+    first record in each, which stand for two contexts from there on and meet as equals later.
+    """
+
+    def rows(table: pa.Table, keep: np.ndarray, kinds: np.ndarray, many: np.ndarray, first: np.ndarray, edge: bool) -> list[pa.RecordBatch]:
+        found = table.select(["doc_id", "th", "core", "a", "l", "r"]).take(pa.array(keep))
+        for name, column in (("kinds", kinds[keep]), ("many", many[keep]), ("first", first[keep]), ("edge", np.full(len(keep), edge))):
             found = found.append_column(name, pa.array(column))
-        return found
+        return found.to_batches()
+
+    def whole(table: pa.Table) -> list[pa.RecordBatch]:
+        """Records of cores that begin and end here."""
+        fresh, first = _fresh(table, "core"), _fresh(table, "core", "ctx", "ctx2")
+        core, context = np.cumsum(fresh) - 1, np.cumsum(first) - 1
+        keep = np.flatnonzero(np.bincount(core)[core] > 1)
+        return rows(table, keep, np.bincount(core[first])[core], np.bincount(context)[context] > 1, first, False)
+
+    def piece(table: pa.Table, before: tuple | None) -> list[pa.RecordBatch]:
+        """Records of an edge's core; ``before`` is the context that was passed on last."""
+        first = _fresh(table, "ctx", "ctx2")
+        context = np.cumsum(first) - 1
+        many = np.bincount(context)[context] > 1
+        if before == (table.column("ctx")[0].as_py(), table.column("ctx2")[0].as_py()):
+            many[context == 0], first[0] = True, False
+        return rows(table, np.arange(len(first)), np.zeros(len(first), np.int64), many, first, True)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        open_core = None  # the core whose records are left to the comparison across buckets
-        began = False
+        open_core, before, began = None, None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            core = table.column("core").to_numpy()
+            held, core = None, table.column("core").to_numpy()
             if not began:
                 began, open_core = True, core[0]
             if open_core is not None:
                 other = core != open_core
-                k = int(other.argmax()) if other.any() else len(core)
-                yield from part(table.slice(0, k), True).to_batches()
-                table, core, held = table.slice(k), core[k:], None
-                if not len(core):
+                over = bool(other.any())
+                k = int(other.argmax()) if over else len(core)
+                if not over:
+                    # The last context may go on; a record alone waits for its like.
+                    last = _fresh(table, "ctx", "ctx2")
+                    key = (table.column("ctx")[-1].as_py(), table.column("ctx2")[-1].as_py())
+                    if last[-1] and key != before:
+                        held, k = table.slice(k - 1), k - 1
+                if k:
+                    part = table.slice(0, k).combine_chunks()
+                    yield from piece(part, before)
+                    before = (part.column("ctx")[-1].as_py(), part.column("ctx2")[-1].as_py())
+                if not over:
                     continue
-                open_core = None
+                table, core, open_core, before = table.slice(k).combine_chunks(), core[k:], None, None
             change = np.flatnonzero(core[1:] != core[:-1])
             cut = int(change[-1]) + 1 if len(change) else 0
             if cut:
-                yield from part(table.slice(0, cut).combine_chunks(), False).to_batches()
+                yield from whole(table.slice(0, cut).combine_chunks())
             held = table.slice(cut)
-            if held.num_rows > HELD:
-                yield from part(held, True).to_batches()
-                held, open_core = None, core[-1]
-        if held is not None:
-            yield from part(held, True).to_batches()
+            if held.num_rows > most_held:
+                open_core = core[-1]
+        if held is not None and held.num_rows:
+            yield from piece(held.combine_chunks(), before)
 
     return ordered.mapInArrow(run, _COMPARED)
 
 
-def compare_across(edges: DataFrame) -> DataFrame:
-    """The open records of all buckets, compared: groups are aggregated before the shuffle."""
-    context = ["core", "ctx", "ctx2"]
-    row = F.struct("doc_id", "th", "a")
-    by_context = stage(edges.groupBy(*context).agg(F.count(F.lit(1)).alias("n_ctx"), F.min(row).alias("least")), "edge-contexts")
-    by_core = by_context.groupBy("core").agg(F.sum("n_ctx").alias("n_core"), F.count(F.lit(1)).alias("kinds")).where("n_core > 1").select("core", "kinds")
-    stats = stage(by_context.join(stage(by_core, "edge-cores"), "core"), "edge-counts")
-    found = edges.drop("n_ctx", "kinds", "first").join(stats, context)
-    return found.withColumn("first", row == F.col("least")).drop("least")
+def edge_cores(compared: DataFrame) -> dict[int, int]:
+    """Contexts of the cores that stand at edges of buckets in more than one; two cores a bucket
+    and a few that are very frequent."""
+    counts = compared.where("edge and first").groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    return {r.core: r.kinds for r in counts.collect()}
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -340,17 +358,17 @@ def digest_windows(table: DataFrame) -> DataFrame:
     return each.where("not many").join(twice, ["d1", "d2"], "left_semi").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e"))
 
 
-def covered_runs(source: DataFrame, hot: int = HOT) -> DataFrame:
+def covered_runs(source: DataFrame, hot: int = HOT, most_held: int = HELD) -> DataFrame:
     """Runs (doc_id, th, s, e) whose union is what recurs; ``source`` has (doc_id, th, text)."""
     keys = ["lead", "core", "ctx", "ctx2"]
     table = record_table(source).repartitionByRange(*keys, F.xxhash64("doc_id", "th", "a")).sortWithinPartitions(*keys, "doc_id", "th", "a")
-    compared = stage(compare_neighbours(table), "suffix-candidates")
-    across = stage(compare_across(compared.where("edge")), "suffix-edges")
-    table = compared.where("not edge").unionByName(across)
-    settled = table.where("n_ctx > 1").select("doc_id", "th", (F.col("a") - F.col("l")).alias("s"), (F.col("a") - F.col("r") + LENGTH).alias("e"))
+    table = stage(compare_neighbours(table, most_held), "suffix-candidates")
+    settled = table.where("many").select("doc_id", "th", (F.col("a") - F.col("l")).alias("s"), (F.col("a") - F.col("r") + LENGTH).alias("e"))
 
-    wanted = table.where("kinds > 1 and first")
-    listed = F.struct("core", (F.col("n_ctx") > 1).alias("many"), (F.col("kinds") > hot).alias("hot"), "a", "l", "r")
+    edges = edge_cores(table)
+    crowded = F.col("core").isin(sorted(c for c, n in edges.items() if n > hot))
+    wanted = table.where("first").where((F.col("kinds") > 1) | (F.col("edge") & F.col("core").isin(sorted(edges))))
+    listed = F.struct("core", "many", ((F.col("kinds") > hot) | (F.col("edge") & crowded)).alias("hot"), "a", "l", "r")
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_set(listed).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "wanted")
     # Rows that repeat id and text have equal contexts; one of them stands for all.
@@ -395,11 +413,11 @@ def remove_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, most_held: int = HELD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     text = text_of(docs, text_col)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
-    runs = covered_runs(source, hot).groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.array("s", "e"))).alias("runs"))
+    runs = covered_runs(source, hot, most_held).groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.array("s", "e"))).alias("runs"))
     runs = stage(runs.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "runs"), "suffix-runs")
     joined = source.join(runs, source["doc_id"].eqNullSafe(runs["r_id"]) & (source["th"] == runs["r_th"]), "left")
     return remove_runs(joined.select("doc_id", "text", "runs"))
