@@ -19,8 +19,9 @@ _JOINED_RUN = re.compile(r"\s (?:\s|$)")
 class ChunkEncoder:
     """Encode texts to ids (bytes of unsigned 32-bit integers) through a chunk memo."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, memo_chars: int = 64, whole: Callable[[str], bool] = lambda text: False):
-        self._encode, self._limit, self._memo_chars, self._whole = encode, limit, memo_chars, whole
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, memo_chars: int = 64, whole: Callable[[str], bool] = lambda text: False, encode_whole: Callable[[list[str]], list[bytes]] | None = None):
+        self._encode, self._limit, self._memo_chars = encode, limit, memo_chars
+        self._whole, self._encode_whole = whole, encode_whole or encode
         self._memo: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -42,7 +43,7 @@ class ChunkEncoder:
         unknown = {c for c in unknown if c not in memo}
         fresh = list(unknown)
         known = dict(zip(fresh, self._encode(fresh), strict=True))
-        alone = dict(zip(whole, self._encode([texts[k] for k in whole]), strict=True))
+        alone = dict(zip(whole, self._encode_whole([texts[k] for k in whole]), strict=True))
         memo.update((c, v) for c, v in known.items() if len(c) <= self._memo_chars)
         long = {c: v for c, v in known.items() if len(c) > self._memo_chars}
         get = memo.__getitem__ if not long else lambda c: memo[c] if c in memo else long[c]

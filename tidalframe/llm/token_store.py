@@ -62,7 +62,11 @@ def _library(name: str):
 
     tokenizer = Tokenizer.from_file(local_file(name))
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+
+    def special(text: str) -> bool:
+        """Whether the text holds a special token's string; its chunks would not show that."""
+        return any(a in text for a in added)
+
     newline = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def each(texts: list[str]) -> list[bytes]:
@@ -72,7 +76,7 @@ def _library(name: str):
         """Chunks without inner white space go as lines of one text: a line break between
         two of them is a token of its own, at which the ids are cut again."""
         out: list[bytes | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t) and not special(t)] if len(newline) == 1 else []
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t)] if len(newline) == 1 else []
         for lo in range(0, len(plain), 4096):
             part = plain[lo : lo + 4096]
             ids = np.frombuffer(each(["\n".join(texts[k] for k in part)])[0], np.uint32)
@@ -87,7 +91,7 @@ def _library(name: str):
             out[k] = x
         return out
 
-    return ChunkEncoder(encode, whole=lambda text: special(text) is not None), tokenizer.get_vocab_size()
+    return ChunkEncoder(encode, whole=special, encode_whole=each), tokenizer.get_vocab_size()
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
