@@ -230,3 +230,78 @@ def test_clean_pages_cleans_whole_texts(spark, sf):
     got = {r.page_id: r.text for r in QUERIES["clean_pages"](spark, sf).collect()}
     assert max(len(r.html) for r in pages) > 300
     assert got == {r.page_id: clean(r.html) for r in pages}
+
+
+def test_clean_entities_decodes_as_the_library(spark, sf):
+    import html
+    import re
+
+    from tidalframe.plans.queries import QUERIES
+
+    def clean(word):
+        space = " \t\n\x0b\f\r\xa0"
+        word = re.sub("<[^>]+>", "", html.unescape(word)).strip(space)
+        return re.sub(rf"\[?[{space}]*__[{space}]*\]?", "***", word)
+
+    got = {r.page_id: r.text for r in QUERIES["clean_entities"](spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert got == {r.page_id: clean("&eacute;&#233;&#xE9;&notin; " + r.html) for r in pages}
+    rows = spark.createDataFrame([(None,), ("",), ("a&b",), ("&lt;b&gt;x",)], "w string")
+    assert [r.c for r in rows.select(text.clean_every_entity(F.col("w")).alias("c")).collect()] == [None, "", "a&b", "x"]
+
+
+def test_result_files(spark, tmp_path):
+    import glob
+    import json
+
+    ranked = spark.createDataFrame([(i, f"clip {i}", i * 1.5) for i in range(1, 8)], "rank long, clip string, score double")
+    tables.write_results(ranked.repartition(3), str(tmp_path / "out"))
+    read_one = lambda name: json.loads(open(glob.glob(str(tmp_path / "out" / name / "part-*"))[0], encoding="utf-8").read())
+    assert [r["rank"] for r in read_one("final")] == [1, 2, 3, 4, 5] and len(read_one("all")) == 7
+    assert read_one("final")[0] == {"rank": 1, "clip": "clip 1", "score": 1.5}
+
+
+def test_faces_by_height_and_order(spark):
+    face = lambda cx, w, h, s: (cx, w, h, s)
+    rows = spark.createDataFrame([([face(9.0, 600.0, 10.0, 0.9), face(5.0, 10.0, 600.0, 0.9), face(7.0, 500.0, 500.0, 0.2), face(3.0, 5.0, 5.0, 0.4)],)], "f array<struct<cx:double,w:double,h:double,score:double>>")
+    kept = rows.select(tracking.plausible(F.col("f"), 1080.0).alias("f")).first().f
+    assert [x.cx for x in kept] == [7.0, 3.0]
+    assert [x.cx for x in rows.select(tracking.by_x(F.col("f")).alias("f")).first().f] == [3.0, 5.0, 7.0, 9.0]
+    state = streams.Recovery(1920, 1080, 1.0)
+    tall = {"cx": 400.0, "cy": 500.0, "w": 100.0, "h": 600.0, "score": 0.9}
+    assert state.step([tall]) == 656  # taller than half of the height
+    low = {"cx": 400.0, "cy": 5.0, "w": 300.0, "h": 400.0, "score": 0.9}
+    assert state.step([low]) == 96 and state.step([dict(low, cy=1000.0)]) == 96  # only x counts
+    assert state.step([dict(low, cx=1900.0, w=10.0, h=10.0, score=0.2)]) == 96  # rates below the least
+
+
+def test_hysteresis_clamps_and_agrees_strictly():
+    low, high = tracking.crop_bounds(1920, 1080)
+    assert (round(low, 6), round(high, 6)) == (round(607 / 3840, 6), round(1 - 607 / 3840, 6))
+    one = lambda cx: [{"cx": cx, "w": 0.1, "score": 0.9}]
+    state = streams.Hysteresis(start=0.2, bounds=(low, high))
+    assert state.step(one(0.01)) == low
+    wide = lambda cx: [{"cx": 0.0, "w": 0.1, "score": 0.9}, {"cx": cx, "w": 0.2, "score": 0.5}]
+    state = streams.Hysteresis(needed=2)
+    assert [state.step(wide(x)) for x in (0.75, 0.875, 0.8125)] == [0.5, 0.5, 0.875]  # 0.125 apart: another candidate
+    assert streams.Hysteresis(needed=2, agree=0.125).step(wide(0.75)) == 0.5
+    state = streams.Hysteresis(needed=2, agree=0.125)
+    assert [state.step(wide(x)) for x in (0.75, 0.875)] == [0.5, 0.5]  # exactly the bound does not agree
+    both = [{"cx": 0.6, "w": 0.2, "score": 0.9}, {"cx": 0.2, "w": 0.2, "score": 0.9}]
+    assert streams.Hysteresis(needed=1).step(both) == 0.2  # equals: the leftmost
+
+
+def test_segments_stay_inside_the_frame(spark):
+    rows = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate([950, 950, 950, -40, -40, -40])], "source_id long, idx long, x double")
+    assert [r.crop_x for r in tracking.segment_by_median(rows, 100.0, 2.0, src_w=1000).orderBy("seg_idx").collect()] == [900, 0]
+
+
+def test_long_timelines_cost_their_length(spark):
+    import time
+
+    rows = spark.range(60_000).selectExpr("1L as source_id", "id as idx", "cast(id as double) as t", "if(id % 50000 = 0, cast(id as double), null) as y")
+    began = time.time()
+    assert rows.select(windows.interpolate("idx", "y", F.col("y").isNotNull()).alias("v")).agg(F.sum("v")).first()[0] > 0
+    ends = spark.createDataFrame([(1, 0, 0.0, 59_999.5)], "source_id long, seg_idx int, start_s double, end_s double")
+    assert intervals.next_ending(rows.select("source_id", "idx", "t"), ends).where("active").count() == 60_000
+    assert time.time() - began < 30

@@ -65,6 +65,11 @@ def top(hits: DataFrame, n: int, *order: Column) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def at_most(ranked: DataFrame, n: int) -> DataFrame:
+    """A second limit on ranked rows; it cannot bring back what a first one cut."""
+    return ranked.where(F.col("rank") <= n)
+
+
 def top_by(hits: DataFrame, n: int, key: str, *order: Column) -> DataFrame:
     """The first n rows of each key."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)

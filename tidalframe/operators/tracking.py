@@ -35,6 +35,16 @@ def first_position(faces: Column, order: tuple[str, ...], default: float = 0.5)
     return forward_fill(F.when(F.size(faces) > 0, faces[0]["cx"]), order, default)
 
 
+def held_crop(cx: Column, order: tuple[str, ...], width: int, crop_w: int) -> Column:
+    """Left edge of a crop on a frame's face (pixels); without one on the last known, before any
+    on the middle of the frame. The last known position counts in whole pixels."""
+    from ..functions.scoring import clamp, truncate
+    from .windows import forward_fill
+
+    last = F.coalesce(truncate(forward_fill(cx, order)), F.lit(width // 2))
+    return truncate(clamp(F.coalesce(cx, last.cast("double")) - crop_w / 2, F.lit(0.0), F.lit(float(width - crop_w))))
+
+
 def mean_crop(series: DataFrame, value: str, width: int, height: int) -> DataFrame:
     """(source_id, crop_x): one crop for all frames, centred on the mean of their positions."""
     from ..functions.scoring import crop_left, crop_size

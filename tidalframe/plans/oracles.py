@@ -428,3 +428,13 @@ ORACLES["stream_passages"] = _with(
     _INSTANT + ", placed as (select source_id, value, unnest([floor(s / 72000) * 72000, floor(s / 72000) * 72000 - 72000]) as start, s from inst)",
     "select source_id, start::bigint as start, round(sqrt(avg(value * value)), 6) as rms, count(*) as n from placed where s < start + 108000 group by 1, 2",
 )
+
+ORACLES["held_crop"] = _with(
+    _NUM + """, known as (select source_id, idx, case when event_id % 3 = 0 then value / 500 * 1920 end as cx from num),
+    held as (select *, coalesce(trunc(last_value(cx ignore nulls) over (partition by source_id order by idx rows unbounded preceding)), 960) as last from known)""",
+    "select source_id, idx, trunc(greatest(0, least(coalesce(cx, last) - 303.5::double, 1313)))::bigint as crop_x from held",
+)
+ORACLES["max_clips"] = _with(
+    _EV + ", r as (select event_id as hit_id, row_number() over (order by value desc, t, event_id) as rank from ev)",
+    "select hit_id, rank from r where rank <= 5 union all select hit_id, rank from r where rank <= 2",
+)

@@ -690,3 +690,15 @@ def stream_energy(spark, sf):
 def stream_passages(spark, sf):
     out = O.drained(O.sliding_passages(O.replay(_instants(spark, sf)), "10 days", "30 hours", "20 hours"), "complete")
     return out.select("source_id", F.unix_seconds("window.start").alias("start"), r6("rms").alias("rms"), "n")
+
+
+@query
+def held_crop(spark, sf):
+    cx = F.when(F.col("event_id") % 3 == 0, F.col("value") / 500 * 1920)
+    return numbered(timeline(spark, sf)).select("source_id", "idx", K.held_crop(cx, ("idx",), 1920, 607).alias("crop_x"))
+
+
+@query
+def max_clips(spark, sf):
+    best = R.top(_hits(timeline(spark, sf)), 5, F.desc("score"), F.asc("start_s"), F.asc("hit_id"))
+    return R.at_most(best, 8).unionByName(R.at_most(best, 2)).select("hit_id", F.col("rank").cast("long").alias("rank"))
