@@ -5,7 +5,8 @@ same way whatever stands before, unless that space has white space on both sides
 its left and the end on its right). Texts without such a space are encoded as the
 concatenation of their chunks, the others, and those that ``whole`` names, as a whole. Each distinct chunk is encoded once
 in a worker while the memo holds it; the memo is emptied when it reaches ``limit``
-entries, so its memory is bounded and results do not depend on it.
+entries, so its memory is bounded and results do not depend on it. Encodings that may be cut
+before any space say so with ``joined=False``.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ _JOINED_RUN = re.compile(r"\s (?:\s|$)")
 class ChunkEncoder:
     """Encode texts to ids (bytes of unsigned 32-bit integers) through a chunk memo."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, memo_chars: int = 64, whole: Callable[[str], bool] = lambda text: False, encode_whole: Callable[[list[str]], list[bytes]] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, memo_chars: int = 64, whole: Callable[[str], bool] = lambda text: False, encode_whole: Callable[[list[str]], list[bytes]] | None = None, joined: bool = True):
         self._encode, self._limit, self._memo_chars = encode, limit, memo_chars
         self._whole, self._encode_whole = whole, encode_whole or encode
+        self._joined = joined
         self._memo: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -32,7 +34,7 @@ class ChunkEncoder:
         unknown: set[str] = set()
         whole: list[int] = []
         for k, text in enumerate(texts):
-            if _JOINED_RUN.search(text) or self._whole(text):
+            if self._joined and _JOINED_RUN.search(text) or self._whole(text):
                 rows.append(None)
                 whole.append(k)
                 continue

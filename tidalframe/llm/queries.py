@@ -3,6 +3,7 @@
 from .bpe import op8_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .fill_middle import OP11_SQL, op11_fill_in_middle
 from .minhash import OP7_SQL, op7_near_dedup
 from .passages import op9_fuzzy_passages
 from .pii import op4_pii
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -29,4 +31,5 @@ ORACLES = {
     "op3_decontaminate": OP3_SQL,
     "op6_secrets": OP6_SQL,
     "op7_near_dedup": OP7_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
