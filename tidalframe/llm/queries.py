@@ -4,9 +4,11 @@ from .bpe import op8_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fill_middle import OP11_SQL, op11_fill_in_middle
+from .importance import op12_importance
 from .minhash import OP7_SQL, op7_near_dedup
 from .passages import op9_fuzzy_passages
 from .pii import op4_pii
+from .quality import op13_quality
 from .secrets import OP6_SQL, op6_secrets
 from .suffix_dedup import op10_suffix_dedup
 from .token_store import op2_token_store
@@ -24,6 +26,8 @@ QUERIES = {
     "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance": op12_importance,
+    "op13_quality": op13_quality,
 }
 
 ORACLES = {
