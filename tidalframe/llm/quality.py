@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
         share = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, (math.log(share / (1 - share)), 0.0))
     fold = np.abs(key) % FOLDS
-    margins = np.zeros(len(y))
+    margins, apart = np.zeros(len(y)), np.zeros(len(y), bool)
     for f in range(FOLDS):
         inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         if len(set(y[inside])) < 2:
@@ -212,8 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
         weight, intercept = fit_hinge([ids[i] for i in inside], y[inside], part)
         model = Model(part, weight, intercept, (0.0, 1.0))
         margins[outside] = [model.margin(ids[i]) for i in outside]
-    curve = fit_logistic(margins[:, None], (y > 0).astype(float))
+        apart[outside] = True
     weight, intercept = fit_hinge(ids, y, ratio)
+    if len(set(y[apart])) < 2:  # too few different rows for folds
+        model, apart = Model(ratio, weight, intercept, (0.0, 1.0)), np.ones(len(y), bool)
+        margins = np.array([model.margin(x) for x in ids])
+    curve = fit_logistic(margins[apart, None], (y[apart] > 0).astype(float))
     return Model(ratio, weight, intercept, (curve[0], curve[1]))
 
 
