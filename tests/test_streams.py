@@ -1,11 +1,12 @@
 """Streaming twins give the batch results, whatever the micro-batches."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidalframe.operators import ranking, tracking
+from tidalframe.operators import ranking, streams, tracking
 from tidalframe.streaming import online
 
 
@@ -31,7 +32,15 @@ def rows():
     return [(s, i, rng.random() * 300, i * 13.0, i, rng.random()) for s in (1, 2) for i in range(40)]
 
 
-@pytest.mark.parametrize("cuts", [1, 3])
+@pytest.fixture(autouse=True)
+def rocks(spark):
+    before = spark.conf.get(online.STORE)
+    spark.conf.set(online.STORE, online.ROCKS)
+    yield
+    spark.conf.set(online.STORE, before)
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 10])
 def test_ema_and_dedup(spark, tmp_path, rows, cuts):
     per = -(-40 // cuts)
     batches = [[r for r in rows if r[1] // per == k] for k in range(cuts)]
@@ -47,6 +56,54 @@ def test_ema_and_dedup(spark, tmp_path, rows, cuts):
     assert cut <= full and len(full - cut) == 2
 
 
+def test_restarts_go_on_from_the_checkpoint(spark, tmp_path, rows):
+    """A query that is stopped after each file gives the batch result; rows sent again change nothing."""
+    seen = {"ema": set(), "segments": set(), "hysteresis": set()}
+    schema = "source_id long, idx long, x double, faces array<struct<cx:double,w:double,score:double>>"
+    rows = [(s, i, x, [(x / 300, 0.1, 0.9)] if i % 3 else [(x / 300, 0.1, 0.9), (0.9, 0.3, 0.8)]) for s, i, x, *_ in rows]
+    path = str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame([r for r in rows if max(0, 10 * k - 3) <= r[1] < 10 * k + 10], schema).coalesce(1).write.mode("append").parquet(path)
+        src = spark.readStream.schema(schema).parquet(path)
+        for name, out in (("ema", online.ema(src)), ("segments", online.segment_by_median(src, 607.0, 2.0)), ("hysteresis", online.hysteresis(src, needed=2))):
+            def take(batch, _, name=name):
+                got = [tuple(r) for r in batch.collect()]
+                assert not seen[name] & set(got) and len(set(got)) == len(got)
+                seen[name] |= set(got)
+
+            writer = out.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True)
+            writer.start().awaitTermination()
+    whole = spark.createDataFrame(rows, schema)
+    near = lambda rows: sorted((*r[:2], round(r[2], 9)) for r in rows)
+    assert near(seen["ema"]) == near(map(tuple, tracking.ema_series(whole).collect()))
+    assert near(seen["hysteresis"]) == near(map(tuple, tracking.hysteresis(whole, needed=2).collect()))
+    full = {(r.source_id, r.start_idx, r.end_idx, r.crop_x) for r in tracking.segment_by_median(whole, 607.0, 2.0).collect()}
+    assert seen["segments"] <= full and len(full - seen["segments"]) == 2
+
+
+def test_dedup_emits_when_the_watermark_passes(spark, tmp_path):
+    """A source that falls silent gives its last hit once other sources' time has gone on; what comes too late goes."""
+    batches = [[(1, 0, 0.0, 5.0, 0, 0.5), (1, 1, 0.0, 9.0, 1, 0.9)], [(2, 0, 0.0, 100.0, 2, 0.1)], [(1, 2, 0.0, 20.0, 3, 1.0), (2, 1, 0.0, 101.0, 4, 0.2)]]
+    src = stream_of(spark, tmp_path, batches, SCHEMA)
+    got = collect(spark, tmp_path, online.near_dedup(src, 30.0, "10 seconds"), "timed").collect()
+    assert [(r.source_id, r.hit_id) for r in got] == [(1, 1)]
+
+
+def test_running_median_of_a_long_segment():
+    import time
+
+    rng = random.Random(1)
+    values = [rng.random() for _ in range(1001)]
+    held = streams.RunningMedian()
+    for i, x in enumerate(values, 1):
+        held.add(x)
+        assert held.middle() == statistics.median(values[:i])
+    began, machine = time.time(), streams.Segmenter(10.0, 3)
+    for i in range(1_000_000):
+        machine.step(float(i % 2))
+    assert time.time() - began < 30 and machine.length == 1_000_000
+
+
 def test_face_machines(spark, tmp_path):
     rng = random.Random(4)
     face = lambda: {"cx": rng.random() * 1920, "cy": 500.0, "w": 200.0, "h": 300.0, "score": rng.random()}

@@ -1,9 +1,8 @@
 """Interval joins, keep segments and merges.
 
-Joins carry ``source_id`` as an equi key. On a grid (frames) an interval is exploded to the
-frames it covers, so a lookup is an equality on integers and work is linear in what is
-covered; on free times both sides meet in buckets of ``width`` seconds and keep the exact
-condition. First and last match are reductions on the unique segment index.
+Joins carry ``source_id`` as an equi key and meet on a dyadic grid (see ``dyadic``): an interval
+is stored under a few nodes whatever its length, a point asks its ancestors, and the exact
+condition decides at the edges. First and last match are reductions on the unique segment index.
 """
 
 from __future__ import annotations
@@ -11,53 +10,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import ROWS, last_known
+from .dyadic import stab
 
-def interval_join(points: DataFrame, intervals: DataFrame, closed: bool = True, width: float = 30.0, how: str = "inner", slack: float = 0.0) -> DataFrame:
+
+def interval_join(points: DataFrame, intervals: DataFrame, closed: bool = True, width: float = 1.0, how: str = "inner", slack: float = 0.0) -> DataFrame:
     """Rows of ``points`` (source_id, t) with each interval (source_id, start_s, end_s) that
-    holds t: ``[start, end]`` if closed, else ``[start, end)``, widened by ``slack`` at the end."""
+    holds t: ``[start, end]`` if closed, else ``[start, end)``, widened by ``slack`` at the end.
+    ``width`` is a grid cell's."""
     end = F.col("end_s") + slack
-    spread = F.sequence(F.floor(F.col("start_s") / width), F.floor(end / width))
-    dealt = intervals.where(end >= F.col("start_s")).withColumn("__bucket", F.explode(spread)).withColumnRenamed("source_id", "__source")
-    left = points.withColumn("__b", F.floor(F.col("t") / width))
     upper = (F.col("t") <= end) if closed else (F.col("t") < end)
-    on = (F.col("source_id") == F.col("__source")) & (F.col("__b") == F.col("__bucket")) & (F.col("t") >= F.col("start_s")) & upper
-    return left.join(dealt, on, how).drop("__b", "__bucket", "__source")
+    return stab(points, F.floor(F.col("t") / width), intervals, F.floor(F.col("start_s") / width), F.floor(end / width), (F.col("t") >= F.col("start_s")) & upper, how)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: float = 30.0) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, width: float = 1.0) -> DataFrame:
     """Pairs of (source_id, l_start, l_end) and (source_id, start_s, end_s) rows that overlap
-    (open at both ends); a pair is kept in the bucket of its later start only."""
-    spread = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
-    a = left.where("l_end >= l_start").withColumn("__b", spread("l_start", "l_end"))
-    b = right.where("end_s >= start_s").withColumn("__b", spread("start_s", "end_s"))
-    both = a.join(b, ["source_id", "__b"]).where("start_s < l_end and end_s > l_start")
-    return both.where(F.col("__b") == F.floor(F.greatest("l_start", "start_s") / width)).drop("__b")
-
-
-def frame_cover(intervals: DataFrame, fps: float, floored: bool = False, slack: float = 0.0) -> DataFrame:
-    """Intervals exploded to the frames they hold.
-
-    Frames with ``start <= frame / fps <= end + slack``, or, if ``floored``, the half-open
-    range ``[int(start * fps), int(end * fps))``.
-    """
-    if floored:
-        lo, hi = (F.col("start_s") * fps).cast("long"), (F.col("end_s") * fps).cast("long") - 1
-        return intervals.where(hi >= lo).withColumn("frame_idx", F.explode(F.sequence(lo, hi)))
-    lo, hi = F.floor(F.col("start_s") * fps) - 1, F.ceil((F.col("end_s") + slack) * fps) + 1
-    t = F.col("frame_idx") / fps
-    rows = intervals.where(hi >= lo).withColumn("frame_idx", F.explode(F.sequence(lo, hi)))
-    return rows.where((t >= F.col("start_s")) & (t <= F.col("end_s") + slack))
+    (open at both ends): of a pair one begins inside the other, which is the join of a point."""
+    a, b = left.where("l_end >= l_start"), right.where("end_s >= start_s")
+    cell = lambda c: F.floor(F.col(c) / width)
+    meet = (F.col("start_s") < F.col("l_end")) & (F.col("end_s") > F.col("l_start"))
+    later = stab(b, cell("start_s"), a, cell("l_start"), cell("l_end"), meet & (F.col("start_s") >= F.col("l_start")))
+    earlier = stab(a, cell("l_start"), b, cell("start_s"), cell("end_s"), meet & (F.col("start_s") < F.col("l_start")))
+    return earlier.unionByName(later)
 
 
 def first_at_frame(grid: DataFrame, intervals: DataFrame, value: str, fps: float, slack: float = 0.0) -> DataFrame:
     """``grid`` (source_id, frame_idx) with the value of the first closed interval by seg_idx; null without one."""
-    hit = frame_cover(intervals, fps, slack=slack).groupBy("source_id", "frame_idx").agg(F.min_by(value, "seg_idx").alias(value))
-    return grid.join(hit, ["source_id", "frame_idx"], "left")
+    frames = grid.select("source_id", "frame_idx").withColumn("t", F.col("frame_idx") / fps)
+    held = intervals.select("source_id", "seg_idx", F.col(value).alias("__value"), "start_s", (F.col("end_s") + slack).alias("end_s"))
+    inside = (F.col("t") >= F.col("start_s")) & (F.col("t") <= F.col("end_s"))
+    hit = stab(frames, F.col("frame_idx"), held, F.floor(F.col("start_s") * fps) - 1, F.ceil(F.col("end_s") * fps) + 1, inside)
+    return grid.join(hit.groupBy("source_id", "frame_idx").agg(F.min_by("__value", "seg_idx").alias(value)), ["source_id", "frame_idx"], "left")
 
 
 def last_at_frame(grid: DataFrame, intervals: DataFrame, value: str, fps: float, default=0) -> DataFrame:
-    """``grid`` with the value of the last floored interval by seg_idx; ``default`` elsewhere."""
-    hit = frame_cover(intervals, fps, floored=True).groupBy("source_id", "frame_idx").agg(F.max_by(value, "seg_idx").alias(value))
+    """``grid`` with the value of the last interval by seg_idx of those whose frames
+    ``[int(start * fps), int(end * fps))`` hold the frame; ``default`` elsewhere."""
+    held = intervals.select("source_id", "seg_idx", F.col(value).alias("__value"), (F.col("start_s") * fps).cast("long").alias("__lo"), (F.col("end_s") * fps).cast("long").alias("__hi"))
+    hit = stab(grid.select("source_id", "frame_idx"), F.col("frame_idx"), held, F.col("__lo"), F.col("__hi") - 1)
+    hit = hit.groupBy("source_id", "frame_idx").agg(F.max_by("__value", "seg_idx").alias(value))
     return grid.join(hit, ["source_id", "frame_idx"], "left").fillna({value: default})
 
 
@@ -68,11 +59,9 @@ def next_ending(points: DataFrame, intervals: DataFrame) -> DataFrame:
     one pass, without a range join: backwards, so that the next end is the last one seen.
     """
     hit = F.struct(F.col("seg_idx"), F.col("start_s"))
-    ends = intervals.select("source_id", F.col("end_s").alias("t"), F.lit(0).alias("kind"), hit.alias("hit"))
-    asks = points.select("source_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("struct<seg_idx:int,start_s:double>").alias("hit"), *[c for c in points.columns if c not in ("source_id", "t")])
-    back = Window.partitionBy("source_id").orderBy(F.desc("t"), F.desc("kind"), F.col("hit.seg_idx").desc_nulls_first())
-    ahead = F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    merged = asks.unionByName(ends, allowMissingColumns=True).withColumn("ahead", ahead).where("kind = 1")
+    ends = intervals.select("source_id", F.col("end_s").alias("t"), F.lit(0).alias("kind"), "seg_idx", hit.alias("hit"))
+    asks = points.withColumn("kind", F.lit(1))
+    merged = last_known(asks.unionByName(ends, allowMissingColumns=True), {"ahead": F.col("hit")}, ("t", "kind", "seg_idx"), back=True, before=True).where("kind = 1")
     return merged.withColumns({"seg_idx": F.col("ahead.seg_idx"), "active": F.coalesce(F.col("ahead.start_s") <= F.col("t"), F.lit(False))}).drop("kind", "hit", "ahead")
 
 
@@ -80,15 +69,13 @@ def segment_at_frame(grid: DataFrame, segments: DataFrame) -> DataFrame:
     """``grid`` (source_id, frame_idx) with seg_idx and crop_x of the first segment by seg_idx
     that ends after the frame, and of the last one beyond all ends."""
     hit = F.struct("seg_idx", "crop_x")
-    ends = segments.select("source_id", (F.col("end_idx") - 1).alias("frame_idx"), F.lit(1).alias("kind"), hit.alias("hit"))
-    none = F.lit(None).cast(ends.schema["hit"].dataType)
-    asks = grid.select("source_id", "frame_idx", F.lit(0).alias("kind"), none.alias("hit"))
-    back = Window.partitionBy("source_id").orderBy(F.desc("frame_idx"), F.desc("kind"), F.col("hit.seg_idx").desc_nulls_last())
+    ends = segments.select("source_id", (F.col("end_idx") - 1).alias("frame_idx"), F.lit(1).alias("kind"), "seg_idx", hit.alias("hit"))
+    last = segments.groupBy("source_id").agg(F.max(hit).alias("last"))
+    asks = grid.select("source_id", "frame_idx", F.lit(0).alias("kind"))
     # Of the segments that end later the first by number: with ends in order, the one last seen.
-    ahead = F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    last = F.max("hit").over(Window.partitionBy("source_id"))
-    merged = asks.unionByName(ends).withColumn("at", F.coalesce(ahead, last)).where("kind = 0")
-    return merged.select("source_id", "frame_idx", F.col("at.seg_idx").alias("seg_idx"), F.col("at.crop_x").alias("crop_x"))
+    ahead = last_known(asks.unionByName(ends, allowMissingColumns=True), {"ahead": F.col("hit")}, ("frame_idx", "kind", "seg_idx"), ROWS, back=True)
+    at = ahead.where("kind = 0").join(last, "source_id", "left").withColumn("at", F.coalesce("ahead", "last"))
+    return at.select("source_id", "frame_idx", F.col("at.seg_idx").alias("seg_idx"), F.col("at.crop_x").alias("crop_x"))
 
 
 def nearest_face(faces: Column, cx: Column) -> Column:
@@ -99,8 +86,8 @@ def nearest_face(faces: Column, cx: Column) -> Column:
 
 def gaps(events: DataFrame, least: float, time: str = "t", order: tuple[str, ...] = ()) -> DataFrame:
     """Silences: spans longer than ``least`` between neighbouring events of a source."""
-    w = Window.partitionBy("source_id").orderBy(time, *order)
-    return events.select("source_id", F.lag(time).over(w).alias("start_s"), F.col(time).alias("end_s")).where(F.col("end_s") - F.col("start_s") > least)
+    held = last_known(events, {"start_s": F.col(time)}, (time, *order), before=True)
+    return held.select("source_id", "start_s", F.col(time).alias("end_s")).where(F.col("end_s") - F.col("start_s") > least)
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .streams import NearTime
-
 
 def union_hits(**detectors: DataFrame) -> DataFrame:
     """All hits of the detectors with their name as ``source``, order of detectors in ``det_idx``."""
@@ -18,26 +15,32 @@ def union_hits(**detectors: DataFrame) -> DataFrame:
     return out
 
 
-def near_dedup(hits: DataFrame, gap: float = 30.0, key: str = "source_id", start: str = "start_s", score: str = "score", ident: str = "hit_id") -> DataFrame:
-    """Kept hits: in order of start, a hit within ``gap`` of the last kept one replaces it if it
-    scores strictly higher, else it goes.
+def near_dedup(hits: DataFrame, gap: float = 30.0, key: str = "source_id", start: str = "start_s", score: str = "score", ident: str = "hit_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Kept hits with the columns ``carry``: in order of start, a hit within ``gap`` of the last kept
+    one replaces it if it scores strictly higher, else it goes.
 
-    A fold over the source's hits in order, whose state is its last kept entry; it is the state
-    machine of the stream, fed by source and closed at the end.
+    A hit that comes ``gap`` or more after its predecessor always opens a kept one, so a source
+    falls apart into islands. Two hits in one cell of ``gap`` seconds are nearer, so all borders
+    lie between a cell's last and the next occupied cell's first hit, and are found on one row a cell.
+    The hits of an island, not of a source, are folded.
     """
-    names = [key, start, ident, score]
-    rows = hits.select(*names)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, out = NearTime(gap), []
-        pdf = pdf.sort_values([start, ident, score])
-        for x in zip(pdf[start], pdf[ident], pdf[score], strict=True):
-            out.append(fold.step(*x))
-        out.append(fold.last)
-        kept = [x for x in out if x is not None]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), **{n: [x[i] for x in kept] for i, n in enumerate(names[1:])}})
-
-    return rows.groupBy(key).applyInPandas(run, rows.schema)
+    names = [start, ident, score, *carry]
+    rows = hits.select(key, *names).withColumn("__cell", F.floor(F.col(start) / gap))
+    along = Window.partitionBy(key).orderBy("__cell")
+    cells = rows.groupBy(key, "__cell").agg(F.min(start).alias("__first"), F.max(start).alias("__last"))
+    near = F.col("__first") - F.lag("__last").over(along) < gap
+    islands = cells.select(key, "__cell", F.sum(F.when(near, 0).otherwise(1)).over(along).alias("__island"))
+    told = rows.join(islands, [key, "__cell"]).groupBy(key, "__island").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("hits"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        held, kept = acc["held"], acc["kept"]
+        opened = F.struct(hit.alias("held"), F.concat(kept, F.array(held)).alias("kept"))
+        better = F.struct(hit.alias("held"), kept.alias("kept"))
+        return F.when(hit[start] - held[start] >= gap, opened).when(hit[score] > held[score], better).otherwise(acc)
+
+    begin = F.struct(F.col("hits")[0].alias("held"), F.slice("hits", 1, 0).alias("kept"))
+    fold = F.aggregate(F.slice("hits", 2, F.size("hits")), begin, step, lambda acc: F.concat(acc["kept"], F.array(acc["held"])))
+    return told.select(key, F.inline(fold))
 
 
 def long_enough(hits: DataFrame, duration: str = "duration", actual: str | None = None, least: float = 20.0) -> DataFrame:

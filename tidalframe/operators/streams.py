@@ -1,8 +1,12 @@
-"""Online state machines, one step for each row; batch and streaming operators share them."""
+"""Online state machines, one step for each row; batch and streaming operators share them.
+
+What a machine keeps between two rows is plain data: ``STATE`` names the columns of ``saved()``,
+``LIST`` the type of the numbers in ``listed`` (if it keeps any), and ``restored`` takes both.
+"""
 
 from __future__ import annotations
 
-import bisect
+import heapq
 from collections import deque
 from statistics import median
 
@@ -10,9 +14,18 @@ from statistics import median
 class Ema:
     """Exponential moving average; the first value seeds it unless ``seed`` is given."""
 
+    STATE, LIST = "value double", None
+
     def __init__(self, alpha: float, seed: float | None = None):
         self.alpha, self.value = alpha, seed
 
+    def saved(self) -> tuple:
+        return (self.value,)
+
+    def restored(self, state: tuple, listed=()) -> Ema:
+        (self.value,) = state
+        return self
+
     def step(self, x: float) -> float:
         self.value = float(x) if self.value is None else self.alpha * self.value + (1 - self.alpha) * x
         return self.value
@@ -33,6 +46,20 @@ class Hysteresis:
         self.candidate: float | None = None
         self.count = 0
 
+    STATE, LIST = "target double, candidate double, count int", "double"
+
+    @property
+    def listed(self) -> list[float]:
+        return list(self.recent)
+
+    def saved(self) -> tuple:
+        return self.target, self.candidate, self.count
+
+    def restored(self, state: tuple, listed=()) -> Hysteresis:
+        self.target, self.candidate, self.count = state
+        self.recent.extend(listed)
+        return self
+
     def _position(self, faces) -> float:
         if not len(faces):
             return median(self.recent) if self.recent else self.target
@@ -79,6 +106,15 @@ class Recovery:
         self.last: float | None = None
         self.missed = 0
 
+    STATE, LIST = "crop_x long, last double, missed int", None
+
+    def saved(self) -> tuple:
+        return self.crop_x, self.last, self.missed
+
+    def restored(self, state: tuple, listed=()) -> Recovery:
+        self.crop_x, self.last, self.missed = state
+        return self
+
     def _choose(self, faces):
         lost = self.missed > self.limit
         most = self.h * (self.relaxed if lost else self.usual)
@@ -103,49 +139,100 @@ class Recovery:
         return self.crop_x
 
 
+class RunningMedian:
+    """Median of the values so far: the lower half in a heap of greatest, the upper in one of least."""
+
+    def __init__(self):
+        self.lower: list[float] = []  # negated
+        self.upper: list[float] = []
+
+    def __len__(self) -> int:
+        return len(self.lower) + len(self.upper)
+
+    def add(self, x: float) -> None:
+        moved = -heapq.heappushpop(self.lower, -x)
+        heapq.heappush(self.upper, moved)
+        if len(self.upper) > len(self.lower):
+            heapq.heappush(self.lower, -heapq.heappop(self.upper))
+
+    def middle(self) -> float:
+        return -self.lower[0] if len(self.lower) > len(self.upper) else (self.upper[0] - self.lower[0]) / 2
+
+
 class Segmenter:
-    """Running-median segmentation; the open segment's values are kept sorted.
+    """Running-median segmentation.
 
     A segment's value is its median cut to a whole number, clamped to 0 and ``most``.
     """
 
+    STATE, LIST = "start long", "double"
+
     def __init__(self, jump: float, least: int, most: int | None = None):
-        self.jump, self.least, self.most, self.start, self.ordered = jump, least, most, 0, []
+        self.jump, self.least, self.most, self.start = jump, least, most, 0
+        self.held, self.listed = RunningMedian(), []
 
     @property
     def length(self) -> int:
-        return len(self.ordered)
+        return len(self.listed)
 
-    def middle(self) -> float:
-        n = len(self.ordered)
-        return self.ordered[n // 2] if n % 2 else (self.ordered[n // 2 - 1] + self.ordered[n // 2]) / 2
+    def saved(self) -> tuple:
+        return (self.start,)
+
+    def restored(self, state: tuple, listed=()) -> Segmenter:
+        (self.start,) = state
+        for x in listed:
+            self._add(x)
+        return self
+
+    def _add(self, x: float) -> None:
+        self.held.add(x)
+        self.listed.append(x)
 
     def step(self, x: float) -> tuple[int, int, int] | None:
         """The segment that x closes, if any."""
         done = None
-        if self.ordered and self.length >= self.least and abs(x - int(self.middle())) > self.jump:
+        if self.length and self.length >= self.least and abs(x - int(self.held.middle())) > self.jump:
             done = self.close()
-        bisect.insort(self.ordered, x)
+        self._add(x)
         return done
 
     def close(self) -> tuple[int, int, int]:
-        end = self.start + self.length
-        x = int(self.middle())
+        end, x = self.start + self.length, int(self.held.middle())
         done = (self.start, end, x if self.most is None else max(0, min(x, self.most)))
-        self.start, self.ordered = end, []
+        self.start, self.held, self.listed = end, RunningMedian(), []
         return done
 
 
 class NearTime:
-    """Near-time dedup that emits a kept hit once no later one can replace it."""
+    """Near-time dedup that emits a kept hit once no later one can replace it.
+
+    ``expire`` emits it when time itself has passed; hits that come within the gap of an
+    expired one are too late and go.
+    """
+
+    STATE, LIST = "start_s double, hit_id long, score double, open boolean", None
 
     def __init__(self, gap: float = 30.0, last: tuple | None = None):
-        self.gap, self.last = gap, last
+        self.gap, self.last, self.open = gap, last, last is not None
+
+    def saved(self) -> tuple:
+        return (*self.last, self.open)
+
+    def restored(self, state: tuple, listed=()) -> NearTime:
+        self.last, self.open = tuple(state[:3]), state[3]
+        return self
 
     def step(self, start: float, ident: int, score: float) -> tuple | None:
         if self.last is None or start - self.last[0] >= self.gap:
-            done, self.last = self.last, (start, ident, score)
+            done, self.last = self.last if self.open else None, (start, ident, score)
+            self.open = True
             return done
-        if score > self.last[2]:
+        if self.open and score > self.last[2]:
             self.last = (start, ident, score)
         return None
+
+    def expire(self, now: float) -> tuple | None:
+        if not self.open or now < self.last[0] + self.gap:
+            return None
+        self.open = False
+        return self.last

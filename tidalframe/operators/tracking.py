@@ -1,5 +1,5 @@
-"""Face tracking decisions. What depends on order-bound state runs in pandas, by source; one
-long source is one task, as the recurrences have no closed form."""
+"""Face tracking decisions. Averages and fills take sources of any length (see ``buckets``); the
+machines whose next state depends on comparisons run in pandas, by source."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .streams import Ema, Hysteresis, Recovery, Segmenter
+from .buckets import ROWS, linear_recurrence
+from .streams import Hysteresis, Recovery, Segmenter
+from .windows import filled
 
 
 def best_face(faces: Column, width: float) -> Column:
@@ -28,21 +30,21 @@ def by_x(faces: Column) -> Column:
     return F.transform(keyed, lambda x: x["f"])
 
 
-def first_position(faces: Column, order: tuple[str, ...], default: float = 0.5) -> Column:
-    """cx of a sample's first (most confident) face; without one the last known, or ``default``."""
-    from .windows import forward_fill
+def first_position(samples: DataFrame, name: str, order: tuple[str, ...], default: float = 0.5) -> DataFrame:
+    """``samples`` with cx of their first (most confident) face; without one the last known, or ``default``."""
+    faces = F.col("faces")
+    return filled(samples, F.when(F.size(faces) > 0, faces[0]["cx"]), name, order, default, ROWS)
 
-    return forward_fill(F.when(F.size(faces) > 0, faces[0]["cx"]), order, default)
 
-
-def held_crop(cx: Column, order: tuple[str, ...], width: int, crop_w: int) -> Column:
-    """Left edge of a crop on a frame's face (pixels); without one on the last known, before any
+def held_crop(frames: DataFrame, cx: Column, name: str, order: tuple[str, ...], width: int, crop_w: int) -> DataFrame:
+    """``frames`` with the left edge of a crop on a frame's face (pixels); without one on the last known, before any
     on the middle of the frame. The last known position counts in whole pixels."""
     from ..functions.scoring import clamp, truncate
-    from .windows import forward_fill
 
-    last = F.coalesce(truncate(forward_fill(cx, order)), F.lit(width // 2))
-    return truncate(clamp(F.coalesce(cx, last.cast("double")) - crop_w / 2, F.lit(0.0), F.lit(float(width - crop_w))))
+    held = filled(frames, cx, "__last", order, width=ROWS)
+    last = F.coalesce(truncate(F.col("__last")), F.lit(width // 2))
+    left = truncate(clamp(F.coalesce(cx, last.cast("double")) - crop_w / 2, F.lit(0.0), F.lit(float(width - crop_w))))
+    return held.withColumn(name, left).drop("__last")
 
 
 def mean_crop(series: DataFrame, value: str, width: int, height: int) -> DataFrame:
@@ -92,13 +94,9 @@ def _by_source(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def ema_series(rows: DataFrame, alpha: float = 0.92, order: str = "idx", value: str = "x") -> DataFrame:
-    """(source_id, idx, ema) of every row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, ema = pdf.sort_values(order), Ema(alpha)
-        return pd.DataFrame({"source_id": pdf["source_id"], "idx": pdf[order], "ema": [ema.step(x) for x in pdf[value]]})
-
-    return _by_source(rows.select("source_id", order, value), run, "source_id long, idx long, ema double")
+    """(source_id, idx, ema) of every row: the maps ``e -> alpha*e + (1 - alpha)*x`` composed in
+    parallel, equal to the step-by-step machine but for rounding."""
+    return linear_recurrence(rows, alpha, (1 - alpha) * F.col(value), order, value, "ema").withColumnRenamed(order, "idx")
 
 
 def crop_bounds(width: int, height: int) -> tuple[float, float]:

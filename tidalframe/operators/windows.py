@@ -1,4 +1,8 @@
-"""Windows over timelines: sentence-snapped passages, fills, averages, interpolation."""
+"""Windows over timelines: sentence-snapped passages, fills, averages, interpolation.
+
+``filled``, ``smoothed``, ``interpolated`` and ``changes`` take sources of any length (see ``buckets``);
+the Column forms of the same are for sources that fit a task.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_sentence
+from .buckets import ROWS, SECONDS, last_known, neighbourhood
 from .intervals import overlap_join
 
 
@@ -33,7 +38,7 @@ def sentence_windows(cues: DataFrame, target: float = 30.0, stride: float = 20.0
     rank = F.when(final, F.struct(F.abs(F.col("end_s") - (F.col("w_start") + target)), F.col("cue_idx")))
     windows = near.groupBy("source_id", "k", F.col("w_start").alias("l_start")).agg(F.min_by("end_s", rank).alias("snap"))
     windows = windows.withColumn("l_end", F.coalesce("snap", F.col("l_start") + target)).drop("snap")
-    held = overlap_join(windows, cues, width=stride)
+    held = overlap_join(windows, cues)
     out = held.groupBy("source_id", F.col("k").alias("passage_idx"), "l_start", "l_end").agg(joined("cue_idx", "text").alias("text"))
     return out.withColumnsRenamed({"l_start": "start_s", "l_end": "end_s"})
 
@@ -66,6 +71,32 @@ def difference(value: str, order: tuple[str, ...]) -> Column:
     return F.col(value) - F.lag(value).over(Window.partitionBy("source_id").orderBy(*order))
 
 
+def filled(rows: DataFrame, value: Column, name: str, order: tuple[str, ...], default=None, width: float = SECONDS) -> DataFrame:
+    """``rows`` with the last known value so far."""
+    out = last_known(rows, {name: value}, order, width)
+    return out if default is None else out.withColumn(name, F.coalesce(name, F.lit(default)))
+
+
+def smoothed(rows: DataFrame, value: str, name: str, order: tuple[str, ...], reach: int = 15, width: float = SECONDS) -> DataFrame:
+    """``rows`` with the mean of the rows up to ``reach`` before and after, fewer at the edges."""
+    return neighbourhood(rows, F.avg(value), order, reach, name, width)
+
+
+def interpolated(rows: DataFrame, x: str, y: str, known: Column, name: str, width: float = ROWS) -> DataFrame:
+    """``rows`` with the piecewise linear value at x from the known rows; flat beyond the outer ones."""
+    point = F.when(known, F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
+    out = last_known(last_known(rows, {"__left": point}, (x,), width), {"__right": point}, (x,), width, back=True)
+    left, right = F.col("__left"), F.col("__right")
+    slope = (right["y"] - left["y"]) / F.when(right["x"] > left["x"], right["x"] - left["x"])
+    return out.withColumn(name, F.coalesce(left["y"] + slope * (F.col(x) - left["x"]), left["y"], right["y"])).drop("__left", "__right")
+
+
+def changes(rows: DataFrame, value: str, name: str, order: tuple[str, ...], width: float = SECONDS) -> DataFrame:
+    """``rows`` with the value less that of the row before; null at a source's first row."""
+    held = last_known(rows, {"__before": F.struct(F.col(value).alias("v"))}, order, width, before=True)
+    return held.withColumn(name, F.col(value) - F.col("__before.v")).drop("__before")
+
+
 def global_rank(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
     """``df`` with rank 1, 2, ... by a whole-number key, without one task for all rows.
 

@@ -143,6 +143,7 @@ ORACLES["hit_text"] = _with(
        on w.source_id = h.source_id and w.start_s >= h.start_s - 1 and w.start_s <= h.start_s + 6 group by h.source_id, h.turn""",
 )
 ORACLES["speaker_median"] = _with(_EV, "select event_type, round(median(value / 500), 6) as cx, count(*) as n from ev where event_id % 5 = 0 group by 1")
+ORACLES["hot_quantiles"] = "select l_returnflag, round(quantile_cont(l_extendedprice::double, 0.5), 4) as median, round(quantile_cont(l_extendedprice::double, 0.95), 4) as p95, count(*) as n from lineitem group by 1"
 _SOFAR = "over (partition by source_id order by t, event_id rows between unbounded preceding and current row)"
 ORACLES["forward_fill"] = _with(_EV, f"select source_id, event_id, last_value(case when event_id % 3 = 0 then value end ignore nulls) {_SOFAR} as filled from ev")
 ORACLES["hold"] = _with(_EV, f"select source_id, event_id, round(coalesce(last_value(case when event_id % 3 = 0 then value / 500 end ignore nulls) {_SOFAR}, 0.5), 6) as held from ev")
@@ -396,7 +397,7 @@ ORACLES["mean_crop"] = (
     + ") group by 1"
 )
 ORACLES["segment_at_frame"] = _with(
-    _NUM + ", seg as (select source_id, idx // 7 as seg_idx, floor(min(value))::bigint as crop_x from num where idx < 56 group by all), last as (select source_id, max(seg_idx) as top from seg group by 1)",
+    _NUM + ", size as (select source_id, count(*) as n from ev group by 1), seg as (select source_id, idx // 7 as seg_idx, floor(min(value))::bigint as crop_x from num join size using (source_id) where idx < n - n % 7 - 7 group by all), last as (select source_id, max(seg_idx) as top from seg group by 1)",
     "select num.source_id, num.idx as frame_idx, seg.seg_idx, seg.crop_x from num join last using (source_id) join seg on seg.source_id = num.source_id and seg.seg_idx = least(num.idx // 7, top)",
 )
 ORACLES["sample_slice"] = _with(_NUM, "select source_id, idx, event_id from num where idx >= 12 and idx < 39")
@@ -421,7 +422,7 @@ ORACLES["stream_ema"] = ORACLES["ema_series"]
 ORACLES["stream_recover"] = ORACLES["track_recover"]
 ORACLES["stream_hysteresis"] = ORACLES["hysteresis"]
 ORACLES["stream_segments"] = f"select source_id, start_idx, end_idx, crop_x from (select *, max(seg_idx) over (partition by source_id) as open from ({ORACLES['segment_median']})) where seg_idx < open"
-ORACLES["stream_dedup"] = f"select source_id, hit_id, start_s, score from (select *, row_number() over (partition by source_id order by start_s desc, hit_id desc) as back from ({ORACLES['near_dedup']})) where back > 1"
+ORACLES["stream_dedup"] = f"select source_id, hit_id, start_s, score from (select *, row_number() over (partition by source_id order by start_s desc, hit_id desc) as back from ({ORACLES['near_dedup']})) where back > 1 or start_s + 30 < (select (epoch_us(max(ts)) - 1704067200000000) / 3.6e9 - 10 from events)"
 _INSTANT = "inst as (select user_id as source_id, epoch_us(ts) / 1000000 as s, value from events)"
 ORACLES["stream_energy"] = _with(_INSTANT.replace("events)", "events)"), "select source_id, (floor(s / 43200) * 43200)::bigint as start, round(sqrt(avg(value * value)), 6) as rms, count(*) as n from inst group by 1, 2")
 ORACLES["stream_passages"] = _with(

@@ -15,6 +15,7 @@ from ..operators import captions as C
 from ..operators import energy as E
 from ..operators import intervals as I
 from ..operators import ranking as R
+from ..operators import selection as Q
 from ..operators import tracking as K
 from ..operators import windows as W
 from ..sources import tables as T
@@ -134,13 +135,13 @@ def lit_words(spark, sf):
     words = spoken_words(spark, sf)
     half = words.select("source_id", "word_idx", "start_s", (F.col("start_s") + 1.0).alias("end_s"))
     points = _spoken_grid(words).withColumn("t", F.col("frame_idx") / FPS)
-    return I.interval_join(points, half, closed=False, width=8.0).groupBy("source_id", "frame_idx").agg(F.count(F.lit(1)).alias("lit"), F.min("word_idx").alias("first_word"))
+    return I.interval_join(points, half, closed=False).groupBy("source_id", "frame_idx").agg(F.count(F.lit(1)).alias("lit"), F.min("word_idx").alias("first_word"))
 
 
 @query
 def speaker_at(spark, sf):
     turns = spoken_words(spark, sf).groupBy("source_id", "turn", "role").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).withColumnRenamed("turn", "seg_idx")
-    place = turns.groupBy("role").agg(F.median(F.col("end_s") - F.col("start_s")).alias("middle"))
+    place = Q.quantiles(turns.withColumn("d", F.col("end_s") - F.col("start_s")), "role", "d").withColumnRenamed("quantile", "middle")
     out = I.first_at_frame(_spoken_grid(spoken_words(spark, sf)), turns, "role", FPS)
     return out.join(place, "role", "left").select("source_id", "frame_idx", F.col("role").alias("speaker"), r6("middle").alias("middle"))
 
@@ -158,37 +159,45 @@ def hit_text(spark, sf):
     words = spoken_words(spark, sf)
     turns = words.groupBy("source_id", F.col("turn").alias("hit_id")).agg(F.min("start_s").alias("s"))
     hits = turns.select("source_id", "hit_id", (F.col("s") - 1).alias("start_s"), (F.col("s") + 6).alias("end_s"))
-    held = I.interval_join(words.select("source_id", "word_idx", "word", F.col("start_s").alias("t")), hits, width=16.0)
+    held = I.interval_join(words.select("source_id", "word_idx", "word", F.col("start_s").alias("t")), hits)
     return held.groupBy("source_id", "hit_id").agg(W.joined("word_idx", "word").alias("text"))
 
 
 @query
 def speaker_median(spark, sf):
-    rows = timeline(spark, sf).where("event_id % 5 = 0")
-    return rows.groupBy("event_type").agg(r6(F.median(F.col("value") / 500)).alias("cx"), F.count(F.lit(1)).alias("n"))
+    rows = timeline(spark, sf).where("event_id % 5 = 0").withColumn("cx", F.col("value") / 500)
+    return Q.quantiles(rows, "event_type", "cx").select("event_type", r6("quantile").alias("cx"), "n")
+
+
+@query
+def hot_quantiles(spark, sf):
+    """Three keys hold all rows: none of them is gathered."""
+    rows = read(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    middle, high = (Q.quantiles(rows, "l_returnflag", "price", q, limit=1000) for q in (0.5, 0.95))
+    return middle.join(high.select("l_returnflag", F.col("quantile").alias("p95")), "l_returnflag").select("l_returnflag", F.round("quantile", 4).alias("median"), F.round("p95", 4).alias("p95"), "n")
 
 
 @query
 def forward_fill(spark, sf):
     known = F.when(F.col("event_id") % 3 == 0, F.col("value"))
-    return timeline(spark, sf).select("source_id", "event_id", W.forward_fill(known, ("t", "event_id")).alias("filled"))
+    return W.filled(timeline(spark, sf), known, "filled", ("t", "event_id")).select("source_id", "event_id", "filled")
 
 
 @query
 def hold(spark, sf):
     known = F.when(F.col("event_id") % 3 == 0, F.col("value") / 500)
-    return timeline(spark, sf).select("source_id", "event_id", r6(W.forward_fill(known, ("t", "event_id"), 0.5)).alias("held"))
+    return W.filled(timeline(spark, sf), known, "held", ("t", "event_id"), 0.5).select("source_id", "event_id", r6("held").alias("held"))
 
 
 @query
 def moving_avg(spark, sf):
-    return timeline(spark, sf).select("source_id", "event_id", r6(W.moving_average("value", ("t", "event_id"))).alias("smooth"))
+    return W.smoothed(timeline(spark, sf), "value", "smooth", ("t", "event_id")).select("source_id", "event_id", r6("smooth").alias("smooth"))
 
 
 @query
 def interp_linear(spark, sf):
     rows = numbered(timeline(spark, sf))
-    return rows.select("source_id", "event_id", r6(W.interpolate("idx", "value", F.col("event_id") % 4 == 0)).alias("value"))
+    return W.interpolated(rows, "idx", "value", F.col("event_id") % 4 == 0, "at").select("source_id", "event_id", r6("at").alias("value"))
 
 
 @query
@@ -235,7 +244,7 @@ def near_dedup(spark, sf):
 def merge_rank(spark, sf):
     events = timeline(spark, sf)
     both = R.union_hits(audio=_hits(events.where("event_type = 'click'")), text=_hits(events.where("event_type = 'purchase'")))
-    kept = R.near_dedup(both, NEAR).join(both.select("hit_id", "source"), "hit_id")
+    kept = R.near_dedup(both, NEAR, carry=("source",))
     best = R.top_by(kept, 5, "source_id", F.desc("score"), F.asc("start_s"), F.asc("hit_id"))
     return best.select("source_id", "hit_id", "source", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -298,8 +307,8 @@ def passage_overlap(spark, sf):
 
 @query
 def motion_stats(spark, sf):
-    step = F.abs(W.difference("value", ("t", "event_id")))
-    return timeline(spark, sf).withColumn("d", step).groupBy("source_id").agg(r6(F.max("d")).alias("max_step"), r6(F.avg("d")).alias("mean_step"))
+    steps = W.changes(timeline(spark, sf), "value", "d", ("t", "event_id")).withColumn("d", F.abs("d"))
+    return steps.groupBy("source_id").agg(r6(F.max("d")).alias("max_step"), r6(F.avg("d")).alias("mean_step"))
 
 
 @query
@@ -590,19 +599,20 @@ def faces_by_x(spark, sf):
 def first_face(spark, sf):
     faces = F.transform(F.filter("faces", lambda f: f["score"] >= 0.6), lambda f: F.struct((f["cx"] / 1920).alias("cx")))
     rows = five_faces(timeline(spark, sf)).withColumn("faces", faces)
-    return rows.select("source_id", "idx", r6(K.first_position(F.col("faces"), ("idx",))).alias("cx"))
+    return K.first_position(rows, "cx", ("idx",)).select("source_id", "idx", r6("cx").alias("cx"))
 
 
 @query
 def mean_crop(spark, sf):
     rows = numbered(timeline(spark, sf)).withColumn("cx", F.col("value") / 500)
-    return K.mean_crop(rows.select("source_id", W.interpolate("idx", "cx", F.col("event_id") % 4 == 0).alias("cx")), "cx", 1920, 1080)
+    return K.mean_crop(W.interpolated(rows, "idx", "cx", F.col("event_id") % 4 == 0, "at"), "at", 1920, 1080)
 
 
 @query
 def segment_at_frame(spark, sf):
     rows = numbered(timeline(spark, sf))
-    cut = rows.where("idx < 56").withColumn("seg_idx", F.floor(F.col("idx") / 7))
+    sizes = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    cut = rows.join(sizes, "source_id").where("idx < n - n % 7 - 7").withColumn("seg_idx", F.floor(F.col("idx") / 7))
     segments = cut.groupBy("source_id", "seg_idx").agg(F.floor(F.min("value")).alias("crop_x")).withColumn("end_idx", (F.col("seg_idx") + 1) * 7)
     return I.segment_at_frame(rows.select("source_id", F.col("idx").alias("frame_idx")), segments)
 
@@ -646,31 +656,31 @@ def clean_entities(spark, sf):
 @query
 def stream_ema(spark, sf):
     rows = numbered(timeline(spark, sf)).select("source_id", "idx", F.col("value").alias("x"))
-    return O.drained(O.ema(O.replay(rows), 0.92)).select("source_id", "idx", r6("ema").alias("ema"))
+    return O.drained(O.ema(O.replay(rows, "idx"), 0.92)).select("source_id", "idx", r6("ema").alias("ema"))
 
 
 @query
 def stream_recover(spark, sf):
     frames = five_faces(timeline(spark, sf)).withColumn("faces", F.filter("faces", lambda f: f["score"] >= 0.6))
-    return O.drained(O.track_with_recovery(O.replay(frames), 1920, 540, 0.4))
+    return O.drained(O.track_with_recovery(O.replay(frames, "idx"), 1920, 540, 0.4))
 
 
 @query
 def stream_hysteresis(spark, sf):
     sure = F.filter("faces", lambda f: f["score"] >= 0.6)
     frames = five_faces(timeline(spark, sf)).withColumn("faces", F.transform(sure, lambda f: F.struct((f["cx"] / 1920).alias("cx"), (f["w"] / 1920).alias("w"), f["score"].alias("score"))))
-    return O.drained(O.hysteresis(O.replay(frames), needed=3, bounds=K.crop_bounds(1920, 1080))).select("source_id", "idx", r6("target").alias("target"))
+    return O.drained(O.hysteresis(O.replay(frames, "idx"), needed=3, bounds=K.crop_bounds(1920, 1080))).select("source_id", "idx", r6("target").alias("target"))
 
 
 @query
 def stream_segments(spark, sf):
     rows = numbered(timeline(spark, sf)).select("source_id", "idx", F.col("value").alias("x"))
-    return O.drained(O.segment_by_median(O.replay(rows), 607.0, 2.0, src_w=1000))
+    return O.drained(O.segment_by_median(O.replay(rows, "idx"), 607.0, 2.0, src_w=1000))
 
 
 @query
 def stream_dedup(spark, sf):
-    out = O.drained(O.near_dedup(O.replay(_hits(timeline(spark, sf))), NEAR))
+    out = O.drained(O.near_dedup(O.replay(_hits(timeline(spark, sf)), "start_s"), NEAR))
     return out.select("source_id", "hit_id", r6("start_s").alias("start_s"), "score")
 
 
@@ -682,20 +692,20 @@ def _instants(spark, sf) -> DataFrame:
 
 @query
 def stream_energy(spark, sf):
-    out = O.drained(O.tumbling_energy(O.replay(_instants(spark, sf)), "10 days", "12 hours"), "complete")
+    out = O.drained(O.tumbling_energy(O.replay(_instants(spark, sf), "ts"), "10 days", "12 hours"), "complete")
     return out.select("source_id", F.unix_seconds("window.start").alias("start"), r6("rms").alias("rms"), "n")
 
 
 @query
 def stream_passages(spark, sf):
-    out = O.drained(O.sliding_passages(O.replay(_instants(spark, sf)), "10 days", "30 hours", "20 hours"), "complete")
+    out = O.drained(O.sliding_passages(O.replay(_instants(spark, sf), "ts"), "10 days", "30 hours", "20 hours"), "complete")
     return out.select("source_id", F.unix_seconds("window.start").alias("start"), r6("rms").alias("rms"), "n")
 
 
 @query
 def held_crop(spark, sf):
     cx = F.when(F.col("event_id") % 3 == 0, F.col("value") / 500 * 1920)
-    return numbered(timeline(spark, sf)).select("source_id", "idx", K.held_crop(cx, ("idx",), 1920, 607).alias("crop_x"))
+    return K.held_crop(numbered(timeline(spark, sf)), cx, "crop_x", ("idx",), 1920, 607).select("source_id", "idx", "crop_x")
 
 
 @query

@@ -1,81 +1,196 @@
 """Structured Streaming twins of the online operators.
 
-Rows of a key must arrive in order of ``idx`` (or start); rows within a micro-batch are
-sorted. State is what the batch operator keeps between two rows, so a stream cut into any
-micro-batches gives the batch result. Late rows are outside this contract, except for the
-windowed aggregates, which take a watermark.
+Each source is a state machine whose state is typed columns in the state store, so it can be read
+across versions and a restart goes on where the last checkpoint was. Rows of a micro-batch are
+sorted by the machine's order; rows that are not after the last one a source has taken are
+late (or sent twice) and go. Cut into any micro-batches, a stream whose sources arrive in order
+gives the batch result. Near-time dedup also runs on event time: a kept hit comes out when the
+watermark passes its start and the gap. The queries need the RocksDB state store, which ``drained``
+sets for its query.
 """
 
 from __future__ import annotations
 
-import pickle
+import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.streams import Ema, Hysteresis, NearTime, Recovery, Segmenter
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Second 0 of a timeline as an event time (ms): event times at or before 1970 count as late from the start.
+ORIGIN_MS = 10**12
+_LEFT: list[tuple[SparkSession, str]] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a
-    temporary one where that is unset on a local master."""
+    temporary one where that is unset on a local master. It goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidalframe-stream-")
-    return f"{root.rstrip('/')}/tidalframe-{name}-{uuid.uuid4().hex}"
+    _LEFT.append((spark, path := f"{root.rstrip('/')}/tidalframe-{name}-{uuid.uuid4().hex}"))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system layer, whatever store holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def sweep() -> None:
+    """Remove what this driver's streams have left."""
+    while _LEFT:
+        try:
+            remove(*_LEFT.pop())
+        except Exception:  # noqa: BLE001 - the session may already be gone at exit
+            return
 
 
-def replay(rows: DataFrame, files_each: int = 4) -> DataFrame:
-    """A bounded table as a stream, ``files_each`` files a micro-batch; a source_id is in one file."""
-    path = scratch(rows.sparkSession, "replay")
-    rows.repartition("source_id").write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_each).parquet(path)
+def replay(rows: DataFrame, order: str, slices: int = 4, files: int = 2) -> DataFrame:
+    """A bounded table as a stream of ``slices`` micro-batches, cut by equal steps of ``order``.
+
+    Most sources are cut by several slices; of a slice a source is in one file.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "replay")
+    place = F.col(order).cast("double")
+    low, high = rows.agg(F.min(place), F.max(place)).first()
+    at = F.least(F.floor((place - F.lit(low)) / F.lit(max((high or 0.0) - (low or 0.0), 1e-9)) * slices), F.lit(slices - 1))
+    for k in range(slices):  # one after the other: a stream reads older files first
+        rows.where(at == k).repartition(files, "source_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives once all its input has come, as a table (the last state for ``complete``)."""
     spark = stream.sparkSession
-    path = scratch(spark, "drained")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True)
-    if mode == "complete":
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
-    else:
-        query = writer.format("parquet").option("path", path).start()
-    query.awaitTermination()
+    path, progress = scratch(spark, "drained"), scratch(spark, "progress")
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
+        if mode == "complete":
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+        else:
+            query = writer.format("parquet").option("path", path).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    remove(spark, progress)
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _machine(rows: DataFrame, make: Callable, step: Callable, order: str, schema: str) -> DataFrame:
-    """Run a state machine for each source_id; ``step(machine, row)`` gives output tuples."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
+class Machine(StatefulProcessor):
+    """A state machine for each source: ``step(machine, row)`` gives output tuples.
+
+    ``order`` names the columns, with types, by which rows are taken.
+    """
+
+    def __init__(self, make: Callable, step: Callable, order: dict[str, str], names: list[str]):
+        self.make, self.step, self.order, self.names = make, step, order, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kind = self.make()
+        places = ", ".join(f"at_{c} {t}" for c, t in self.order.items())
+        self.handle, self.size = handle, len(kind.STATE.split(","))
+        self.state = handle.getValueState("machine", f"{kind.STATE}, {places}")
+        self.listed = handle.getListState("listed", f"x {kind.LIST}") if kind.LIST else None
+
+    def load(self):
+        """(machine, place of its last row, numbers in its list)"""
+        held, machine = self.state.get(), self.make()
+        if held is None:
+            return machine, None, 0
+        numbers = [x[0] for x in self.listed.get()] if self.listed else []
+        return machine.restored(tuple(held[: self.size]), numbers), tuple(held[self.size :]), len(numbers)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        machine, last, kept = self.load()
+        first = machine.listed[0] if kept else None
+        whole = True  # the list has only grown
+        for out in self.due(machine, timerValues) if last is not None else ():
+            yield Row(**dict(zip(self.names, (key[0], *out), strict=True)))
+        for place, row in sorted(((tuple(r[c] for c in self.order), r) for r in rows), key=lambda x: x[0]):
+            if last is not None and place <= last:
+                continue
+            last = place
+            for out in self.step(machine, row):
+                whole = False
+                yield Row(**dict(zip(self.names, (key[0], *out), strict=True)))
+        if last is None:
+            return
+        self.state.update((*machine.saved(), *last))
+        if self.listed:
+            now = machine.listed
+            if isinstance(machine, Segmenter) and whole and first is not None:  # a long open segment is not written again
+                if fresh := now[kept:]:
+                    self.listed.appendList([(x,) for x in fresh])
+            elif now:
+                self.listed.put([(x,) for x in now])
+            else:
+                self.listed.clear()
+        self.taken(machine)
+
+    def due(self, machine, timerValues) -> list[tuple]:
+        """What comes out before a micro-batch's rows, by time alone."""
+        return []
+
+    def taken(self, machine) -> None:
+        """After a micro-batch of a source."""
+
+    def close(self) -> None:
+        pass
+
+
+class Deduplicator(Machine):
+    """Near-time dedup with a timer for the moment at which a kept hit can no longer be replaced."""
+
+    def due(self, machine: NearTime, timerValues) -> list[tuple]:
+        done = machine.expire((timerValues.getCurrentWatermarkInMs() - ORIGIN_MS) / 1000)
+        return [] if done is None else [done]
+
+    def taken(self, machine: NearTime) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if machine.open:
+            self.handle.registerTimer(ORIGIN_MS + math.ceil((machine.last[0] + machine.gap) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        machine, last, _ = self.load()
+        done = machine.expire((expiredTimerInfo.getExpiryTimeInMs() - ORIGIN_MS) / 1000)
+        self.state.update((*machine.saved(), *last))
+        if done is not None:
+            yield Row(**dict(zip(self.names, (key[0], *done), strict=True)))
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else make()
-        pdf = pd.concat(list(batches)).sort_values(order)
-        out = [(key[0], *x) for row in pdf.itertuples(index=False) for x in step(machine, row)]
-        state.update((pickle.dumps(machine),))
-        yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("source_id").applyInPandasWithState(run, schema, "machine binary", "append", GroupStateTimeout.NoTimeout)
+def _machine(rows: DataFrame, make: Callable, step: Callable, schema: str, order: dict[str, str] | None = None) -> DataFrame:
+    """A source's outputs; the machine's rows are ordered by idx unless said otherwise."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    machine = Machine(make, step, order or {"idx": "long"}, names)
+    return rows.groupBy("source_id").transformWithState(machine, schema, "append", "None")
 
 
 def ema(rows: DataFrame, alpha: float = 0.92) -> DataFrame:
-    return _machine(rows, lambda: Ema(alpha), lambda m, r: [(r.idx, m.step(r.x))], "idx", "source_id long, idx long, ema double")
+    return _machine(rows, lambda: Ema(alpha), lambda m, r: [(r.idx, m.step(r.x))], "source_id long, idx long, ema double")
 
 
 def hysteresis(samples: DataFrame, **params) -> DataFrame:
-    return _machine(samples, lambda: Hysteresis(**params), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "idx", "source_id long, idx long, target double")
+    return _machine(samples, lambda: Hysteresis(**params), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "source_id long, idx long, target double")
 
 
 def track_with_recovery(frames: DataFrame, width: float, height: float, fps: float, **params) -> DataFrame:
-    return _machine(frames, lambda: Recovery(width, height, fps, **params), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "idx", "source_id long, idx long, crop_x long")
+    return _machine(frames, lambda: Recovery(width, height, fps, **params), lambda m, r: [(r.idx, m.step(_faces(r.faces)))], "source_id long, idx long, crop_x long")
 
 
 def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None) -> DataFrame:
@@ -86,17 +201,22 @@ def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.1
         done = m.step(float(r.x))
         return [] if done is None else [done]
 
-    return _machine(rows, lambda: Segmenter(k * crop_w, int(1.5 * fps), most), step, "idx", "source_id long, start_idx long, end_idx long, crop_x long")
+    return _machine(rows, lambda: Segmenter(k * crop_w, int(1.5 * fps), most), step, "source_id long, start_idx long, end_idx long, crop_x long")
 
 
-def near_dedup(hits: DataFrame, gap: float = 30.0) -> DataFrame:
-    """Kept hits, each once a hit ``gap`` or more after it has come."""
+def near_dedup(hits: DataFrame, gap: float = 30.0, late: str = "10 seconds") -> DataFrame:
+    """Kept hits, each once a hit ``gap`` or more after it has come or the watermark (``late``
+    behind the latest start of all sources) has passed its start and the gap."""
 
     def step(m: NearTime, r) -> list[tuple]:
         done = m.step(r.start_s, r.hit_id, r.score)
         return [] if done is None else [done]
 
-    return _machine(hits, lambda: NearTime(gap), step, "start_s", "source_id long, start_s double, hit_id long, score double")
+    schema = "source_id long, start_s double, hit_id long, score double"
+    order = {"start_s": "double", "hit_id": "long", "score": "double"}
+    machine = Deduplicator(lambda: NearTime(gap), step, order, [c.split()[0] for c in schema.split(", ")])
+    timed = hits.withColumn("__time", F.timestamp_millis(F.floor(F.col("start_s") * 1000) + ORIGIN_MS)).withWatermark("__time", late)
+    return timed.groupBy("source_id").transformWithState(machine, schema, "append", "EventTime")
 
 
 def _faces(faces) -> list:
