@@ -126,14 +126,13 @@ def test_quantiles_of_hot_keys(spark):
     assert selection.quantiles(df.limit(0), "key", "v").count() == 0
 
 
-def test_dyadic_nodes_cover_once_and_are_few(spark):
-    spans = [(0, 10**9), (5, 5), (7, 3), (-5, 9), (1, 6), (0, 7), (123_456_789, 10**12 + 5)]
+def test_an_interval_has_few_nodes(spark):
+    spans = [(0, 10**9), (5, 5), (-5, 9), (1, 6), (0, 7), (3, 4), (-1, 0), (0, 47), (-1, 47), (123_456_789, 10**12 + 5)]
     df = spark.createDataFrame(spans, "lo long, hi long")
-    for r in df.select("lo", "hi", dyadic.nodes_of(F.col("lo"), F.col("hi")).alias("n")).collect():
-        parts = sorted((x.node << x.level, (x.node + 1) << x.level) for x in r.n)
-        assert len(parts) < 100 and sum(b - a for a, b in parts) == max(0, r.hi - r.lo + 1)
-        assert all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
-        assert not parts or (parts[0][0], parts[-1][1]) == (r.lo, r.hi + 1)
+    got = df.select("lo", "hi", dyadic.level_of(F.col("lo"), F.col("hi")).alias("level"), dyadic.nodes_of(F.col("lo"), F.col("hi")).alias("nodes"))
+    for r in got.collect():
+        assert len(r.nodes) <= 2 or r.level == 0 and len(r.nodes) == r.hi - r.lo + 1 <= dyadic.SHORT
+        assert r.nodes[0] << r.level <= r.lo and r.hi < (r.nodes[-1] + 1) << r.level
 
 
 def test_interval_joins_equal_loops(spark):

@@ -1,11 +1,10 @@
 """Intervals on a dyadic grid: joins whose cost does not grow with an interval's length.
 
-Time is cut into cells. Cells 2k and 2k+1 have a parent, it has a neighbour, and so on; a node is
-(level, number). The cells of an interval are the disjoint union of at most two nodes a level,
-``nodes_of``; a cell's ancestors are one node a level, its number shifted. A point lies in an
-interval's cells exactly when one of its ancestors is one of the interval's nodes, so both sides
-meet by equality on (source_id, level, node), and each pair meets once. Points ask only the
-levels that occur.
+Time is cut into cells; the nodes of a level are runs of ``2^level`` cells. An interval of at most
+``SHORT`` cells is stored under its cells, a longer one under the nodes it touches at the first even
+level whose nodes are as long as itself, which are two at most; a point asks its node at each
+level that occurs. Both sides meet by equality on
+(source_id, level, node), each pair at most once, and the exact condition decides.
 """
 
 from __future__ import annotations
@@ -13,46 +12,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVEL, NODE = "__level", "__node"
+LEVEL, NODE, SHORT = "__level", "__node", 48
 
 
-def nodes_of(lo: Column, hi: Column) -> Column:
-    """Array of (level, node): the fewest dyadic nodes that cover the cells lo..hi (none if hi < lo)."""
+def level_of(lo: Column, hi: Column) -> Column:
+    """0 for at most SHORT cells, else the first even level with nodes of hi - lo + 1 cells or more."""
     cells = hi - lo + 1
-    top = F.when(cells > 0, F.ceil(F.log2(cells.cast("double"))).cast("int") + 1).otherwise(0)
+    return F.when(cells <= SHORT, 0).otherwise((2 * F.ceil(F.log2(cells.cast("double")) / 2)).cast("int"))
+
 
-    def at(level: Column) -> Column:
-        size = F.expr("1L").cast("long") * F.pow(F.lit(2.0), level).cast("long")
-        left, right = F.ceil(lo / size).cast("long"), F.floor((hi + 1) / size).cast("long")
-        open_ = left < right
-        ends = F.array(F.when(open_ & (left % 2 != 0), left), F.when(open_ & (right % 2 != 0), right - 1))
-        return F.transform(F.filter(ends, lambda n: n.isNotNull()), lambda n: F.struct(level.alias("level"), n.alias("node")))
+def node_at(cell: Column, level: Column) -> Column:
+    return F.call_function("shiftright", cell.cast("long"), level)
 
-    found = F.flatten(F.transform(F.sequence(F.lit(0), top), at))
-    return F.when(cells > 0, found).otherwise(F.slice(found, 1, 0))
+
+def nodes_of(lo: Column, hi: Column) -> Column:
+    """Numbers of the nodes at ``level_of`` that the cells lo..hi touch."""
+    level = level_of(lo, hi)
+    return F.sequence(node_at(lo, level), node_at(hi, level))
 
 
 def with_nodes(intervals: DataFrame, lo: Column, hi: Column) -> DataFrame:
-    """A row for each node of each interval, with ``__level`` and ``__node``."""
-    spread = intervals.withColumn("__nodes", F.explode(nodes_of(lo.cast("long"), hi.cast("long"))))
-    return spread.withColumns({LEVEL: F.col("__nodes.level"), NODE: F.col("__nodes.node")}).drop("__nodes")
+    """A row for each node of each interval that has a cell, with ``__level`` and ``__node``."""
+    held = intervals.withColumns({"__lo": lo.cast("long"), "__hi": hi.cast("long")}).where("__hi >= __lo")
+    placed = held.withColumns({LEVEL: level_of(F.col("__lo"), F.col("__hi")), NODE: F.explode(nodes_of(F.col("__lo"), F.col("__hi")))})
+    return placed.drop("__lo", "__hi")
 
 
 def with_ancestors(points: DataFrame, cell: Column, noded: DataFrame, outer: bool = False) -> DataFrame:
-    """A row for each level that ``noded`` uses (at most 64), with the point's node there."""
+    """A row for each level that ``noded`` uses (at most 32), with the point's node there."""
     levels = noded.agg(F.collect_set(LEVEL)).scalar()
     explode = F.explode_outer if outer else F.explode
-    return points.withColumn("__cell", cell.cast("long")).withColumn(LEVEL, explode(levels)).withColumn(NODE, F.floor(F.col("__cell") / F.pow(F.lit(2.0), LEVEL)).cast("long")).drop("__cell")
+    return points.withColumn(LEVEL, explode(levels)).withColumn(NODE, node_at(cell, F.col(LEVEL)))
 
 
-def stab(points: DataFrame, cell: Column, intervals: DataFrame, lo: Column, hi: Column, exact: Column | None = None, how: str = "inner") -> DataFrame:
+def stab(points: DataFrame, cell: Column, intervals: DataFrame, lo: Column, hi: Column, exact: Column, how: str = "inner") -> DataFrame:
     """``points`` (with source_id) with each interval whose cells lo..hi hold their cell and for
-    which ``exact`` holds. ``left`` keeps points without one; each row of ``points`` counts by itself."""
+    which ``exact`` holds (which is to imply that). ``left`` keeps points without one; each row of ``points`` counts by itself."""
     noded = with_nodes(intervals, lo, hi).withColumnsRenamed({"source_id": "__source", LEVEL: "__l", NODE: "__n"})
     asked = points if how == "inner" else points.withColumn("__point", F.monotonically_increasing_id())
     asked = with_ancestors(asked, cell, noded.withColumnRenamed("__l", LEVEL), outer=how != "inner")
     on = (F.col("source_id") == F.col("__source")) & (F.col(LEVEL) == F.col("__l")) & (F.col(NODE) == F.col("__n"))
-    met = asked.join(noded, on if exact is None else on & exact, how)
+    # Estimates do not see that rows were exploded, so neither side may be broadcast on their word.
+    met = asked.hint("merge").join(noded, on & exact, how)
     if how != "inner":  # of a point's levels those that met something, else one
         hit = F.col("__source").isNotNull()
         own = Window.partitionBy("__point")

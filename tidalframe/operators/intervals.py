@@ -1,8 +1,8 @@
 """Interval joins, keep segments and merges.
 
 Joins carry ``source_id`` as an equi key and meet on a dyadic grid (see ``dyadic``): an interval
-is stored under a few nodes whatever its length, a point asks its ancestors, and the exact
-condition decides at the edges. First and last match are reductions on the unique segment index.
+is stored under a few nodes whatever its length, a point asks its nodes, and the exact
+condition decides. First and last match are reductions on the unique segment index.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ def first_at_frame(grid: DataFrame, intervals: DataFrame, value: str, fps: float
 def last_at_frame(grid: DataFrame, intervals: DataFrame, value: str, fps: float, default=0) -> DataFrame:
     """``grid`` with the value of the last interval by seg_idx of those whose frames
     ``[int(start * fps), int(end * fps))`` hold the frame; ``default`` elsewhere."""
-    held = intervals.select("source_id", "seg_idx", F.col(value).alias("__value"), (F.col("start_s") * fps).cast("long").alias("__lo"), (F.col("end_s") * fps).cast("long").alias("__hi"))
-    hit = stab(grid.select("source_id", "frame_idx"), F.col("frame_idx"), held, F.col("__lo"), F.col("__hi") - 1)
+    held = intervals.select("source_id", "seg_idx", F.col(value).alias("__value"), (F.col("start_s") * fps).cast("long").alias("__first"), (F.col("end_s") * fps).cast("long").alias("__end"))
+    hit = stab(grid.select("source_id", "frame_idx"), F.col("frame_idx"), held, F.col("__first"), F.col("__end") - 1, (F.col("frame_idx") >= F.col("__first")) & (F.col("frame_idx") < F.col("__end")))
     hit = hit.groupBy("source_id", "frame_idx").agg(F.max_by("__value", "seg_idx").alias(value))
     return grid.join(hit, ["source_id", "frame_idx"], "left").fillna({value: default})
 
