@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidalframe.llm import suffix_dedup as module
 from tidalframe.llm.common import read
 from tidalframe.llm.suffix_dedup import op10_suffix_dedup, suffix_dedup
 
@@ -75,3 +77,19 @@ def test_hot_cores_over_many_buckets(spark, held):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark, monkeypatch):
+    """Two rows of one id, or none: the passage of one recurs, the other is whole. With one key for both it is not."""
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = make(260)
+    want_texts = [passage + make(45), make(305), make(30) + passage]
+    for ident in (7, None):
+        docs = spark.createDataFrame([(ident, want_texts[0]), (ident, want_texts[1]), (9, want_texts[2])], "doc_id long, text string")
+        with monkeypatch.context() as m:
+            m.setattr(module, "row_digest", lambda text: F.lit(b"same"))
+            wrong = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup(docs).collect())
+        right = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup(docs).collect())
+        assert right == sorted((len(raw), gone) for raw, (_, gone, _, _) in zip(want_texts, brute([t.encode() for t in want_texts]), strict=True))
+        assert wrong != right

@@ -27,7 +27,8 @@ still exact:
 Where 128-bit hashes decide, unequal strings pass as equal with probability 2^-128 a pair.
 
 Strings are judged on the input; matches never cross documents; rows that repeat id and text
-are copies like any others. Null and empty texts have 0 bytes; null ids are kept as null.
+are copies like any others, and are told apart from rows of the same id, or without one, by 128
+bits of their text's SHA-256. Null and empty texts have 0 bytes; null ids are kept as null.
 Only the two named columns are read.
 """
 
@@ -106,7 +107,7 @@ def records(block: Block) -> tuple[np.ndarray, ...]:
     return doc[at], a, lo, hi, lead, hashed(a, a + CORE), *(mix64(h(lo, hi + LENGTH) + place) for h in (hashed, second))
 
 
-_RECORDS = "doc_id long, th int, lead long, core long, ctx long, ctx2 long, a long, l int, r int"
+_RECORDS = "doc_id long, th binary, lead long, core long, ctx long, ctx2 long, a long, l int, r int"
 
 
 def record_table(docs: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def record_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _RECORDS)
 
 
-_COMPARED = "doc_id long, th int, core long, a long, l int, r int, kinds long, many boolean, first boolean, edge boolean"
+_COMPARED = "doc_id long, th binary, core long, a long, l int, r int, kinds long, many boolean, first boolean, edge boolean"
 
 
 def _fresh(table: pa.Table, *names: str) -> np.ndarray:
@@ -243,9 +244,9 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _CONTEXTS)
 
 
-_CONTEXTS = "doc_id long, th int, core long, many boolean, hot boolean, a long, l int, r int, lead binary, bytes binary"
-_CONTEXT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("core", pa.int64()), ("many", pa.bool_()), ("hot", pa.bool_()), ("a", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("lead", pa.binary()), ("bytes", pa.binary())])
-_RUNS = "doc_id long, th int, s long, e long"
+_CONTEXTS = "doc_id long, th binary, core long, many boolean, hot boolean, a long, l int, r int, lead binary, bytes binary"
+_CONTEXT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.binary()), ("core", pa.int64()), ("many", pa.bool_()), ("hot", pa.bool_()), ("a", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("lead", pa.binary()), ("bytes", pa.binary())])
+_RUNS = "doc_id long, th binary, s long, e long"
 
 
 def multikey_ties(text: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -353,7 +354,7 @@ def digest_windows(table: DataFrame) -> DataFrame:
                 columns = [part.column(c).take(pick) for c in ("doc_id", "th", "many")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(at), *[pa.array(d.view(np.int64)) for d in digests]], names=["doc_id", "th", "many", "s", "d1", "d2"])
 
-    each = stage(table.mapInArrow(run, "doc_id long, th int, many boolean, s long, d1 long, d2 long"), "suffix-digests")
+    each = stage(table.mapInArrow(run, "doc_id long, th binary, many boolean, s long, d1 long, d2 long"), "suffix-digests")
     twice = stage(each.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "suffix-twice")
     return each.where("not many").join(twice, ["d1", "d2"], "left_semi").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e"))
 
@@ -413,10 +414,15 @@ def remove_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def row_digest(text: F.Column) -> F.Column:
+    """16 bytes of the text's SHA-256: with the id, what tells rows apart."""
+    return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, most_held: int = HELD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     text = text_of(docs, text_col)
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), row_digest(text).alias("th"), text.alias("text"))
     runs = covered_runs(source, hot, most_held).groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.array("s", "e"))).alias("runs"))
     runs = stage(runs.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "runs"), "suffix-runs")
     joined = source.join(runs, source["doc_id"].eqNullSafe(runs["r_id"]) & (source["th"] == runs["r_th"]), "left")
