@@ -3,10 +3,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidalframe.llm.common import read
 from tidalframe.llm.minhash import components, keep_representatives, near_dedup, pi, sigma
+from tidalframe.llm.textkernel import NON_SPACE, blocks, lane_hashes, words
 
 
 def brute(rows):
@@ -109,3 +111,24 @@ def test_one_large_mixed_bucket(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {tuple(r) for r in near_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()}
     assert got == brute(rows)
+
+
+def test_structured_words_are_not_linked(spark):
+    """A Thue-Morse word and its complement, which polynomial hashes cannot tell apart."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    for n in (128, 1024):
+        docs = spark.createDataFrame([(1, morse[:n]), (2, other[:n]), (3, f"x {morse[:n]} y z u v"), (4, f"x {other[:n]} y z u v")], "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id) for r in near_dedup(docs).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 30, 3000)] + ["a" * n for n in range(1, 600)] + ["b" * 250 + "a" * n for n in range(30)]
+    got = {}
+    for text in (" ".join(made), " ".join(made[::-1]) + " "):
+        for block in blocks(pa.array([text, None, "", text[:50]]), 1 << 14):
+            w = words(block, NON_SPACE, lane_hashes)
+            for s, e, h in zip(w.start, w.end, w.hash.tolist(), strict=True):
+                assert got.setdefault(w.folded[s:e].tobytes(), h) == h
+    assert len(set(got.values())) == len(got) >= len(set(made))

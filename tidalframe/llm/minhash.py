@@ -17,8 +17,8 @@ which rules out most pairs exactly. Nodes are ordered by what they share, and th
 hubs in turn (1, 15, 240 ... of a bucket), tested against later nodes of other components.
 After the last round any two nodes of a bucket have been tested, ruled out or connected, so no
 cap is needed and components equal those of testing all pairs. Each candidate is confirmed on
-the full sets of 64-bit shingle hashes (two unequal shingles pass as equal with probability
-2^-64).
+the full sets of 64-bit shingle hashes, made of word hashes without linear structure (two unequal
+shingles of texts that were not made to collide pass as equal with probability 2^-64).
 
 *Hot buckets.* A bucket is never one task's: counts, least nodes and labels of buckets, labels and
 common shingles are aggregated before the shuffle and, staged, joined back, which the adaptive
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, stage, text_of, without_rows
-from .textkernel import NON_SPACE, blocks, gram_hashes, inside_document, mix64, whole_hash, words
+from .textkernel import NON_SPACE, blocks, gram_hashes, inside_document, lane_hashes, mix64, whole_hash, words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -75,7 +75,7 @@ def pi(x: np.ndarray) -> np.ndarray:
 def shingle_sets(column: pa.Array, n: int = SHINGLE):
     """Per block: (block, distinct sorted shingle hashes, bounds of each document)."""
     for block in blocks(column):
-        w = words(block, NON_SPACE)
+        w = words(block, NON_SPACE, lane_hashes)
         counts = np.diff(w.doc_first)
         at = inside_document(w.doc_first, n)
         grams = gram_hashes(w.hash, n)[at]

@@ -8,6 +8,7 @@ worker holds about 60 bytes for each byte of a block or of the longest single te
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -118,8 +119,9 @@ class Words:
         return b" ".join(raw[s:e].tobytes() for s, e in zip(self.start[lo:hi], self.end[lo:hi], strict=True))
 
 
-def words(block: Block, member: np.ndarray) -> Words:
-    """ASCII-lower-cased words (maximal runs of ``member`` bytes) and their hashes."""
+def words(block: Block, member: np.ndarray, hasher=None) -> Words:
+    """ASCII-lower-cased words (maximal runs of ``member`` bytes) and their hashes: by ``hasher``
+    of (bytes, starts, ends), else the fast polynomial, where equal hashes are checked on words."""
     folded = _LOWER[block.data]
     n = len(folded)
     if n == 0:
@@ -135,6 +137,8 @@ def words(block: Block, member: np.ndarray) -> Words:
     ends = np.append(starts[1:], n)
     hold = inside[starts]
     start, end = starts[hold], ends[hold]
+    if hasher is not None:
+        return Words(start, end, hasher(folded, start, end), np.searchsorted(start, block.offsets), folded)
     up, down = _power_tables(n + 1)
     prefix = np.empty(n + 1, np.uint64)
     prefix[0] = 0
@@ -143,6 +147,34 @@ def words(block: Block, member: np.ndarray) -> Words:
     return Words(start, end, hashed, np.searchsorted(start, block.offsets), folded)
 
 
+#: Bytes of a word that ``lane_hashes`` takes in lanes; longer words are hashed one by one.
+LANE_BYTES = 256
+_KEY = b"tidalframe words"
+
+
+def lane_hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words in which nothing is linear: 8-byte lanes, each mixed into the state
+    by two multiplications and shifts, after the length; long words by keyed BLAKE2b."""
+    padded = np.concatenate([folded, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(folded) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    order = np.argsort(-size, kind="stable")
+    at, falling = start[order], -size[order]
+    state = mix64((-falling).astype(np.uint64) + _BASE)
+    longest = int(np.searchsorted(falling, -LANE_BYTES, "left"))
+    for done in range(0, min(LANE_BYTES, int(-falling[0]) if len(falling) else 0), 8):
+        n = int(np.searchsorted(falling, -done, "left"))  # words of more than ``done`` bytes
+        left = np.minimum(-falling[:n] - done, 8).astype(np.uint64)
+        lane = lanes[at[:n] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        state[:n] = mix64((state[:n] ^ mix64(lane * _BASE)) * _WORD_STEP + lane)
+    for i in range(longest):
+        word = folded[at[i] : at[i] - falling[i]].tobytes()
+        state[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
 def gram_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive words (runs may cross documents)."""
     count = len(word_hash) - n + 1
