@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidalframe.llm.common import read
-from tidalframe.llm.toxicity import LexiconTrie, Model, choose_terms, context_features, drop_toxic, errors_allowed, fit, fit_logistic, held_out, op5_toxicity, quoted, score
+from tidalframe.llm.toxicity import LexiconTrie, Model, choose_terms, context_features, drop_toxic, errors_allowed, fit, fit_logistic, held_out, op5_toxicity, quoted, score, training_rows
 
 
 def distance(a, b):
@@ -118,3 +118,15 @@ def test_bound_of_the_lexicon_is_on_chosen_terms():
     nested = [Row(term="insulting"[:n], open_end=True, toxic=50, g2=90.0 + n, weight=3.0) for n in (4, 5, 6, 7, 8)]
     rows = [*nested, Row(term="dunce", open_end=False, toxic=20, g2=40.0, weight=2.0), Row(term="clod", open_end=False, toxic=9, g2=31.0, weight=1.0)]
     assert set(choose_terms(rows, 2)) == {"insultin", "dunce"} and len(choose_terms(rows)) == 3
+
+
+def test_only_copies_of_labelled_texts_collapse(spark):
+    boilerplate = "terms of use apply here "
+    texts = [boilerplate + f"text number {i} stands alone" for i in range(80)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[0].upper().replace(" ", "\n ")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = training_rows(docs, labels, 1000).collect()
+    want = {(" ".join(t.lower().split()), int(i % 2 == 0)) for i, t in rows if i not in held}
+    assert len(got) == len(want) and {(" ".join(r.text.lower().split()), r.toxic) for r in got} == want

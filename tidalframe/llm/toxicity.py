@@ -1,7 +1,8 @@
 """Operator 5: toxicity from a learned lexicon, Levenshtein automata and context windows.
 
 *Lexicon.* On the labelled training rows (at most ``max_labelled``, the ones of smallest
-hash; a documented bound; of rows with one label and the same least 3-gram, the shortest) words and word stems are kept whose documents are toxic far more
+hash; a documented bound; of rows with one label whose texts differ in case and white space only, one)
+words and word stems are kept whose documents are toxic far more
 often than the rest, by a likelihood-ratio test. Terms have three letters at least and any length; how
 many there are is bounded by what ``max_labelled`` rows can hold. They form a trie; a stem
 accepts any ending.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read, stage, text_of
-from .textkernel import NON_SPACE, blocks, gram_hashes, words
+from .textkernel import blocks
 
 MAX_LABELLED = 40_000
 #: Stem lengths tried, least documents of a term, least likelihood ratio.
@@ -244,19 +245,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
     rows = docs.select(docs["doc_id"], text_of(docs).alias("text"))
     rows = rows.join(F.broadcast(known), "doc_id").select("text", "toxic")  # max_labelled small rows at most
 
-    def sketch(batches):
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                w = words(block, NON_SPACE)
-                grams = gram_hashes(w.hash, 3)
-                least = [grams[a : max(a, b - 2)].min() if b - a > 2 else w.hash[a:b].sum() for a, b in zip(w.doc_first[:-1], w.doc_first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(block.first, block.n_docs).columns, pa.array(np.array(least, np.uint64).astype(np.int64))], names=["text", "toxic", "key"])
-
-    # Copies would pass off the words of one text as frequent; most share their least 3-gram. Rows
-    # of one label that share it, copies or not, count as one: the shortest.
-    marked = rows.mapInArrow(sketch, "text string, toxic int, key long")
-    one = F.min_by(F.struct("text", "toxic"), F.struct(F.length("text"), F.xxhash64("text"), "toxic")).alias("t")
-    return marked.groupBy("key", "toxic").agg(one).select("t.text", "t.toxic")
+    # Copies would pass off the words of one text as frequent: of each text and label one row counts.
+    same = F.sha2(F.encode(F.lower(F.regexp_replace("text", r"\s+", " ")), "UTF-8"), 256)
+    return rows.groupBy(same.alias("key"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def held_out(doc_id: F.Column) -> F.Column:
