@@ -7,7 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from tidalframe.operators import buckets, dyadic, intervals, ranking, selection, tracking, windows
+from tidalframe.operators import buckets, captions, dyadic, intervals, ranking, selection, tracking, windows
 from tidalframe.operators.streams import Ema, NearTime
 
 
@@ -163,3 +163,30 @@ def test_as_of_across_buckets(rows, table):
         for r in source:
             at = bisect.bisect_right(known, (r[1], float("inf")))
             assert got[r[2]] == ((known[at][1], known[at][0] - 4 <= r[1]) if at < len(known) else (None, False))
+
+
+def greedy(rows, width, room, per_line, lines, space):
+    """(word, group, line) word by word."""
+    out, line, held, used = [], 0, 0, 0.0
+    for idx, word in rows:
+        if not (word or "").strip():
+            continue
+        own = sum(width.get(c, 20.0) for c in word.upper())
+        if held and (held == per_line or used + (own + space) > room):
+            line, held, used = line + 1, 0, 0.0
+        used, held = used + own + (space if held else 0.0), held + 1
+        out.append((idx, line // lines, line % lines))
+    return out
+
+
+@pytest.mark.parametrize(("per_line", "lines", "block"), [(3, 2, 4), (1, 2, 256), (4, 3, 7)])
+def test_packing_across_blocks(spark, per_line, lines, block):
+    rng = random.Random(per_line)
+    rows = {s: [(i * 3, rng.choice(["a", "Wide", "straße", "", " ", None, "éé", "x" * 30, "iii"])) for i in range(n)] for s, n in ((1, 500), (2, 11), (3, 1))}
+    df = spark.createDataFrame([(s, i, w) for s, ws in rows.items() for i, w in ws], "source_id long, word_idx long, word string").repartition(5)
+    width = {"I": 7.5, "W": 31.25, "É": 12.0}
+    got = {}
+    for r in captions.packed_groups(df, width, 120.0, per_line, lines, block=block).collect():
+        got.setdefault(r.source_id, []).append((r.word_idx, r.group_idx, r.line_idx))
+    for s, ws in rows.items():
+        assert sorted(got.get(s, [])) == greedy(ws, width, 120.0, per_line, lines, 10.0)
