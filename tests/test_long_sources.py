@@ -7,7 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from tidalframe.operators import buckets, captions, dyadic, intervals, ranking, selection, tracking, windows
+from tidalframe.operators import buckets, captions, dyadic, intervals, ranking, selection, streams, tracking, windows
 from tidalframe.operators.streams import Ema, NearTime
 
 
@@ -190,3 +190,28 @@ def test_packing_across_blocks(spark, per_line, lines, block):
         got.setdefault(r.source_id, []).append((r.word_idx, r.group_idx, r.line_idx))
     for s, ws in rows.items():
         assert sorted(got.get(s, [])) == greedy(ws, width, 120.0, per_line, lines, 10.0)
+
+
+def test_recovery_is_cut_at_settling_frames(spark):
+    rng = random.Random(3)
+    face = lambda: {"cx": rng.random() * 1920, "cy": 5.0, "w": rng.choice([60.0, 300.0, 500.0, 600.0, 700.0, 900.0]), "h": rng.choice([80.0, 400.0, 540.0, 700.0]), "score": rng.random()}
+    schema = "source_id long, idx long, faces array<struct<cx:double,cy:double,w:double,h:double,score:double>>"
+    rows = [(s, i, None if rng.random() < 0.1 else [face() for _ in range(rng.choice([0, 0, 1, 1, 2, 3]))]) for s, n in ((1, 900), (2, 30), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    settled = df.where(tracking.settling(F.col("faces"), 1920.0, 1080.0)).count()
+    assert 50 < settled < 600
+    got = {(r.source_id, r.idx): r.crop_x for r in tracking.track_with_recovery(df, 1920.0, 1080.0, 1.0).collect()}
+    machines = {}
+    for s, i, faces in rows:
+        assert got[s, i] == machines.setdefault(s, streams.Recovery(1920.0, 1080.0, 1.0)).step(faces or [])
+    # Whatever the state before, a settling frame leads to the same one.
+    for _, _, faces in rows:
+        if faces and len(faces) == 1:
+            f = faces[0]
+            if f["w"] <= 540 and f["h"] <= 540 and 0.5 * (f["w"] * f["h"] / (1920 * 1080) * 0.6 + f["score"] * 0.4) >= 0.15:
+                after = set()
+                for last, missed, crop in ((None, 0, 656), (10.0, 0, 0), (1900.0, 2, 1313), (5.0, 100, 7)):
+                    m = streams.Recovery(1920.0, 1080.0, 1.0).restored((crop, last, missed))
+                    m.step(faces)
+                    after.add(m.saved())
+                assert len(after) == 1

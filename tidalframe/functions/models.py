@@ -17,6 +17,11 @@ RUBRIC = "hook int, arc int, emotion int, punchline int, autonomie int, total in
 HITS = "highlights array<struct<start_time:string,end_time:string,start_s:double,end_s:double,duration_seconds:int,hook_text:string,punchline:string,why_viral:string,viral_score:int>>"
 
 
+DETAIL = "score int, hook_score int, arc_score int, emotion_score int, punchline_score int, value_score int, has_conclusion boolean, hook_text string, best_quote string, explanation string, suggested_trim string"
+#: Fixed value: the explanation of a passage whose answer does not parse.
+AUTO_SCORED = "Auto-scored (API error)"
+
+
 class Scorer(Protocol):
     def __call__(self, texts: pd.Series) -> pd.Series:
         """A JSON answer for each text."""
@@ -64,3 +69,26 @@ def detailed_score(answers: DataFrame, p1: str, p2: str, column: str = "answer")
         "final_score": F.coalesce(parsed["score"].cast("double"), (F.col(p1) + F.col(p2)) * 5),
         "explanation": F.coalesce(parsed["explanation"], F.lit("fallback")),
     })
+
+
+def detailed_answer(answers: DataFrame, p1: str, p2: str, text: str = "text", column: str = "answer") -> DataFrame:
+    """``answers`` with ``final_score`` and all fields of the detailed answer.
+
+    An answer without a score counts as one that does not parse: the score is ``(p1 + p2) * 5``, the
+    hook the text's first 100 characters, and the part scores are null.
+    """
+    from .text import parse_json, prefix
+
+    parsed = parse_json(F.col(column), "struct<" + DETAIL.replace(", ", ",").replace(" ", ":") + ">")
+    scored, hook = parsed["score"].isNotNull(), prefix(F.coalesce(F.col(text), F.lit("")), 100, "...")
+
+    def field(name: str, missing, failed):
+        return F.when(scored, F.coalesce(parsed[name], missing)).otherwise(failed)
+
+    parts = {n: F.when(scored, parsed[n]) for n in ("hook_score", "arc_score", "emotion_score", "punchline_score", "value_score", "has_conclusion", "suggested_trim")}
+    none = F.lit("")
+    return answers.withColumns({
+        "final_score": F.when(scored, parsed["score"].cast("double")).otherwise((F.col(p1) + F.col(p2)) * 5),
+        **parts, "hook_text": field("hook_text", hook, hook), "best_quote": field("best_quote", none, none),
+        "explanation": field("explanation", none, F.lit(AUTO_SCORED)),
+    })

@@ -1,15 +1,16 @@
 """Face tracking decisions. Averages and fills take sources of any length (see ``buckets``); the
-machines whose next state depends on comparisons run in pandas, by source."""
+machines whose next state depends on comparisons stream the rows of a source, one machine a task;
+tracking with recovery is cut where a frame alone decides its state."""
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .buckets import ROWS, linear_recurrence
+from .buckets import ROWS, last_known, linear_recurrence
 from .streams import Hysteresis, Recovery, Segmenter
 from .windows import filled
 
@@ -89,8 +90,30 @@ def ema_final(values: Column, alpha: float) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), values[0].cast("double"), lambda s, x: alpha * s + (1 - alpha) * x)
 
 
-def _by_source(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.groupBy("source_id").applyInPandas(fn, schema)
+def _streamed(rows: DataFrame, keys: list[str], columns: list[str], make, step, schema: str, finish=None) -> DataFrame:
+    """A machine for each key over its rows by idx: ``step(machine, *columns)`` and, at the key's end,
+    ``finish(machine)`` give output tuples, which follow source_id. A task keeps one machine."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = T.StructType.fromDDL(f"source_id {rows.schema['source_id'].dataType.simpleString()}, {schema}")
+    arrow, n = to_arrow_schema(kinds), len(keys)
+
+    def run(batches):
+        key, machine = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != key or machine is None:
+                    if machine is not None and finish:
+                        out += [(key[0], *x) for x in finish(machine)]
+                    key, machine = row[:n], make()
+                out += [(key[0], *x) for x in step(machine, *row[n:])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+        if machine is not None and finish:
+            out = [(key[0], *x) for x in finish(machine)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    assert len(names) + 1 == len(kinds)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "idx").select(*keys, *columns).mapInArrow(run, kinds)
 
 
 def ema_series(rows: DataFrame, alpha: float = 0.92, order: str = "idx", value: str = "x") -> DataFrame:
@@ -110,22 +133,31 @@ def hysteresis(samples: DataFrame, **params) -> DataFrame:
 
     ``bounds`` are those of ``crop_bounds`` where a crop follows.
     """
+    return _streamed(samples, ["source_id"], ["idx", "faces"], lambda: Hysteresis(**params), lambda m, idx, faces: [(idx, m.step(faces or []))], "idx long, target double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("idx"), Hysteresis(**params)
-        return pd.DataFrame({"source_id": pdf["source_id"], "idx": pdf["idx"], "target": [state.step(f if f is not None else []) for f in pdf["faces"]]})
 
-    return _by_source(samples.select("source_id", "idx", "faces"), run, "source_id long, idx long, target double")
+def settling(faces: Column, width: float, height: float, usual: float = 0.5, relaxed: float = 0.7, least: float = 0.15) -> Column:
+    """Whether a frame leaves ``Recovery`` in one state whatever its state before: one face alone is
+    small enough for the relaxed limit, it also keeps the usual one, and even with its rating
+    halved, which is the most that distance can take, it rates ``least``."""
+    able = F.filter(faces, lambda f: (f["w"] <= height * relaxed) & (f["h"] <= height * relaxed))
+    face = F.get(able, F.lit(0))
+    value = face["w"] * face["h"] / (width * height) * 0.6 + face["score"] * 0.4
+    alone = (F.size(able) == 1) & (face["w"] <= height * usual) & (face["h"] <= height * usual)
+    return F.coalesce(alone & (value * 0.5 >= least), F.lit(False))
 
 
 def track_with_recovery(frames: DataFrame, width: float, height: float, fps: float, **params) -> DataFrame:
-    """(source_id, idx, crop_x) of frames (source_id, idx, faces of cx, cy, w, h, score in pixels)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("idx"), Recovery(width, height, fps, **params)
-        return pd.DataFrame({"source_id": pdf["source_id"], "idx": pdf["idx"], "crop_x": [state.step(f if f is not None else []) for f in pdf["faces"]]})
+    """(source_id, idx, crop_x) of frames (source_id, idx, faces of cx, cy, w, h, score in pixels).
 
-    return _by_source(frames.select("source_id", "idx", "faces"), run, "source_id long, idx long, crop_x long")
+    A source is cut at its settling frames: from each on, the machine runs without what came
+    before. A stretch without such frames is one task's.
+    """
+    limits = {k: params[k] for k in ("usual", "relaxed", "least") if k in params}
+    told = last_known(frames.select("source_id", "idx", "faces"), {"__from": F.when(settling(F.col("faces"), width, height, **limits), F.col("idx"))}, ("idx",), ROWS)
+    told = told.withColumn("__from", F.coalesce("__from", F.lit(-(1 << 62))))
+    make = lambda: Recovery(width, height, fps, **params)
+    return _streamed(told, ["source_id", "__from"], ["idx", "faces"], make, lambda m, idx, faces: [(idx, m.step(faces or []))], "idx long, crop_x long")
 
 
 def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None) -> DataFrame:
@@ -134,16 +166,16 @@ def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.1
     the crop stays inside the frame."""
     most = None if src_w is None else int(src_w - crop_w)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("idx"), Segmenter(k * crop_w, int(1.5 * fps), most)
-        done = [s for x in pdf["x"] if (s := state.step(float(x))) is not None]
-        done += [state.close()] if state.length else []
-        out = pd.DataFrame(done, columns=["start_idx", "end_idx", "crop_x"])
-        out.insert(0, "seg_idx", np.arange(len(out)))
-        out.insert(0, "source_id", pdf["source_id"].iloc[0] if len(pdf) else 0)
-        return out
+    def numbered(m: Segmenter, done: tuple | None) -> list[tuple]:
+        if done is None:
+            return []
+        m.count = getattr(m, "count", -1) + 1
+        return [(m.count, *done)]
 
-    return _by_source(rows.select("source_id", "idx", "x"), run, "source_id long, seg_idx long, start_idx long, end_idx long, crop_x long")
+    return _streamed(
+        rows, ["source_id"], ["x"], lambda: Segmenter(k * crop_w, int(1.5 * fps), most), lambda m, x: numbered(m, m.step(float(x))),
+        "seg_idx long, start_idx long, end_idx long, crop_x long", lambda m: numbered(m, m.close() if m.length else None),
+    )
 
 
 def merge_short(segments: DataFrame, least: int) -> DataFrame:

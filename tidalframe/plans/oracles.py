@@ -346,7 +346,7 @@ ORACLES["greedy_groups"] = _with(
 # --- readers, sinks, answers --------------------------------------------------------------
 
 _TURNS = r"""
-said as (select conv_id as source_id, row_number() over (partition by conv_id order by turn) - 1 as n, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.,!?]+', ' ', 'g')) as text from conversations),
+said as (select conv_id as source_id, row_number() over (partition by conv_id order by turn) - 1 as n, trim(regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20<>]+', ' ', 'g')) as text from conversations),
 cue as (select *, n * 100.0::double + 0.25 as s, n * 100.0::double + 0.25 + case when n % 2 = 1 then 0.01 else 90.0::double end as e from said)"""
 
 ORACLES["vtt_all_cues"] = _with(_TURNS, "select source_id, n as cue_idx, round(s, 6) as start_s, round(e, 6) as end_s, text from cue where text <> ''")
@@ -403,6 +403,43 @@ ORACLES["segment_at_frame"] = _with(
 ORACLES["sample_slice"] = _with(_NUM, "select source_id, idx, event_id from num where idx >= 12 and idx < 39")
 ORACLES["rubric_scores"] = _with(_EV, "select event_id, case when event_id % 7 = 0 then 0 else event_id % 90 end as total, case when event_id % 7 = 0 then 'parse_error' else event_type end as verdict from ev")
 ORACLES["detailed_scores"] = _with(_EV, "select event_id, case when event_id % 5 <> 0 then (event_id % 100)::double else (event_id % 11 + event_id % 7) * 5.0::double end as final_score, case when event_id % 5 <> 0 then event_type else 'fallback' end as explanation from ev")
+ORACLES["detailed_answers"] = _with(
+    _EV + """, a as (select event_id, event_type, event_id % 5 <> 0 and event_id % 7 <> 0 as ok, repeat(event_type || ' ', event_id % 30) as text from ev),
+    h as (select *, case when length(text) > 100 then text[1:100] || '...' else text end as hook from a)""",
+    """select event_id, case when ok then (event_id % 100)::double else (event_id % 11 + event_id % 7) * 5.0::double end as final_score,
+       case when ok then event_id % 31 end as hook_score, case when ok then event_id % 26 end as arc_score, case when ok then event_id % 25 end as emotion_score,
+       case when ok then event_id % 11 end as punchline_score, case when ok then event_id % 9 end as value_score, case when ok then event_id % 2 = 0 end as has_conclusion,
+       case when ok and event_id % 3 <> 0 then 'h' || event_type else hook end as hook_text, case when ok and event_id % 4 <> 0 then 'q' else '' end as best_quote,
+       case when not ok then 'Auto-scored (API error)' when event_id % 6 <> 0 then event_type else '' end as explanation, case when ok then '10-40' end as suggested_trim from h""",
+)
+ORACLES["full_report"] = _with(
+    _EV + """, r as (select *, row_number() over (order by value desc, event_id) as rank from ev),
+    best as (select event_id, rank, value / 5 as final_score, t, t + 30 as e, event_type, floor(value / 50) as p1, (event_id % 10)::double as p2 from r where rank <= 5)""",
+    """select 0 as rank, unnest([0, 1, 2, 3]) as line_no, unnest(['', repeat('=', 80), '🎯 TOP 5 VIRAL PASSAGES FOR TIKTOK/REELS', repeat('=', 80)]) as line
+       union all
+       select rank, unnest([0, 1, 2, 3, 4, 5, 6, 7]) as line_no, unnest(['',
+         printf('#%d - SCORE: %d/100', rank, round_even(final_score, 0)::bigint),
+         printf('⏱️  Time: %02d:%02d:%02d - %02d:%02d:%02d', floor(t / 3600)::bigint, (floor(t / 60) % 60)::bigint, (floor(t) % 60)::bigint, floor(e / 3600)::bigint, (floor(e / 60) % 60)::bigint, (floor(e) % 60)::bigint),
+         '🎣 Hook: ' || event_type, '💬 Best Quote: ' || case when event_id % 2 = 0 then 'q' else '' end, printf('📊 Phase Scores: Text=%.1f, Audio=%.1f', p1, p2), '📝 Why: why', repeat('-', 80)]) as line from best""",
+)
+ORACLES["result_files"] = _with(
+    _EV + ", r as (select *, row_number() over (order by value desc, event_id) as rank from ev)",
+    """select name, to_json(list({'rank': rank, 'hit_id': event_id, 'detector': event_type} order by rank))::varchar as value
+       from r join (values ('final', 5), ('all', 8)) as f(name, n) on rank <= n group by name""",
+)
+ORACLES["batch_calls"] = _with(
+    _BATCH,
+    """select batch, id, case when batch % 5 = 0 then 5.0::double when doc_id % 13 = 0 then null else (doc_id % 10 + 1)::double end as score,
+       case when batch % 5 = 0 then 'error' when doc_id % 13 = 0 then 'missing' else 'scored' end as status from b""",
+)
+ORACLES["text_detector"] = """
+with s as (select conv_id as source_id, count(*) as n from conversations group by 1 having conv_id % 7 <> 0)
+select source_id, 0::bigint as hit_idx, 1.5::double as start_s, n * 2.5::double as end_s, n * 2 as duration_s, 'hook ' || source_id as hook_text, source_id % 101 as score from s
+union all select source_id, 1::bigint, n * 1.0::double, n + 20.25::double, n * 2, 'hook ' || source_id, n from s"""
+ORACLES["audio_detector"] = _with(
+    _EV + ", s as (select source_id, count(*) as n from ev group by 1 having source_id % 7 <> 0)",
+    "select source_id, (n * 7)::double as start_s, (n * 7 + 45)::double as end_s, 'p' as punchline, n % 101 as score from s",
+)
 ORACLES["wrapped_lines"] = _with(
     _WORDS + """,
     need as (select source_id, word_idx, 20.0::double * length(replace(upper(word), 'ẞ', 'SS')) as w from words),

@@ -11,6 +11,7 @@ from ..functions import models as M
 from ..functions import scoring as S
 from ..functions import text as X
 from ..functions import timefmt as TF
+from ..operators import calls as A
 from ..operators import captions as C
 from ..operators import energy as E
 from ..operators import intervals as I
@@ -475,8 +476,9 @@ def _stamp(ms: F.Column) -> F.Column:
 
 
 def _spoken_turns(spark, sf) -> DataFrame:
-    """(source_id, n, text, start_ms, end_ms): turns by number, in ASCII; every second one is a flash."""
-    plain = F.trim(F.regexp_replace("text", "[^A-Za-z0-9.,!?]+", " "))
+    """(source_id, n, text, start_ms, end_ms): turns by number, on one line and without angle brackets;
+    every second one is a flash."""
+    plain = F.trim(F.regexp_replace("text", r"[\x09-\x0D\x20<>]+", " "))
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     rows = read(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), n.cast("long").alias("n"), F.coalesce(plain, F.lit("")).alias("text"))
     start = F.col("n") * 100_000 + 250
@@ -638,6 +640,90 @@ def detailed_scores(spark, sf):
     return M.detailed_score(answers, "p1", "p2").select("event_id", "final_score", "explanation")
 
 
+@query
+def detailed_answers(spark, sf):
+    """All fields of the detailed scores, some answers broken, some without fields."""
+    k = F.col("event_id")
+    fields = {"score": k % 100, "hook_score": k % 31, "arc_score": k % 26, "emotion_score": k % 25, "punchline_score": k % 11, "value_score": k % 9}
+    own = F.when(k % 3 != 0, F.concat(F.lit("h"), F.col("event_type")))
+    whole = F.to_json(F.struct(*[v.cast("int").alias(n) for n, v in fields.items()], (k % 2 == 0).alias("has_conclusion"), own.alias("hook_text"), F.when(k % 4 != 0, F.lit("q")).alias("best_quote"), F.when(k % 6 != 0, F.col("event_type")).alias("explanation"), F.lit("10-40").alias("suggested_trim")))
+    answer = F.when(k % 5 == 0, "{broken").when(k % 7 == 0, '{"hook_score": 3}').when(k % 2 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    text = F.repeat(F.concat(F.col("event_type"), F.lit(" ")), (k % 30).cast("int"))
+    rows = timeline(spark, sf).select("event_id", answer.alias("answer"), text.alias("text"), (k % 11).cast("double").alias("p1"), (k % 7).cast("double").alias("p2"))
+    return M.detailed_answer(rows, "p1", "p2").drop("answer", "text", "p1", "p2").withColumns({c: F.col(c).cast("long") for c in list(fields)[1:]})
+
+
+@query
+def full_report(spark, sf):
+    best = R.top(timeline(spark, sf), 7, F.desc("value"), F.asc("event_id"))
+    rows = best.select("rank", (F.col("value") / 5).alias("final_score"), F.col("t").alias("start_s"), (F.col("t") + 30).alias("end_s"), F.col("event_type").alias("hook_text"), F.when(F.col("event_id") % 2 == 0, F.lit("q")).alias("best_quote"), F.lit("why").alias("explanation"), F.floor(F.col("value") / 50).cast("double").alias("p1"), (F.col("event_id") % 10).cast("double").alias("p2"))
+    return T.full_report(rows).select(F.col("rank").cast("long").alias("rank"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query
+def result_files(spark, sf):
+    """Both result files, written and read again."""
+    best = R.top(timeline(spark, sf), 8, F.desc("value"), F.asc("event_id"))
+    path = O.scratch(spark, "results")
+    T.write_results(best.select(F.col("rank").cast("long").alias("rank"), F.col("event_id").alias("hit_id"), F.col("event_type").alias("detector")), path)
+    files = [spark.read.text(f"{path}/{name}", wholetext=True).select(F.lit(name).alias("name"), F.trim(F.regexp_replace("value", "\n", "")).alias("value")) for name in ("final", "all")]
+    return files[0].unionByName(files[1])
+
+
+# --- model calls: recorded answers by prompt ----------------------------------------------
+
+
+def _recorded(prompts: DataFrame, key: str, answers: DataFrame, late: F.Column, never: F.Column) -> DataFrame:
+    """(digest, attempt, answer): the first attempt fails where ``late``, both where ``never``."""
+    rows = prompts.select("digest", key).join(answers, key)
+    first = rows.select("digest", F.lit(0).alias("attempt"), F.when(late | never, "I can't say.").otherwise(F.col("answer")).alias("answer"))
+    second = rows.select("digest", F.lit(1).alias("attempt"), F.when(never, '[{"id": 1,').otherwise(F.concat(F.lit("```json\n"), "answer", F.lit("\n```"))).alias("answer"))
+    return first.unionByName(second)
+
+
+@query
+def batch_calls(spark, sf):
+    """Every document in batches of 25, scored by recorded answers with retries and a fallback."""
+    rows = W.global_rank(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    batch, place = W.in_batches(F.col("rn"))
+    rows = rows.select("doc_id", batch.cast("long").alias("batch"), place.cast("long").alias("id"), ((place - 1) * 30.0).alias("start_s"), (place * 30.0).alias("end_s"), "text")
+    wrong = F.when(F.col("doc_id") % 13 == 0, 100).otherwise(0)
+    said = rows.select("batch", F.struct((F.col("id") + wrong).alias("id"), (F.col("doc_id") % 10 + 1).alias("score")).alias("s"))
+    answers = said.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list("s"))).alias("answer"))
+    prompts = A.batch_prompts(rows)
+    recorded = _recorded(prompts, "batch", answers, F.col("batch") % 3 == 0, F.col("batch") % 5 == 0)
+    scores = A.score_batches(rows, A.with_attempts(prompts, recorded))
+    return scores.select("batch", F.col("id").cast("long").alias("id"), "score", "status")
+
+
+def _hits_said(sources: DataFrame, *hits: F.Column) -> DataFrame:
+    return sources.select("source_id", F.to_json(F.struct(F.array(*hits).alias("highlights"))).alias("answer"))
+
+
+@query
+def text_detector(spark, sf):
+    """Highlights of each conversation's transcript."""
+    prompts = A.transcript_prompts(sentence_cues(spark, sf))
+    sources = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("source_id")).agg(F.count(F.lit(1)).alias("n"))
+    k, n = F.col("source_id"), F.col("n")
+    hit = lambda s, e, score: F.struct(s.alias("start_s"), e.alias("end_s"), (n * 2).cast("int").alias("duration_seconds"), F.concat(F.lit("hook "), k.cast("string")).alias("hook_text"), score.cast("int").alias("viral_score"))
+    answers = _hits_said(sources, hit(F.lit(1.5), n * 2.5, k % 101), hit(n * 1.0, n + 20.25, n))
+    hits = A.detect(A.with_attempts(prompts, _recorded(prompts, "source_id", answers, k % 4 == 0, k % 7 == 0)))
+    return hits.select("source_id", F.col("hit_idx").cast("long").alias("hit_idx"), "start_s", "end_s", F.col("duration_seconds").cast("long").alias("duration_s"), "hook_text", F.col("viral_score").cast("long").alias("score"))
+
+
+@query
+def audio_detector(spark, sf):
+    """Highlights of each source's sound, with clock times; the prompt is the sound's path."""
+    sources = timeline(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    k, n = F.col("source_id"), F.col("n")
+    prompts = sources.select("source_id", F.concat(F.lit("sound/"), k.cast("string")).alias("prompt")).withColumn("digest", A.digest(F.col("prompt")))
+    hit = F.struct(TF.format_clock(n * 7).alias("start_time"), TF.format_clock(n * 7 + 45).alias("end_time"), F.lit("p").alias("punchline"), (n % 101).cast("int").alias("viral_score"))
+    answers = _hits_said(sources, hit)
+    hits = A.detect(A.with_attempts(prompts, _recorded(prompts, "source_id", answers, k % 4 == 0, k % 7 == 0)))
+    return hits.select("source_id", F.coalesce("start_s", TF.clock_seconds(F.col("start_time"))).alias("start_s"), F.coalesce("end_s", TF.clock_seconds(F.col("end_time"))).alias("end_s"), "punchline", F.col("viral_score").cast("long").alias("score"))
+
+
 @query
 def wrapped_lines(spark, sf):
     words = spoken_words(spark, sf).withColumn("group_idx", F.floor(F.col("word_idx") / 8))

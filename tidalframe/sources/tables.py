@@ -102,6 +102,26 @@ def report_lines(ranked: DataFrame) -> DataFrame:
     return ranked.select("rank", F.posexplode(lines).alias("line_no", "line"))
 
 
+#: Heading, rule and labels of the console report.
+HEADING, RULE, THIN = "🎯 TOP 5 VIRAL PASSAGES FOR TIKTOK/REELS", "=" * 80, "-" * 80
+LABELS = {"time": "⏱️  Time: ", "hook": "🎣 Hook: ", "quote": "💬 Best Quote: ", "phases": "📊 Phase Scores: ", "why": "📝 Why: "}
+
+
+def full_report(ranked: DataFrame, best: int = 5) -> DataFrame:
+    """(rank, line_no, line): the whole console report of ranked passages (rank, final_score, start_s,
+    end_s, hook_text, best_quote, explanation, p1, p2); rank 0 holds the heading."""
+    said = lambda label, c: F.concat(F.lit(LABELS[label]), F.coalesce(c, F.lit("")))
+    lines = F.array(
+        F.lit(""),
+        F.format_string("#%d - SCORE: %d/100", "rank", F.bround("final_score", 0).cast("long")),
+        said("time", F.concat(format_clock(F.col("start_s")), F.lit(" - "), format_clock(F.col("end_s")))),
+        said("hook", F.col("hook_text")), said("quote", F.col("best_quote")),
+        said("phases", F.format_string("Text=%.1f, Audio=%.1f", "p1", "p2")), said("why", F.col("explanation")), F.lit(THIN),
+    )
+    heading = ranked.sparkSession.range(1).select(F.lit(0).cast(ranked.schema["rank"].dataType).alias("rank"), F.posexplode(F.array(*map(F.lit, ("", RULE, HEADING, RULE)))).alias("line_no", "line"))
+    return heading.unionByName(ranked.where(F.col("rank") <= best).select("rank", F.posexplode(lines).alias("line_no", "line")))
+
+
 def trim_filter(keeps: DataFrame) -> DataFrame:
     """(source_id, graph): the trim and concat filter text of the keep segments in order."""
     piece = F.format_string("[0:v]trim=%.3f:%.3f,setpts=PTS-STARTPTS[v%d];[0:a]atrim=%.3f:%.3f,asetpts=PTS-STARTPTS[a%d]", "start_s", "end_s", "seg_idx", "start_s", "end_s", "seg_idx")
