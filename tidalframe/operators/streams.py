@@ -11,6 +11,10 @@ from collections import deque
 from statistics import median
 
 
+#: A plausible face's size, as a share of the frame's height, and confidence.
+USUAL, CONFIDENT = 0.5, 0.5
+
+
 class Ema:
     """Exponential moving average; the first value seeds it unless ``seed`` is given."""
 
@@ -98,7 +102,7 @@ class Recovery:
     the limit is ``relaxed``.
     """
 
-    def __init__(self, width: float, height: float, fps: float, patience: float = 3.0, usual: float = 0.5, relaxed: float = 0.7, least: float = 0.15):
+    def __init__(self, width: float, height: float, fps: float, patience: float = 3.0, usual: float = USUAL, relaxed: float = 0.7, least: float = 0.15):
         self.w, self.h, self.limit = width, height, int(fps * patience)
         self.usual, self.relaxed, self.least = usual, relaxed, least
         self.crop_w = min(int(height * 9 / 16), int(width))
@@ -119,7 +123,7 @@ class Recovery:
         lost = self.missed > self.limit
         most = self.h * (self.relaxed if lost else self.usual)
         sized = [f for f in faces if f["w"] <= most and f["h"] <= most]
-        sure = [f for f in sized if f["score"] >= 0.5] or sized
+        sure = [f for f in sized if f["score"] >= CONFIDENT] or sized
         best, top = None, self.least
         for f in sure:
             value = f["w"] * f["h"] / (self.w * self.h) * 0.6 + f["score"] * 0.4

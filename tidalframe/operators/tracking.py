@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .buckets import ROWS, last_known, linear_recurrence
-from .streams import Hysteresis, Recovery, Segmenter
+from .dyadic import stab
+from .streams import CONFIDENT, USUAL, Hysteresis, Recovery, Segmenter
 from .windows import filled
 
 
@@ -56,7 +57,7 @@ def mean_crop(series: DataFrame, value: str, width: int, height: int) -> DataFra
     return series.groupBy("source_id").agg(F.avg(value).alias("cx")).select("source_id", crop_left(F.col("cx"), F.lit(width), crop_w).cast("long").alias("crop_x"))
 
 
-def plausible(faces: Column, frame_h: float, most: float = 0.5, confidence: float = 0.5) -> Column:
+def plausible(faces: Column, frame_h: float, most: float = USUAL, confidence: float = CONFIDENT) -> Column:
     """Faces neither wider nor taller than ``most`` of the frame's height; of these the confident
     ones if there are any."""
     sized = F.filter(faces, lambda f: (f["w"] <= most * frame_h) & (f["h"] <= most * frame_h))
@@ -136,7 +137,7 @@ def hysteresis(samples: DataFrame, **params) -> DataFrame:
     return _streamed(samples, ["source_id"], ["idx", "faces"], lambda: Hysteresis(**params), lambda m, idx, faces: [(idx, m.step(faces or []))], "idx long, target double")
 
 
-def settling(faces: Column, width: float, height: float, usual: float = 0.5, relaxed: float = 0.7, least: float = 0.15) -> Column:
+def settling(faces: Column, width: float, height: float, usual: float = USUAL, relaxed: float = 0.7, least: float = 0.15) -> Column:
     """Whether a frame leaves ``Recovery`` in one state whatever its state before: one face alone is
     small enough for the relaxed limit, it also keeps the usual one, and even with its rating
     halved, which is the most that distance can take, it rates ``least``."""
@@ -191,6 +192,26 @@ def merge_short(segments: DataFrame, least: int) -> DataFrame:
     return merged.select("source_id", (F.col("__island") - 1).cast("long").alias("seg_idx"), "start_idx", "end_idx", "crop_x")
 
 
+def segment_faces(frames: DataFrame, segments: DataFrame) -> DataFrame:
+    """``segments`` with avg_face_cx and avg_face_w of their ``frames`` (source_id, idx, face_cx,
+    face_w), null where no frame of a segment has a face."""
+    bounds = segments.select("source_id", "seg_idx", "start_idx", "end_idx")
+    inside = (F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("end_idx"))
+    held = stab(frames.select("source_id", "idx", "face_cx", "face_w"), F.col("idx"), bounds, F.col("start_idx"), F.col("end_idx") - 1, inside)
+    means = held.groupBy("source_id", "seg_idx").agg(F.avg("face_cx").alias("avg_face_cx"), F.avg("face_w").alias("avg_face_w"))
+    return segments.join(means, ["source_id", "seg_idx"], "left")
+
+
+def cut_segments(frames: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None) -> DataFrame:
+    """Cut, face means and quality of frames (source_id, idx, x, face_cx, face_w) in one flow.
+
+    A short segment extends its predecessor, which keeps its own crop and means.
+    """
+    cut = segment_by_median(frames, crop_w, fps, k, src_w)
+    told = segment_faces(frames, cut).select("source_id", "start_idx", "avg_face_cx", "avg_face_w")
+    return centring(merge_short(cut, int(1.5 * fps)).join(told, ["source_id", "start_idx"]), crop_w)
+
+
 def centring(segments: DataFrame, crop_w: float, limit: float = 0.1) -> DataFrame:
     """QA of segments (crop_x, avg_face_cx, avg_face_w): offset share, face share, OK / WARN / N/A."""
     offset = F.abs(F.col("avg_face_cx") - (F.col("crop_x") + crop_w / 2)) / crop_w

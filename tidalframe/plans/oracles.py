@@ -328,6 +328,15 @@ ORACLES["segment_median"] = _with(
     "select source_id, seg_idx, start_idx, end_idx, greatest(0, least(x, 393)) as crop_x from segs",
     recursive=True,
 )
+ORACLES["cut_quality"] = _with(
+    _NUM + f""", s as (select * from ({ORACLES["segment_median"]})),
+    m as (select *, sum(case when seg_idx = 0 or end_idx - start_idx >= 3 then 1 else 0 end) over (partition by source_id order by seg_idx) as g from s),
+    merged as (select source_id, (g - 1)::bigint as seg_idx, min(start_idx) as start_idx, max(end_idx) as end_idx, arg_min(crop_x, seg_idx) as crop_x, arg_min(end_idx, seg_idx) as own_end from m group by source_id, g),
+    q as (select g.*, avg(case when event_id % 4 <> 0 then value end) as cx, avg(case when event_id % 4 <> 0 then value / 5 end) as w
+          from merged g join num n on n.source_id = g.source_id and n.idx >= g.start_idx and n.idx < g.own_end group by all)""",
+    """select source_id, seg_idx, start_idx, end_idx, crop_x, round(cx, 6) as avg_face_cx, round(abs(cx - (crop_x + 303.5::double)) / 607, 6) as offset_share, round(w / 607, 6) as face_share,
+       case when cx is null then 'N/A' when abs(cx - (crop_x + 303.5::double)) / 607 <= 0.1::double then 'OK' else 'WARN' end as verdict from q""",
+)
 ORACLES["greedy_groups"] = _with(
     _WORDS + """,
     need as (select source_id, word_idx, 20.0::double * length(replace(upper(word), 'ẞ', 'SS')) as w from words),

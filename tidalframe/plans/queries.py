@@ -467,6 +467,15 @@ def segment_median(spark, sf):
     return K.segment_by_median(rows, 607.0, 2.0, src_w=1000)
 
 
+@query
+def cut_quality(spark, sf):
+    """Cut, face means and centring of each source in one flow."""
+    face = F.when(F.col("event_id") % 4 != 0, F.col("value"))
+    rows = numbered(timeline(spark, sf)).withColumns({"x": F.col("value"), "face_cx": face, "face_w": face / 5})
+    out = K.cut_segments(rows, 607.0, 2.0, src_w=1000)
+    return out.select("source_id", "seg_idx", "start_idx", "end_idx", "crop_x", r6("avg_face_cx").alias("avg_face_cx"), r6("offset_share").alias("offset_share"), r6("face_share").alias("face_share"), "verdict")
+
+
 # --- readers, sinks and model answers, over texts made from the tables --------------------
 
 
