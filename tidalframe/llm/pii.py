@@ -7,7 +7,8 @@ their checks (parts, Luhn, digits); failing matches are dropped without retries.
 are hashes of its word shape (letter case runs, digit run lengths, punctuation), of its
 neighbours' shapes, of pairs of them, and of its own and its neighbour's word where those
 occur in training. The field is trained on the driver, by gradient ascent on the
-log-likelihood of a small labelled table (``training_table``, a parameter), and decoded by
+log-likelihood of a small labelled table (``training_table``, a parameter: sentences in four languages with
+cues, and what only looks alike: repeats, capitals, junk marks, dates and numbers in prose), and decoded by
 Viterbi over all sequences of a block at once, sorted by length, so a step handles one
 position of every sequence that is still open. Its spans (name, phone, id, address, birth)
 are added where they overlap no base span.
@@ -92,13 +93,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- training table -----------------------------------------------------------------------
 
 
-def training_table(seed: int = 11, rounds: int = 12) -> list[tuple[list[str], list[str]]]:
+#: Forms of sentences in four languages; in an entity ``=`` marks a word that stands as it is.
+SENTENCES = {
+    "en": [
+        "w w with {name:N N} about w w", "my name is {name:N} and w w", "I am {name:N N}, w w", "w w {name:=Mr. N} w w w", "the letter was written by {name:N N} w w", "regards, {name:N N}", "she lives at {address:ddd N =Street} w w",
+        "our office is at {address:dd N =Road} w", "w moved to {address:dddd N =Avenue} w w", "born on {birth:dd/dd/dddd}, w w", "her date of birth is {birth:dddd-dd-dd} w", "my passport number is {id:Adddddddd} w", "w w social security number {id:ddd-dd-dddd} w", "call me on {national_phone:(ddd) ddd-dddd} w", "w w phone {national_phone:ddd-ddd-dddd} w w",
+    ],
+    "fr": [
+        "je m'appelle {name:N N} et w w", "mon nom est {name:N N} w", "w w signé par {name:N N} w", "w w {name:=M. N} w w", "w w {name:=Mme N} w w", "Nom : {name:N N}", "cordialement, {name:N N}", "il habite au {address:dd =rue N} w w", "elle habite {address:dd =avenue =de N} w", "adresse : {address:d =rue =de =la N}",
+        "né le {birth:dd/dd/dddd} w w", "née le {birth:dd.dd.dddd} w", "date de naissance : {birth:dd/dd/dddd}", "passeport n° {id:ddAAddddd} w", "mon numéro de passeport est {id:ddAAddddd} w w", "téléphone : {national_phone:0d dd dd dd dd}", "appelez le {national_phone:0d dd dd dd dd} w w", "tél. {national_phone:0d dd dd dd dd}",
+    ],
+    "de": [
+        "mein Name ist {name:N N} und w w", "ich heiße {name:N N} w w", "w w {name:=Herr N} w w", "w w {name:=Frau N} w", "unterschrieben von {name:N N} w", "Name: {name:N N}", "grüße, {name:N N}", "er wohnt in der {address:~straße dd} w w", "sie wohnt in der {address:~gasse d} w", "Adresse: {address:~straße ddd}", "Anschrift: {address:~weg dd}",
+        "geboren am {birth:dd.dd.dddd} in w", "Geburtsdatum: {birth:dd.dd.dddd}", "Reisepass {id:AddAdddddd} w w", "mein Reisepass hat die Nummer {id:AddAdddddd} w", "Telefon: {national_phone:0ddd ddddddd}", "Tel. {national_phone:0ddd ddddddd} w w", "erreichbar unter {national_phone:0ddd ddddddd} w",
+    ],
+    "es": [
+        "me llamo {name:N N} y w w", "mi nombre es {name:N N} w", "w w {name:=Sr. N} w w", "w w {name:=Sra. N} w", "firmado por {name:N N} w w", "Nombre: {name:N N}", "saludos, {name:N N}", "vive en la {address:=calle N dd} w w", "w en {address:=calle N ddd} w", "dirección: {address:=avenida N dd}", "nacido el {birth:dd/dd/dddd} en w", "nacida el {birth:dd-dd-dddd} w", "fecha de nacimiento: {birth:dd/dd/dddd}",
+        "DNI {id:ddddddddA} w w", "su DNI es {id:ddddddddA} w", "pasaporte {id:AAAdddddd} w", "teléfono: {national_phone:ddd ddd ddd}", "llame al {national_phone:ddd dd dd dd} w w", "mi móvil es {national_phone:ddd ddd ddd} w",
+    ],
+}
+#: What looks alike and is none: capitals, repeats, places, counts and prices in prose.
+OTHERS = [
+    "R R R R R R R R", "R R R R w w", "w w. R R R R R", "R R R R R R R R. w w w", "S S T T w w w w", "U U U U w", "U w U w. U", "U U w w w w w", "N w w w w w w. N w w w", "w w N w w N N w w w", "w w w in N w w w", "w the N N of w w", "w w dd w ddd w w", "w from dddd to dddd w", "w w d.ddd w w dd,dd w",
+    "N w w, w N w w. N w", "w the street w the road w", "la rue w w w", "die Straße w w w", "la calle w w w", "w w w dd dd w w", "w on dd/dd/dddd w w", "w w am dd.dd.dddd w w", "w le dd/dd/dddd w w", "w el dd/dd/dddd w", "number dddddd w w", "w ddd ddd w w", "page dd N w w", "chapter d N w", "w w w ddddddd w", "w N dd w w", "N dd, w w", "w w with N w w w", "w name w w w", "w w phone w w w", "A A A A A A A A", "w w w. L. N w w w", "w L. N w w", "w w. L. N N w w", "w w w. C. C. N w w", "L. N w w w w",
+]
+#: Common words of the four languages.
+PLAIN = {
+    "en": "the of and to in that is was for it with as on be at by this have from or had not are but they which one you all were when we there been their has would what if more can out other into do time some could these two may then first any my now such like our over man even most after also many before must through back years where much your way well down should because each just those people how too little state good make world still own see work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split(),
+    "fr": "le la les de des du et un une est que qui dans pour pas sur avec plus par mais nous vous ils elle son ses leur cette comme tout faire bien être avoir sans deux même aussi autre après temps jour très encore entre toujours alors fait peut quand sous monde ici depuis chaque rien moins avant ainsi grand petit jamais vers".split(),
+    "de": "der die das und ist von zu mit den für auf nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können schon gegen vom jetzt immer seit wieder hier ohne etwas unter".split(),
+    "es": "el la los de que y en un una por con no para su como más pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos esto antes algunos unos otro otras otra tanto esa estos mucho cual poco ella estar".split(),
+}
+
+
+def training_table(seed: int = 11, rounds: int = 8) -> list[tuple[list[str], list[str]]]:
     """A small labelled table made from templates: (tokens, tags) of short sequences.
 
     ``{kind:text}`` marks an entity; d, A, a stand for a random digit, capital and small
-    letter inside it; N is a capitalised name, C a short one, and w a plain word.
+    letter inside it; N is a capitalised name, C a short one, w a plain word, U one in capitals
+    beyond ASCII, L a letter; R, S and T are each one word all through a sequence, and ``~`` begins a compound.
     """
     rng = random.Random(seed)
+    language = "en"
     positive = [
         "contact {name:Mr. N N} for w w", "w w {name:Mrs. N N} w w", "please ask {name:Dr. N} about w", "my name is {name:N N} and w",
         "Name: {name:N N}", "w signed by {name:Ms. N N} on w", "call me at {national_phone:(ddd) ddd-dddd} w", "phone: {national_phone:ddd-ddd-dddd}",
@@ -115,6 +151,9 @@ def training_table(seed: int = 11, rounds: int = 12) -> list[tuple[list[str], li
         "N.%%% N### w,&&& w$$$", "w.### N%%% w*** w$$$ w&&& N,### w%%%", "C.&&& N%%% w### C$$$ w***", "N! N w. N", "N, N. N", "w N | N | w | N. |", "w w ddd-dd w dddd", "call w w number w dd", "w +d w", "ddd.ddd w d.dd",
     ]
 
+    def plain_word() -> str:
+        return rng.choice(PLAIN[language]) if rng.random() < 0.6 else word()
+
     def word() -> str:
         return "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "ou", "la", "de", "es", "ch", "ei", "ra", "é", "ó", "ü"]) for _ in range(rng.randint(1, 4)))
 
@@ -123,16 +162,20 @@ def training_table(seed: int = 11, rounds: int = 12) -> list[tuple[list[str], li
         return "".join(subs[c]() if c in subs else c for c in form)
 
     def plain(token: str) -> str:
-        core = re.match(r"[NCwW]?", token).group()
-        if core and re.fullmatch(r"[NCwW][^A-Za-z0-9]*", token):
-            made = {"N": word().capitalize(), "C": word().capitalize()[:2], "w": word(), "W": word().upper()}[core]
+        core = re.match(r"[NCwWULRST]?", token).group()
+        if core and re.fullmatch(r"[NCwWULRST][^A-Za-z0-9]*", token):
+            capitals = "".join(rng.choice("ÑÉÀÜÇCIABOE") for _ in range(rng.randint(2, 5)))
+            name = plain_word() if rng.random() < 0.3 else word()
+            made = {"N": name.capitalize(), "C": word().capitalize()[:2], "w": plain_word(), "W": word().upper(), "U": capitals, "L": rng.choice("ABCDEFGHIJKLNOPQRSTUVWXYZ"), **same}[core]
             return made + token[1:]
         return fill(token) if re.search(r"d", token) and re.fullmatch(r"[\W\dda\"]+", token) else token
 
     rows = []
     for _ in range(rounds):
-        for form in positive + negative * 2:
+        many = [("en", f) for f in positive + negative * 2] + [(code, f) for code, forms in SENTENCES.items() for f in forms] + [(rng.choice(list(PLAIN)), f) for f in OTHERS * 3]
+        for language, form in many:
             tokens, tags = [], []
+            same = {c: rng.choice([word().capitalize(), plain_word().capitalize(), word(), rng.choice("AEOY")]) for c in "RST"}
             for m in re.finditer(r"\{(\w+):([^}]*)\}|(\S+)", form):
                 if m[3]:
                     tokens.append(plain(m[3]))
@@ -140,10 +183,13 @@ def training_table(seed: int = 11, rounds: int = 12) -> list[tuple[list[str], li
                     continue
                 for k, part in enumerate(m[2].split()):
                     fixed = part in ("Mr.", "Mrs.", "Ms.", "Dr.", "Street", "Avenue", "Road", "Lane")
-                    tokens.append(part if fixed else word().capitalize() if part == "N" else fill(part))
+                    made = part if fixed else part[1:] if part[0] == "=" else word().capitalize() + part[1:] if part[0] == "~" else None
+                    tokens.append(made or (word().capitalize() if part == "N" else fill(part)))
                     tags.append(("B-" if not k else "I-") + m[1])
             if rng.random() < 0.3:
                 tokens[-1] += rng.choice([".", ","])
+            elif form in OTHERS and rng.random() < 0.35:  # junk marks after every word
+                tokens = [t + rng.choice("%&#*$!?~^") * rng.randint(1, 3) for t in tokens]
             rows.append((tokens, tags))
     return rows
 
@@ -153,7 +199,7 @@ def training_table(seed: int = 11, rounds: int = 12) -> list[tuple[list[str], li
 _CLASS = np.arange(256, dtype=np.int64) + 16
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 1, 2, 2, 3
 _CLASS[~NON_SPACE] = 0
-TEMPLATES = 8
+TEMPLATES = 11
 
 
 def shape_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -210,7 +256,9 @@ def token_features(block: Block, w, starts: np.ndarray) -> list[np.ndarray]:
 
     both = lambda a, b: mix64(a * np.uint64(3) + b)
     left, right = before(shape), after(shape)
-    return [shape, left, right, both(left, shape), both(shape, right), w.hash, before(w.hash), before(before(w.hash))]
+    one, two = before(w.hash), before(before(w.hash))
+    again = np.where((w.hash == one) | (w.hash == after(w.hash)), np.uint64(1), np.uint64(2))
+    return [shape, left, right, both(left, shape), both(shape, right), w.hash, one, two, both(two, one), both(shape, again), after(w.hash)]
 
 
 @dataclass
