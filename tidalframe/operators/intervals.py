@@ -124,9 +124,14 @@ def cutter_segments(silences: DataFrame, totals: DataFrame, pad: float = 0.075)
 
 
 def remap_times(points: DataFrame, keeps: DataFrame) -> DataFrame:
-    """Times on the cut timeline: t minus what was removed before it; null inside a cut."""
+    """Times on the cut timeline: t minus what was removed before it; null inside a cut.
+
+    Keeps do not overlap, so the one that may hold a time is the last begun, an as-of join.
+    """
     order = Window.partitionBy("source_id").orderBy("seg_idx")
     base = F.coalesce(F.sum(F.col("end_s") - F.col("start_s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    placed = keeps.withColumn("__base", base)
-    hit = interval_join(points, placed, closed=False, how="left")
-    return hit.withColumn("t_cut", F.col("__base") + F.col("t") - F.col("start_s")).drop("__base", "start_s", "end_s", "seg_idx")
+    begun = keeps.select("source_id", F.col("start_s").alias("t"), F.lit(0).alias("__kind"), F.struct("start_s", "end_s", base.alias("base")).alias("__keep"))
+    asks = points.withColumn("__kind", F.lit(1))
+    held = last_known(asks.unionByName(begun, allowMissingColumns=True), {"__keep": F.col("__keep")}, ("t", "__kind")).where("__kind = 1")
+    inside = F.col("t") < F.col("__keep.end_s")
+    return held.withColumn("t_cut", F.when(inside, F.col("__keep.base") + F.col("t") - F.col("__keep.start_s"))).drop("__kind", "__keep")
