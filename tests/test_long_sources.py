@@ -7,7 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from tidalframe.operators import buckets, captions, dyadic, intervals, ranking, selection, streams, tracking, windows
+from tidalframe.operators import buckets, captions, dyadic, intervals, ranking, selection, speculation, streams, tracking, windows
 from tidalframe.operators.streams import Ema, NearTime
 
 
@@ -215,3 +215,47 @@ def test_recovery_is_cut_at_settling_frames(spark):
                     m.step(faces)
                     after.add(m.saved())
                 assert len(after) == 1
+
+
+@pytest.mark.parametrize("chunk", [7, 100])
+def test_chunks_meet_the_sequential_machines(spark, chunk):
+    rng = random.Random(chunk)
+    face = lambda: {"cx": rng.choice([0.2, 0.5, 0.8]) + rng.random() / 20, "w": rng.random(), "score": rng.random()}
+    schema = "source_id long, idx long, x double, faces array<struct<cx:double,w:double,score:double>>"
+    level = {"at": 100.0}
+
+    def value():
+        level["at"] = rng.random() * 900 if rng.random() < 0.03 else level["at"]
+        return level["at"] + rng.random() * 60
+
+    rows = [(s, i, value(), None if rng.random() < 0.1 else [face() for _ in range(rng.randrange(4))]) for s, n in ((1, 700), (2, 14), (3, 1), (4, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, schema).repartition(6)
+    pairs = (lambda **k: tracking.hysteresis(df, needed=3, **k)), (lambda **k: tracking.segment_by_median(df, 100.0, 2.0, src_w=1000, **k))
+    for run in pairs:
+        got, want = sorted(map(tuple, run(chunk=chunk).collect())), sorted(map(tuple, run().collect()))
+        assert got == want and len(want) > 40
+
+
+def test_chunks_that_never_meet_are_settled_one_a_round(spark):
+    """A machine whose state is the sum of all before."""
+
+    class Sum:
+        STATE, LIST = "s double", None
+
+        def __init__(self):
+            self.s = 0.0
+
+        def saved(self):
+            return (self.s,)
+
+        def restored(self, state, listed=()):
+            (self.s,) = state
+            return self
+
+    def step(m, idx, x):
+        m.s += x
+        return [(idx, m.s)]
+
+    df = spark.range(40).selectExpr("5L as source_id", "id as idx", "cast(id as double) as x")
+    got = speculation.chunked(df, ["x"], lambda idx: Sum(), step, "idx long, s double", 9).collect()
+    assert sorted((r.idx, r.s) for r in got) == [(i, i * (i + 1) / 2) for i in range(40)]

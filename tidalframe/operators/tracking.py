@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .buckets import ROWS, last_known, linear_recurrence
+from .buckets import numbered as place_in_source
 from .dyadic import stab
+from .speculation import chunked
 from .streams import CONFIDENT, USUAL, Hysteresis, Recovery, Segmenter
 from .windows import filled
 
@@ -129,12 +131,16 @@ def crop_bounds(width: int, height: int) -> tuple[float, float]:
     return least, 1.0 - least
 
 
-def hysteresis(samples: DataFrame, **params) -> DataFrame:
+def hysteresis(samples: DataFrame, chunk: int | None = None, **params) -> DataFrame:
     """(source_id, idx, target) of samples (source_id, idx, faces of cx, w, score).
 
-    ``bounds`` are those of ``crop_bounds`` where a crop follows.
+    ``bounds`` are those of ``crop_bounds`` where a crop follows. With ``chunk`` a source is run in
+    chunks of that many samples side by side (see ``speculation``), else it is one task's.
     """
-    return _streamed(samples, ["source_id"], ["idx", "faces"], lambda: Hysteresis(**params), lambda m, idx, faces: [(idx, m.step(faces or []))], "idx long, target double")
+    step = lambda m, idx, faces: [(idx, m.step(faces or []))]
+    if chunk:
+        return chunked(samples, ["faces"], lambda idx: Hysteresis(**params), step, "idx long, target double", chunk)
+    return _streamed(samples, ["source_id"], ["idx", "faces"], lambda: Hysteresis(**params), step, "idx long, target double")
 
 
 def settling(faces: Column, width: float, height: float, usual: float = USUAL, relaxed: float = 0.7, least: float = 0.15) -> Column:
@@ -161,11 +167,17 @@ def track_with_recovery(frames: DataFrame, width: float, height: float, fps: flo
     return _streamed(told, ["source_id", "__from"], ["idx", "faces"], make, lambda m, idx, faces: [(idx, m.step(faces or []))], "idx long, crop_x long")
 
 
-def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None) -> DataFrame:
+def segment_by_median(rows: DataFrame, crop_w: float, fps: float, k: float = 0.15, src_w: int | None = None, chunk: int | None = None) -> DataFrame:
     """(source_id, seg_idx, start_idx, end_idx, crop_x): new segment where a value leaves the
     running median by more than k crop widths and the segment is long enough; with ``src_w``
-    the crop stays inside the frame."""
+    the crop stays inside the frame. With ``chunk`` a source is run in chunks of that many rows side
+    by side (see ``speculation``), else it is one task's."""
     most = None if src_w is None else int(src_w - crop_w)
+    if chunk:
+        closed = lambda done: [] if done is None else [done]
+        fresh = lambda idx: Segmenter(k * crop_w, int(1.5 * fps), most).restored((idx,))
+        out = chunked(rows, ["x"], fresh, lambda m, idx, x: closed(m.step(float(x))), "start_idx long, end_idx long, crop_x long", chunk, lambda m: closed(m.close() if m.length else None))
+        return place_in_source(out, ("start_idx",), ROWS, "seg_idx").select("source_id", "seg_idx", "start_idx", "end_idx", "crop_x")
 
     def numbered(m: Segmenter, done: tuple | None) -> list[tuple]:
         if done is None:

@@ -328,6 +328,8 @@ ORACLES["segment_median"] = _with(
     "select source_id, seg_idx, start_idx, end_idx, greatest(0, least(x, 393)) as crop_x from segs",
     recursive=True,
 )
+ORACLES["segment_median_chunked"] = ORACLES["segment_median"]
+ORACLES["hysteresis_chunked"] = ORACLES["hysteresis"]
 ORACLES["cut_quality"] = _with(
     _NUM + f""", s as (select * from ({ORACLES["segment_median"]})),
     m as (select *, sum(case when seg_idx = 0 or end_idx - start_idx >= 3 then 1 else 0 end) over (partition by source_id order by seg_idx) as g from s),

@@ -448,11 +448,15 @@ def greedy_groups(spark, sf):
     return C.packed_groups(spoken_words(spark, sf), {}, 400.0)
 
 
-@query
-def hysteresis(spark, sf):
+def _targets(spark, sf, **params) -> DataFrame:
     sure = F.filter("faces", lambda f: f["score"] >= 0.6)
     frames = five_faces(timeline(spark, sf)).withColumn("faces", F.transform(sure, lambda f: F.struct((f["cx"] / 1920).alias("cx"), (f["w"] / 1920).alias("w"), f["score"].alias("score"))))
-    return K.hysteresis(frames, needed=3, bounds=K.crop_bounds(1920, 1080)).select("source_id", "idx", r6("target").alias("target"))
+    return K.hysteresis(frames, needed=3, bounds=K.crop_bounds(1920, 1080), **params).select("source_id", "idx", r6("target").alias("target"))
+
+
+@query
+def hysteresis(spark, sf):
+    return _targets(spark, sf)
 
 
 @query
@@ -467,6 +471,18 @@ def segment_median(spark, sf):
     return K.segment_by_median(rows, 607.0, 2.0, src_w=1000)
 
 
+@query
+def segment_median_chunked(spark, sf):
+    """Chunks of 16 rows: most sources are cut several times."""
+    rows = numbered(timeline(spark, sf)).withColumn("x", F.col("value"))
+    return K.segment_by_median(rows, 607.0, 2.0, src_w=1000, chunk=16)
+
+
+@query
+def hysteresis_chunked(spark, sf):
+    return _targets(spark, sf, chunk=8)
+
+
 @query
 def cut_quality(spark, sf):
     """Cut, face means and centring of each source in one flow."""

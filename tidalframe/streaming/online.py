@@ -11,51 +11,20 @@ sets for its query.
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.streams import Ema, Hysteresis, NearTime, Recovery, Segmenter
+from ..scratch import remove, scratch
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Second 0 of a timeline as an event time (ms): event times at or before 1970 count as late from the start.
 ORIGIN_MS = 10**12
-_LEFT: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a
-    temporary one where that is unset on a local master. It goes when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="tidalframe-stream-")
-    _LEFT.append((spark, path := f"{root.rstrip('/')}/tidalframe-{name}-{uuid.uuid4().hex}"))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system layer, whatever store holds it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def sweep() -> None:
-    """Remove what this driver's streams have left."""
-    while _LEFT:
-        try:
-            remove(*_LEFT.pop())
-        except Exception:  # noqa: BLE001 - the session may already be gone at exit
-            return
 
 
 def replay(rows: DataFrame, order: str, slices: int = 4, files: int = 2) -> DataFrame:
