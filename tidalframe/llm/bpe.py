@@ -202,12 +202,16 @@ class RankedBpe:
         return self.token_bytes[np.arange(end[-1]) + np.repeat(first - (end - size), size)].tobytes()
 
 
+#: Chunks that a worker remembers, about 130 bytes each; as many encoded afresh when it is emptied.
+MEMO = 500_000
+
+
 @functools.lru_cache(maxsize=2)
 def _bpe(name: str) -> tuple[RankedBpe, ChunkEncoder]:
     import public_tokenizers
 
     bpe = RankedBpe(local_file(name), public_tokenizers.PATTERN)
-    return bpe, ChunkEncoder(bpe.encode)
+    return bpe, ChunkEncoder(bpe.encode, limit=MEMO)
 
 
 def _encoded(column: pa.Array, rank_file: str):
