@@ -60,3 +60,17 @@ def test_detailed_answer_and_report(spark):
     lines = [r.line for r in tables.full_report(ranked).orderBy("rank", "line_no").collect()]
     assert len(lines) == 4 + 5 * 8 and lines[4:7] == ["", "#1 - SCORE: 80/100", "⏱️  Time: 00:01:01 - 00:01:32"] and lines[8] == "💬 Best Quote: "
     assert tables.full_report(ranked).where(F.col("rank") == 6).count() == 0
+
+
+def test_sources_with_one_prompt_keep_their_answers(spark, tmp_path):
+    from tidalframe.plans.queries import QUERIES
+
+    turns = [(1, 0, "Same."), (2, 0, "Same."), (2, 1, ""), (3, 0, "..."), (4, 0, None), (4, 1, "Same.")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.source_id, r.hit_idx): (r.hook_text, r.end_s) for r in QUERIES["text_detector"](spark, str(tmp_path)).collect()}
+    assert got == {(k, i): (f"hook {k}", n * 2.5 if i == 0 else n + 20.25) for k, n in ((1, 1), (2, 2), (3, 1), (4, 2)) for i in (0, 1)}
+    # Batches of equal texts: each has its own answers.
+    spark.createDataFrame([(i, f"text {i % 25}") for i in range(75)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.batch, r.id): r.score for r in QUERIES["batch_calls"](spark, str(tmp_path)).collect()}
+    want = {(d // 25, d % 25 + 1): 5.0 if d // 25 % 5 == 0 else None if d % 13 == 0 else d % 10 + 1.0 for d in range(75)}
+    assert got == want

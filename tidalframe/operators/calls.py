@@ -1,7 +1,7 @@
 """Model calls as table functions: detectors of a source's transcript, scorers of ordered batches.
 
 A prompt is built from the rows of its source or batch, in order. Answers come from a table of
-recorded answers keyed by the prompt's digest (several attempts each), or from a function that a
+recorded answers keyed by the prompt's digest, and the caller where calls were recorded one by one (several attempts each), or from a function that a
 deployment hands in; nothing here calls a network. A table function takes the rows of one prompt,
 partitioned and ordered by Spark, tries the attempts until one parses, and gives typed rows; where
 none does, a scorer falls back to a default and a detector finds nothing.
@@ -82,10 +82,15 @@ def transcript_prompts(cues: DataFrame) -> DataFrame:
     return sampled.groupBy("source_id").agg(F.array_join(listed, "\n").alias("prompt")).withColumn("digest", digest(F.col("prompt")))
 
 
-def with_attempts(prompts: DataFrame, recorded: DataFrame) -> DataFrame:
-    """``prompts`` with ``attempts``: the recorded answers (digest, attempt, answer) in order of attempt."""
+def with_attempts(prompts: DataFrame, recorded: DataFrame, key: str | None = None) -> DataFrame:
+    """``prompts`` with ``attempts``: the recorded answers (digest, attempt, answer) in order of attempt.
+
+    ``key`` names the column, of both, whose calls were recorded each by itself: sources (batches)
+    with one prompt among them then keep their own answers.
+    """
+    on = ["digest"] if key is None else [key, "digest"]
     listed = F.transform(F.array_sort(F.collect_list(F.struct("attempt", "answer"))), lambda x: x["answer"])
-    return prompts.join(recorded.groupBy("digest").agg(listed.alias("attempts")), "digest", "left")
+    return prompts.join(recorded.groupBy(*on).agg(listed.alias("attempts")), on, "left")
 
 
 def asked(prompts: DataFrame, answer: Answer, retries: int = 2) -> DataFrame:

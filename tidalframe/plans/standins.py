@@ -49,7 +49,7 @@ def sentence_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("source_id").orderBy("turn", "k")
     turns = turns.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), 0)))
     end = F.sum("n").over(order)
-    return turns.select("source_id", (F.row_number().over(order) - 1).cast("long").alias("cue_idx"), ((end - F.col("n")) * SPOKEN).alias("start_s"), (end * SPOKEN).alias("end_s"), "text")
+    return turns.select("source_id", (F.row_number().over(order.orderBy("turn", "k", "text")) - 1).cast("long").alias("cue_idx"), ((end - F.col("n")) * SPOKEN).alias("start_s"), (end * SPOKEN).alias("end_s"), "text")
 
 
 def frame_grid(ends: DataFrame, fps: int) -> DataFrame:
