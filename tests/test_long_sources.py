@@ -259,3 +259,19 @@ def test_chunks_that_never_meet_are_settled_one_a_round(spark):
     df = spark.range(40).selectExpr("5L as source_id", "id as idx", "cast(id as double) as x")
     got = speculation.chunked(df, ["x"], lambda idx: Sum(), step, "idx long, s double", 9).collect()
     assert sorted((r.idx, r.s) for r in got) == [(i, i * (i + 1) / 2) for i in range(40)]
+
+
+def test_frames_of_few_rows_are_dealt(spark):
+    from tidalframe.plans.standins import frame_grid
+
+    ends = spark.range(40).selectExpr("id as source_id", "if(id = 7, 3000.0D, id * 1.0D) as end_s").groupBy("source_id").agg(F.max("end_s").alias("end_s"))
+    grid = frame_grid(ends, 5)
+    want = {(s, i) for s in range(40) for i in range(15000 if s == 7 else 5 * s)}
+    got = [(r.source_id, r.frame_idx) for r in grid.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # The planner sees 40 short rows before the frames: neither these nor the as-of join's rows may be one task's.
+    shares = [r.n for r in grid.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(shares) > 4 and max(shares) < len(want) / 2
+    groups = ends.select("source_id", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start_s"), "end_s")
+    held = intervals.next_ending(grid.withColumn("t", F.col("frame_idx") / 5), groups)
+    assert held.where("seg_idx = 0 and active").count() == len(want)

@@ -38,7 +38,8 @@ def last_known(rows: DataFrame, values: dict[str, Column], order: tuple[str, ...
     earlier = Window.partitionBy(KEY).orderBy(way(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(KEY, BUCKET, *[F.last(f"{m}_edge", ignorenulls=True).over(earlier).alias(f"{m}_in") for m in marks])
     inside = Window.partitionBy(KEY, BUCKET).orderBy(*map(way, order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    local = dealt.withColumns({f"{m}_own": F.last(m, ignorenulls=True).over(inside) for m in marks})
+    # Dealt whatever the rows come by: what lies by source would be sorted as it lies, in as few tasks.
+    local = dealt.repartition(KEY, BUCKET).withColumns({f"{m}_own": F.last(m, ignorenulls=True).over(inside) for m in marks})
     filled = local.join(carried, [KEY, BUCKET], "left").withColumns({n: F.coalesce(f"{m}_own", f"{m}_in") for n, m in zip(values, marks, strict=True)})
     return filled.select(*[c for c in rows.columns if c not in values], *values)
 

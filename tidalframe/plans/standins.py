@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 SPAN, SPOKEN, FPS = 720.0, 0.4, 5
 SILENCE, NEAR = 24.0, 30.0
+#: Frames that are spelled out at once.
+BLOCK = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,8 +55,16 @@ def sentence_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_grid(ends: DataFrame, fps: int) -> DataFrame:
-    """(source_id, frame_idx) for 0 <= frame < end * fps of (source_id, end_s)."""
-    return ends.where("end_s > 0").select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("end_s") * fps) - 1)).alias("frame_idx"))
+    """(source_id, frame_idx) for 0 <= frame < end * fps of (source_id, end_s).
+
+    Blocks of frames are dealt to a fixed number of tasks before they are spelled out: the planner
+    would size its tasks by the few rows that there are before, and give all frames to one.
+    """
+    last = (F.ceil(F.col("end_s") * fps) - 1).cast("long")
+    blocks = ends.where("end_s > 0").select("source_id", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / BLOCK))).alias("block"))
+    dealt = blocks.repartition(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id", "block")
+    frames = F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK - 1, F.col("last")))
+    return dealt.select("source_id", F.explode(frames).alias("frame_idx"))
 
 
 def five_faces(events: DataFrame) -> DataFrame:
