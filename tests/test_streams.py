@@ -122,3 +122,52 @@ def test_windowed_energy(spark, tmp_path):
     got = {r.window.start.second: r.rms for r in collect(spark, tmp_path, online.tumbling_energy(src, "0 seconds"), "en").collect()}
     assert got[0] == 3.0 and got[1] == 1.0
     assert collect(spark, tmp_path, online.sliding_passages(src, "0 seconds", "4 seconds", "2 seconds"), "sl").count() > 0
+
+
+def test_neighbouring_sources_share_state_calls(spark):
+    """A micro-batch of 16 sources costs a few calls of the state store, not some for each source."""
+    calls = []
+
+    class Store:
+        rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = [tuple(r) for r in rows]
+
+        def getListState(self, *_):
+            return self
+
+        def registerTimer(self, at):
+            calls.append(("register", at - online.ORIGIN_MS))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at - online.ORIGIN_MS))
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return self.at + online.ORIGIN_MS
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+        def __init__(self, at):
+            self.at = at
+
+    order = {"start_s": "double", "hit_id": "long", "score": "double"}
+    pack = online.Deduplicator(lambda: streams.NearTime(30.0), lambda m, r: [x for x in [m.step(r.start_s, r.hit_id, r.score)] if x], order, ["source_id", "start_s", "hit_id", "score"])
+    store = Store()
+    pack.init(store)
+    row = online.Row("source_id", "start_s", "hit_id", "score")
+    assert list(pack.handleInputRows((0,), iter([row(s, 10.0 + s, s, 0.5) for s in reversed(range(16))]), Now(0))) == []
+    assert calls == ["get", "put", ("register", 40_000)]
+    calls.clear()
+    got = list(pack.handleInputRows((0,), iter([row(0, 11.0, 99, 0.9), row(1, 45.0, 98, 0.1), row(1, 45.0, 98, 0.1)]), Now(20_000)))
+    assert [tuple(r) for r in got] == [(1, 11.0, 1, 0.5)] and calls == ["get", "put", ("delete", 40_000), ("register", 41_000)]
+    calls.clear()
+    got = list(pack.handleExpiredTimer((0,), Now(50_000), Now(41_000)))
+    assert sorted(r.source_id for r in got) == [0, *range(2, 11)] and got[0].hit_id in range(100)
+    assert calls == ["get", "put", ("register", 51_000)]

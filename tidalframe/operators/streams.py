@@ -1,7 +1,8 @@
 """Online state machines, one step for each row; batch and streaming operators share them.
 
 What a machine keeps between two rows is plain data: ``STATE`` names the columns of ``saved()``,
-``LIST`` the type of the numbers in ``listed`` (if it keeps any), and ``restored`` takes both.
+``LIST`` the type of the numbers in ``listed`` (if it keeps any), ``GROWS`` whether these have no
+bound, and ``restored`` takes both.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Hysteresis:
         self.candidate: float | None = None
         self.count = 0
 
-    STATE, LIST = "target double, candidate double, count int", "double"
+    STATE, LIST, GROWS = "target double, candidate double, count int", "double", False
 
     @property
     def listed(self) -> list[float]:
@@ -169,7 +170,7 @@ class Segmenter:
     A segment's value is its median cut to a whole number, clamped to 0 and ``most``.
     """
 
-    STATE, LIST = "start long", "double"
+    STATE, LIST, GROWS = "start long", "double", True
 
     def __init__(self, jump: float, least: int, most: int | None = None):
         self.jump, self.least, self.most, self.start = jump, least, most, 0
