@@ -74,3 +74,10 @@ def test_sources_with_one_prompt_keep_their_answers(spark, tmp_path):
     got = {(r.batch, r.id): r.score for r in QUERIES["batch_calls"](spark, str(tmp_path)).collect()}
     want = {(d // 25, d % 25 + 1): 5.0 if d // 25 % 5 == 0 else None if d % 13 == 0 else d % 10 + 1.0 for d in range(75)}
     assert got == want
+
+
+def test_an_answer_is_parsed_once(spark):
+    rows = spark.createDataFrame([("{}", "x", 7.0, 8.0)], "answer string, text string, p1 double, p2 double").repartition(1)
+    for out in (models.detailed_answer(rows, "p1", "p2"), models.detailed_score(rows, "p1", "p2")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and plan.count("try_parse_json") + plan.count("VariantExpressionEvalUtils") + plan.count("parseJson") <= 2

@@ -60,15 +60,23 @@ def rubric(answers: DataFrame, column: str = "answer") -> DataFrame:
     return answers.withColumn("rubric", parse_json(F.col(column), RUBRIC, broken))
 
 
+def _parsed(answers: DataFrame, column: str, schema: str) -> DataFrame:
+    """``answers`` with ``__parsed``, as ``parse_json`` gives it: a column of its own, so that a row is
+    parsed once and not for each field that is taken from it."""
+    from .text import strip_fence
+
+    held = answers.withColumn("__whole", strip_fence(F.col(column)))
+    value = F.when(F.try_parse_json("__whole").isNotNull(), F.from_json("__whole", schema, {"mode": "PERMISSIVE"}))
+    return held.withColumn("__parsed", value).drop("__whole")
+
+
 def detailed_score(answers: DataFrame, p1: str, p2: str, column: str = "answer") -> DataFrame:
     """``final_score``: the answer's score, or ``(p1 + p2) * 5`` where it does not parse."""
-    from .text import parse_json
-
-    parsed = parse_json(F.col(column), "struct<score:int,explanation:string>")
-    return answers.withColumns({
+    parsed = F.col("__parsed")
+    return _parsed(answers, column, "struct<score:int,explanation:string>").withColumns({
         "final_score": F.coalesce(parsed["score"].cast("double"), (F.col(p1) + F.col(p2)) * 5),
         "explanation": F.coalesce(parsed["explanation"], F.lit("fallback")),
-    })
+    }).drop("__parsed")
 
 
 def detailed_answer(answers: DataFrame, p1: str, p2: str, text: str = "text", column: str = "answer") -> DataFrame:
@@ -77,9 +85,9 @@ def detailed_answer(answers: DataFrame, p1: str, p2: str, text: str = "text", co
     An answer without a score counts as one that does not parse: the score is ``(p1 + p2) * 5``, the
     hook the text's first 100 characters, and the part scores are null.
     """
-    from .text import parse_json, prefix
+    from .text import prefix
 
-    parsed = parse_json(F.col(column), "struct<" + DETAIL.replace(", ", ",").replace(" ", ":") + ">")
+    parsed = F.col("__parsed")
     scored, hook = parsed["score"].isNotNull(), prefix(F.coalesce(F.col(text), F.lit("")), 100, "...")
 
     def field(name: str, missing, failed):
@@ -87,8 +95,8 @@ def detailed_answer(answers: DataFrame, p1: str, p2: str, text: str = "text", co
 
     parts = {n: F.when(scored, parsed[n]) for n in ("hook_score", "arc_score", "emotion_score", "punchline_score", "value_score", "has_conclusion", "suggested_trim")}
     none = F.lit("")
-    return answers.withColumns({
+    return _parsed(answers, column, "struct<" + DETAIL.replace(", ", ",").replace(" ", ":") + ">").withColumns({
         "final_score": F.when(scored, parsed["score"].cast("double")).otherwise((F.col(p1) + F.col(p2)) * 5),
         **parts, "hook_text": field("hook_text", hook, hook), "best_quote": field("best_quote", none, none),
         "explanation": field("explanation", none, F.lit(AUTO_SCORED)),
-    })
+    }).drop("__parsed")
