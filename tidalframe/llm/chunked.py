@@ -12,11 +12,25 @@ before any space say so with ``joined=False``.
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _JOINED_RUN = re.compile(r"\s (?:\s|$)")
 
 
+#: The encoders of this worker.
+_LIVE: weakref.WeakSet[ChunkEncoder] = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empty the memos of this worker, which lives on after the stage that filled them."""
+    for encoder in list(_LIVE):
+        encoder.forget()
+    pa.default_memory_pool().release_unused()
+
+
 class ChunkEncoder:
     """Encode texts to ids (bytes of unsigned 32-bit integers) through a chunk memo."""
 
@@ -25,6 +39,10 @@ class ChunkEncoder:
         self._whole, self._encode_whole = whole, encode_whole or encode
         self._joined = joined
         self._memo: dict[str, bytes] = {}
+        _LIVE.add(self)
+
+    def forget(self) -> None:
+        self._memo = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self._memo) > self._limit:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunked import forget
 from .common import read, stage, text_of
 from .textkernel import blocks
 
@@ -254,19 +255,32 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Words and stems that a task counts at once; more are sent on in parts.
+HELD_TERMS = 50_000
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """(term, open_end, toxic, clean): documents that hold each word or stem."""
 
+    def table(sums: dict[tuple[str, bool], list[int]]) -> pa.RecordBatch:
+        keys = list(sums)
+        return pa.RecordBatch.from_pydict({"term": [k[0] for k in keys], "open_end": [k[1] for k in keys], "toxic": [sums[k][0] for k in keys], "clean": [sums[k][1] for k in keys]})
+
     def count(batches):
+        forget()
         for batch in batches:
             sums: dict[tuple[str, bool], list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
+            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                found = {w for w in _WORD.findall(text.as_py().lower()) if len(w) >= 3}
                 terms = {(w, False) for w in found} | {(w[:n], True) for w in found for n in STEMS if len(w) >= n}
+                positive = toxic.as_py()
                 for t in terms:
-                    sums.setdefault(t, [0, 0])[0 if toxic else 1] += 1
-            keys = list(sums)
-            yield pa.RecordBatch.from_pydict({"term": [k[0] for k in keys], "open_end": [k[1] for k in keys], "toxic": [sums[k][0] for k in keys], "clean": [sums[k][1] for k in keys]})
+                    sums.setdefault(t, [0, 0])[0 if positive else 1] += 1
+                if len(sums) > HELD_TERMS:  # the groups below add up what is sent in parts
+                    yield table(sums)
+                    sums = {}
+            if sums:
+                yield table(sums)
 
     counted = rows.mapInArrow(count, "term string, open_end boolean, toxic long, clean long")
     return counted.groupBy("term", "open_end").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -358,6 +372,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         for batch in batches:
             for block in blocks(batch.column(at)):
                 x = np.array([shared.value.features(block.text(i).decode()) for i in range(block.n_docs)])
