@@ -275,3 +275,15 @@ def test_frames_of_few_rows_are_dealt(spark):
     groups = ends.select("source_id", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start_s"), "end_s")
     held = intervals.next_ending(grid.withColumn("t", F.col("frame_idx") / 5), groups)
     assert held.where("seg_idx = 0 and active").count() == len(want)
+
+
+def test_frames_and_their_groups_are_not_broadcast(spark, sf):
+    from tidalframe.plans.queries import QUERIES
+
+    # Frames and words are spelled out after the last size the planner sees, so none of these joins may go by it.
+    for name in ("render_cache", "active_word", "speaker_at"):
+        out = QUERIES[name](spark, sf)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # The one middle a role of speaker_at is as small as it looks.
+        assert plan.count("SortMergeJoin") >= 2 and plan.count("BroadcastHashJoin") == (name == "speaker_at"), name

@@ -139,7 +139,8 @@ def lit_words(words: Column, t: Column) -> Column:
 def frame_words(grid: DataFrame, groups: DataFrame, fps: float, slack: float = 0.3) -> DataFrame:
     """(source_id, frame_idx, seg_idx, word): what each frame of the grid shows; null outside."""
     shown = first_at_frame(grid, groups.select("source_id", "seg_idx", "start_s", "end_s", F.col("seg_idx").alias("shown")), "shown", fps, slack)
-    held = shown.join(groups.select("source_id", F.col("seg_idx").alias("shown"), "words"), ["source_id", "shown"], "left")
+    # Estimates do not see that words were spelled out before they were grouped: no broadcast on their word.
+    held = shown.join(groups.select("source_id", F.col("seg_idx").alias("shown"), "words").hint("merge"), ["source_id", "shown"], "left")
     word = F.when(F.col("shown").isNotNull(), active_word(F.col("words"), F.col("frame_idx") / fps))
     return held.select("source_id", "frame_idx", F.col("shown").alias("seg_idx"), word.alias("word"))
 

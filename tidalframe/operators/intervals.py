@@ -40,7 +40,8 @@ def first_at_frame(grid: DataFrame, intervals: DataFrame, value: str, fps: float
     held = intervals.select("source_id", "seg_idx", F.col(value).alias("__value"), "start_s", (F.col("end_s") + slack).alias("end_s"))
     inside = (F.col("t") >= F.col("start_s")) & (F.col("t") <= F.col("end_s"))
     hit = stab(frames, F.col("frame_idx"), held, F.floor(F.col("start_s") * fps) - 1, F.ceil(F.col("end_s") * fps) + 1, inside)
-    return grid.join(hit.groupBy("source_id", "frame_idx").agg(F.min_by("__value", "seg_idx").alias(value)), ["source_id", "frame_idx"], "left")
+    # A filter on the value makes the join an inner one, and estimates do not see that frames were spelled out.
+    return grid.hint("merge").join(hit.groupBy("source_id", "frame_idx").agg(F.min_by("__value", "seg_idx").alias(value)), ["source_id", "frame_idx"], "left")
 
 
 def last_at_frame(grid: DataFrame, intervals: DataFrame, value: str, fps: float, default=0) -> DataFrame:
@@ -49,7 +50,7 @@ def last_at_frame(grid: DataFrame, intervals: DataFrame, value: str, fps: float,
     held = intervals.select("source_id", "seg_idx", F.col(value).alias("__value"), (F.col("start_s") * fps).cast("long").alias("__first"), (F.col("end_s") * fps).cast("long").alias("__end"))
     hit = stab(grid.select("source_id", "frame_idx"), F.col("frame_idx"), held, F.col("__first"), F.col("__end") - 1, (F.col("frame_idx") >= F.col("__first")) & (F.col("frame_idx") < F.col("__end")))
     hit = hit.groupBy("source_id", "frame_idx").agg(F.max_by("__value", "seg_idx").alias(value))
-    return grid.join(hit, ["source_id", "frame_idx"], "left").fillna({value: default})
+    return grid.hint("merge").join(hit, ["source_id", "frame_idx"], "left").fillna({value: default})
 
 
 def next_ending(points: DataFrame, intervals: DataFrame) -> DataFrame:
