@@ -81,3 +81,28 @@ def test_an_answer_is_parsed_once(spark):
     for out in (models.detailed_answer(rows, "p1", "p2"), models.detailed_score(rows, "p1", "p2")):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1 and plan.count("try_parse_json") + plan.count("VariantExpressionEvalUtils") + plan.count("parseJson") <= 2
+
+
+def test_every_cue_of_a_transcript_is_asked(spark, tmp_path, monkeypatch):
+    from tidalframe.plans.queries import QUERIES
+
+    # 1 203 sentences over 3 turns: three prompts; 1 000 of line breaks only, whose two prompts are equal; one; none.
+    turns = [(1, t, " ".join(f"Cue {i}." for i in range(t * 401, t * 401 + 401))) for t in range(3)]
+    turns += [(2, t, "\n") for t in range(1000)] + [(3, 0, "Alone."), (4, 0, "...")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    asked, attempts = [], calls.with_attempts
+
+    def seen(prompts, *rest):
+        asked.append(prompts)
+        return attempts(prompts, *rest)
+
+    monkeypatch.setattr(calls, "with_attempts", seen)
+    got = {(r.source_id, r.hit_idx): (r.start_s, r.hook_text, r.score) for r in QUERIES["text_detector"](spark, str(tmp_path)).collect()}
+    want = {(k, i): ((1.5, n * 1.0)[i], f"hook {k}", (k, n)[i]) for k, n in ((1, 3), (2, 1000), (3, 1), (4, 1)) for i in (0, 1)}
+    assert got == want
+    lines, parts = {}, {}
+    for r in asked[0].orderBy("source_id", "part").collect():
+        lines.setdefault(r.source_id, []).extend(x.split("] ")[1] for x in r.prompt.split("\n") if "] " in x)
+        parts[r.source_id] = parts.get(r.source_id, 0) + 1
+    assert lines[1] == [f"Cue {i}." for i in range(1203)] and lines[3] == ["Alone."]
+    assert parts == {1: 3, 2: 2, 3: 1, 4: 1}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Rows in a batch, score at which a passage passes, score where no answer parses.
 BATCH, PASSES, DEFAULT = 25, 7, 5.0
-#: Every fifth cue of a transcript, five hundred at most.
+#: Every fifth cue of a sampled transcript; lines of a prompt at most.
 STEP, MOST = 5, 500
 SCORED = "batch long, id int, score double, status string"
 HITS = "source_id long, hit_idx int, start_time string, end_time string, start_s double, end_s double, duration_seconds int, hook_text string, punchline string, why_viral string, viral_score int"
@@ -74,21 +74,32 @@ def batch_prompts(rows: DataFrame) -> DataFrame:
 
 
 def transcript_prompts(cues: DataFrame) -> DataFrame:
-    """(source_id, prompt, digest): every fifth cue (cue_idx, start_s, text), 500 at most, with its time."""
+    """(source_id, prompt, digest): every fifth cue (cue_idx, start_s, text), 500 at most, with its
+    time: one prompt for a glance at a source. ``transcript_parts`` has every cue."""
+    sampled = cues.where((F.col("cue_idx") % STEP == 0) & (F.col("cue_idx") < STEP * MOST))
+    return _listed_cues(sampled, "source_id")
+
+
+def transcript_parts(cues: DataFrame) -> DataFrame:
+    """(source_id, part, prompt, digest): every cue (cue_idx, start_s, text) with its time, in parts
+    of ``MOST`` cues, so that no prompt grows with its source."""
+    return _listed_cues(cues.withColumn("part", F.floor(F.col("cue_idx") / MOST).cast("int")), "source_id", "part")
+
+
+def _listed_cues(cues: DataFrame, *keys: str) -> DataFrame:
     from ..functions.timefmt import transcript_line
 
-    sampled = cues.where((F.col("cue_idx") % STEP == 0) & (F.col("cue_idx") < STEP * MOST))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", transcript_line(F.col("start_s"), F.col("text")).alias("line")))), lambda x: x["line"])
-    return sampled.groupBy("source_id").agg(F.array_join(listed, "\n").alias("prompt")).withColumn("digest", digest(F.col("prompt")))
+    return cues.groupBy(*keys).agg(F.array_join(listed, "\n").alias("prompt")).withColumn("digest", digest(F.col("prompt")))
 
 
-def with_attempts(prompts: DataFrame, recorded: DataFrame, key: str | None = None) -> DataFrame:
+def with_attempts(prompts: DataFrame, recorded: DataFrame, *keys: str) -> DataFrame:
     """``prompts`` with ``attempts``: the recorded answers (digest, attempt, answer) in order of attempt.
 
-    ``key`` names the column, of both, whose calls were recorded each by itself: sources (batches)
-    with one prompt among them then keep their own answers.
+    ``keys`` name the columns, of both, whose calls were recorded each by itself: sources (parts,
+    batches) with one prompt among them then keep their own answers.
     """
-    on = ["digest"] if key is None else [key, "digest"]
+    on = [*keys, "digest"]
     listed = F.transform(F.array_sort(F.collect_list(F.struct("attempt", "answer"))), lambda x: x["answer"])
     return prompts.join(recorded.groupBy(*on).agg(listed.alias("attempts")), on, "left")
 
@@ -131,10 +142,14 @@ class ScoreBatch:
 
 
 class DetectHits:
-    """A source's attempts to its highlights."""
+    """A source's attempts, part by part, to its highlights, numbered through."""
+
+    def __init__(self):
+        self.n = 0
 
     def eval(self, row):
-        for k, h in enumerate(first_parsed(row["attempts"] or [], parsed_hits) or []):
+        for k, h in enumerate(first_parsed(row["attempts"] or [], parsed_hits) or [], self.n):
+            self.n = k + 1
             yield (row["source_id"], k, h.get("start_time"), h.get("end_time"), None if "start_s" not in h else float(h["start_s"]), None if "end_s" not in h else float(h["end_s"]),
                    h.get("duration_seconds"), h.get("hook_text"), h.get("punchline"), h.get("why_viral"), h.get("viral_score"))
 
@@ -158,6 +173,7 @@ def passed(scores: DataFrame) -> DataFrame:
 
 
 def detect(answered: DataFrame) -> DataFrame:
-    """Typed hits of (source_id, attempts)."""
+    """Typed hits of (source_id, attempts), or of (source_id, part, attempts) in order of the parts."""
+    part = F.col("part") if "part" in answered.columns else F.lit(0)
     call = F.udtf(DetectHits, returnType=HITS)
-    return call(answered.select(F.col("source_id").cast("long").alias("source_id"), "attempts").asTable().partitionBy("source_id"))
+    return call(answered.select(F.col("source_id").cast("long").alias("source_id"), part.alias("part"), "attempts").asTable().partitionBy("source_id").orderBy("part"))
